@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,3 +49,11 @@ class Scratch:
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """A stored table, marked for broadcast if it has at most ``limit`` rows (they are counted)."""
     return F.broadcast(df) if df.count() <= limit else df
+
+
+def share_package(spark: SparkSession) -> None:
+    """Lets Python workers import this package from where the driver has it, whatever the working folder."""
+    root = str(Path(__file__).resolve().parent.parent)
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
