@@ -23,6 +23,51 @@ select conv_id, count(*)::bigint as n_turns,
 from marked group by conv_id
 """
 
+_SUBSTRING = r"""
+with docs as (
+    select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents
+), starts as (
+    select doc_id, k, md5(array_to_string(list_slice(w, k, k + 34), ' ')) as h
+    from (select doc_id, w, unnest(range(1, len(w) - 33)) as k from docs where len(w) >= 35)
+), repeated as (
+    select doc_id, k from (select doc_id, k, count(*) over (partition by h) as n from starts) where n > 1
+), gone as (
+    select distinct doc_id, unnest(range(k, k + 35)) as k from repeated
+), words as (
+    select doc_id, unnest(range(1, len(w) + 1)) as k, unnest(w) as word from docs
+), kept as (
+    select words.doc_id, string_agg(word, ' ' order by words.k) as text, count(*) as n
+    from words left join gone on words.doc_id = gone.doc_id and words.k = gone.k where gone.k is null group by 1
+)
+select docs.doc_id, len(w)::bigint as n_words, (len(w) - coalesce(n, 0))::bigint as n_removed, sha256(coalesce(text, '')) as kept_sha256
+from docs left join kept on docs.doc_id = kept.doc_id
+"""
+
+_JACCARD = r"""
+with recursive docs as (
+    select doc_id, list_filter(regexp_split_to_array(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w
+    from documents
+), shingles as (
+    select distinct doc_id, md5(array_to_string(list_slice(w, k, k + 4), ' ')) as s
+    from (select doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) as k from docs where len(w) > 0)
+), sizes as (select doc_id, count(*) as n from shingles group by 1
+), links as (
+    select a, b from (
+        select x.doc_id as a, y.doc_id as b, count(*) as shared from shingles x join shingles y on x.s = y.s and x.doc_id <> y.doc_id group by 1, 2
+    ) join sizes sa on sa.doc_id = a join sizes sb on sb.doc_id = b
+    where 100 * shared >= 75 * (sa.n + sb.n - shared)
+), reach as (
+    select doc_id, doc_id as other from docs
+    union select reach.doc_id, links.b from reach join links on links.a = reach.other
+)
+select docs.doc_id, coalesce(n, 0)::bigint as n_shingles, c.component_id
+from docs left join sizes on sizes.doc_id = docs.doc_id
+join (select doc_id, min(other) as component_id from reach group by 1) c on c.doc_id = docs.doc_id
+"""
+
 ORACLE_SQL = {
     "op2_chat_format": _CHAT,
+    "op3_substring_dedup": _SUBSTRING,
+    "op6_ngram_jaccard": _JACCARD,
 }

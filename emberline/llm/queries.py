@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from emberline.llm import chat, packing, records
+from emberline.llm import chat, cross_polytope, html_text, language_id, ngram_join, packing, records, substring_dedup
 from emberline.llm.tokens import vocabulary
 
 
@@ -14,6 +15,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from those that aren't held out."""
+    return language_id.identify_documents(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and one whose texts are control strings, formatted and read back."""
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -22,15 +28,49 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(turns.unionByName(extra)))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the windows of 35 words that occur elsewhere."""
+    judged = substring_dedup.judge(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return judged.select("row.doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as token ids in record files, read back from them."""
     return records.encode_to_records(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=2)
 
 
+def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest vectors to every vector whose id is divisible by 100."""
+    vectors = cross_polytope.usable(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return cross_polytope.nearest_neighbours(vectors.where("id % 100 = 0"), vectors, k=10)
+
+
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents whose sets of five-word shingles are similar."""
+    return ngram_join.shingle_components(_table(spark, sf_dir, "documents"))
+
+
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of all pages."""
+    return html_text.extract_pages(_table(spark, sf_dir, "pages"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 4096 tokens."""
     return packing.pack_documents(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=1, capacity=4096)
 
 
+_QUERIES = (
+    op1_language_id,
+    op2_chat_format,
+    op3_substring_dedup,
+    op4_token_records,
+    op5_nearest_neighbours,
+    op6_ngram_jaccard,
+    op7_html_text,
+    op10_best_fit_packing,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_chat_format, op4_token_records, op10_best_fit_packing)}
+    return {f.__name__: f for f in _QUERIES}
