@@ -4,14 +4,15 @@ Documents become pieces of at most ``capacity`` tokens. Pieces over half of it
 open a sequence each, as no two of them fit together. Then rounds run until
 no piece is left:
 
-1. Pieces and the sequences' gaps are range-sorted together by size, largest first.
-2. Each range is swept: a piece goes into the smallest gap of its range that is
-   large enough (a gap takes pieces as long as it has room).
-3. What is left of each range is matched across ranges by rank: a piece of a
-   lower range takes the last unmatched gap above it. Only counts, one
-   row a range, are needed on the driver for that.
-4. Gaps are updated. Pieces larger than every gap need new sequences: the largest
-   of them open as many as they need together at least.
+1. The largest pieces open as many new sequences as are needed at least: of any
+   size, for what the pieces over it lack in gaps over it.
+2. Pieces and the sequences' gaps are range-sorted together by size, largest first.
+3. Each range is swept: a piece goes into the smallest gap of its range that is
+   large enough, which stays in use as long as it has room.
+4. What is left of each range is matched across ranges by rank: pieces of a
+   lower range take the last unmatched gap above them, as many as surely fit.
+   Only counts, one row a range, are needed on the driver for that.
+5. Gaps are updated.
 
 Defined results: a null text is empty, so it is one piece with the end id alone; a
 null doc_id is kept as null; repeated rows are packed each; ties go by the
@@ -46,7 +47,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int =
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = tokens.encoder(vocabulary), np.uint32(end_id).tobytes()
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, size=tokens.TEXT_BYTES):
                 rows = []
                 packed = encoder.encode([t or "" for t in part.column("text").to_pylist()])
                 for doc_id, ids in zip(part.column("doc_id").to_pylist(), packed, strict=True):
@@ -86,6 +87,31 @@ class _Rooms:
         return room, gap
 
 
+class _Rooms:
+    """Gaps by their room; finds the smallest room that is large enough."""
+
+    def __init__(self, capacity: int):
+        self.by_room: list[list] = [[] for _ in range(capacity + 1)]
+        self.filled = 0  # bit r: there is a gap with room r
+
+    def add(self, room: int, gap) -> None:
+        self.by_room[room].append(gap)
+        self.filled |= 1 << room
+
+    def take(self, size: int):
+        above = self.filled >> size
+        if not above:
+            return None
+        room = size + (above & -above).bit_length() - 1
+        own = self.by_room[room]
+        gap = own.pop()
+        if not own:
+            self.filled &= ~(1 << room)
+        return room, gap
+
+
+#: what: "placed" (id in sequence at offset), "item" or "gap" (left over, rank within its range), or "rest" (a gap
+#: that has become too small for some pieces of later ranges and waits for the next round)
 #: what: "placed" (id in sequence at offset), "item" or "gap" (left over, rank within its range), or "rest" (a gap
 #: that has become too small for some pieces of later ranges and waits for the next round)
 _SWEPT = "what string, range int, rank int, id long, size long, sequence long, offset long"
@@ -115,80 +141,109 @@ def _sweep(capacity: int):
     return run
 
 
-def _across(counts: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, int]]:
-    """From (range, pieces left, gaps left), largest first: (range, first, last piece rank, gap range, gap rank of the first).
+def _across(ranges: list[tuple[int, int, int, int, int]]) -> list[tuple[int, int, int, int, int, int]]:
+    """Matches of what ranges have left over, from (range, pieces, largest piece, gaps, smallest gap), largest first.
 
-    Pieces take gaps of earlier ranges from the last one up; a range's left pieces
-    all come before its left gaps, or they would have been matched.
+    Pieces take gaps of earlier ranges from the last one up, and each gap as many as
+    surely fit; a range's left pieces all come before its left gaps, or they would have been matched.
+    Gives (range, first and last piece rank, pieces a gap, gap range, gap rank of the first).
     """
-    stack: list[list[int]] = []  # range and number of gaps that are free
+    stack: list[list[int]] = []  # range, number of gaps that are free, smallest of them
     out = []
-    for range_, pieces, gaps in counts:
+    for range_, pieces, largest, gaps, smallest in ranges:
         at = 0
         while at < pieces and stack:
-            n = min(pieces - at, stack[-1][1])
-            out.append((range_, at, at + n - 1, stack[-1][0], stack[-1][1] - 1))
+            each = max(1, stack[-1][2] // largest)
+            n = min(pieces - at, stack[-1][1] * each)
+            out.append((range_, at, at + n - 1, each, stack[-1][0], stack[-1][1] - 1))
             at += n
-            stack[-1][1] -= n
+            stack[-1][1] -= -(-n // each)
             if not stack[-1][1]:
                 stack.pop()
         if gaps:
-            stack.append([range_, gaps])
+            stack.append([range_, gaps, smallest])
     return out
 
 
+def _opening(state: DataFrame, capacity: int) -> Column | None:
+    """Which pieces open sequences now; None if no piece is left.
+
+    Sizes are counted (at most ``capacity`` different ones of either kind). Of the pieces
+    with the size at which enough are found, an id quantile parts those that open.
+    """
+    counts = {(r["is_gap"], r["size"]): r["count"] for r in state.groupBy("is_gap", "size").count().collect()}
+    pieces = sorted(((size, n) for (is_gap, size), n in counts.items() if not is_gap), reverse=True)
+    if not pieces:
+        return None
+    # Pieces over a size fit into gaps over it only; what these gaps lack, new sequences have to hold.
+    lack, needed = 0, 0
+    for size in sorted({size for _, size in counts}, reverse=True):
+        lack += size * (counts.get((False, size), 0) - counts.get((True, size), 0))
+        needed = max(needed, -(-lack // capacity))
+    if needed <= 0:
+        return F.lit(False)
+    for size, n in pieces:
+        if needed <= n:
+            break
+        needed -= n
+    own = F.col("size") == size
+    if needed < n:
+        last = state.where(~F.col("is_gap") & own).agg(F.percentile_approx("id", needed / n, 10_000)).first()[0]
+        own &= F.col("id") <= last
+    return ~F.col("is_gap") & ((F.col("size") > size) | own)
+
+
 def best_fit(pieces: DataFrame, capacity: int = CAPACITY, range_rows: int = RANGE_ROWS) -> DataFrame:
-    """id, sequence, offset for pieces (id, size); a sequence's number is the id of the piece that opened it."""
+    """id, sequence, offset for stored pieces (id, size); a sequence's number is the id of the piece that opened it."""
     spark = pieces.sparkSession
     scratch = Scratch(spark, "packing")
-    half = capacity // 2
-    items = pieces.where(F.col("size") <= half)
-    opened = pieces.where(F.col("size") > half)
-    placed = [opened.select("id", F.col("id").alias("sequence"), F.lit(0).cast("long").alias("offset"))]
-    gaps = opened.where(F.col("size") < capacity).select("id", (capacity - F.col("size")).alias("size"))
+    state = pieces.select("id", "size", F.lit(False).alias("is_gap"))
+    opens: Column | None = F.col("size") > capacity // 2
+    placed = []
     turn = 0
-    while True:
-        both = items.select("id", "size", F.lit(False).alias("is_gap")).unionByName(gaps.select("id", "size", F.lit(True).alias("is_gap")))
-        n_items, n_gaps, largest, room = both.agg(
-            F.count_if(~F.col("is_gap")),
-            F.count_if("is_gap"),
-            F.max(F.when(~F.col("is_gap"), F.col("size"))),
-            F.max(F.when(F.col("is_gap"), F.col("size"))),
-        ).first()
-        if not n_items:
-            break
-        if not n_gaps or room < largest:
-            opens = _opening(items.where(F.col("size") > (room or 0)), capacity)
-            opened = items.where(opens)
-            placed.append(opened.select("id", F.col("id").alias("sequence"), F.lit(0).cast("long").alias("offset")))
-            gaps = gaps.unionByName(opened.where(F.col("size") < capacity).select("id", (capacity - F.col("size")).alias("size")))
-            items = items.where(~opens)
-            both = items.select("id", "size", F.lit(False).alias("is_gap")).unionByName(gaps.select("id", "size", F.lit(True).alias("is_gap")))
-        ranges = max(1, -(-(n_items + n_gaps) // range_rows))
+    while opens is not None:
+        placed.append(state.where(opens).select("id", F.col("id").alias("sequence"), F.lit(0).cast("long").alias("offset")))
+        size = F.when(opens, capacity - F.col("size")).otherwise(F.col("size")).cast("long")
+        state = state.select("id", size.alias("size"), (F.col("is_gap") | opens).alias("is_gap")).where("size > 0")
+        if turn == 0:  # what the large pieces leave is known only now
+            more = _opening(state, capacity)
+            if more is None:
+                break
+            placed.append(state.where(more).select("id", F.col("id").alias("sequence"), F.lit(0).cast("long").alias("offset")))
+            size = F.when(more, capacity - F.col("size")).otherwise(F.col("size")).cast("long")
+            state = state.select("id", size.alias("size"), (F.col("is_gap") | more).alias("is_gap")).where("size > 0")
+        ranges = max(1, -(-state.count() // range_rows))
         order = [F.col("size").desc(), F.col("is_gap").desc(), F.col("id").asc()]
-        dealt = both.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+        dealt = state.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
         swept = scratch.write(dealt.mapInPandas(_sweep(capacity), _SWEPT), f"swept{turn}")
-        left = swept.where("what != 'placed'").groupBy("range").agg(F.count_if(F.col("what") == "item"), F.count_if(F.col("what") == "gap"))
-        segments = _across(sorted((r[0], r[1], r[2]) for r in left.collect()))
-        free = swept.where("what = 'gap'").select("id", "size", "range", "rank")
-        waiting = swept.where("what = 'rest'").select("id", "size")
-        rest = swept.where("what = 'item'").select("id", "size", "range", "rank")
+        item, gap = F.col("what") == "item", F.col("what") == "gap"
+        left = swept.where(item | gap).groupBy("range").agg(
+            F.count_if(item), F.max(F.when(item, F.col("size"))), F.count_if(gap), F.min(F.when(gap, F.col("size")))
+        )
+        segments = _across(sorted(tuple(r) for r in left.collect()))
+        by_range: dict[int, list[tuple]] = {}
+        for range_, *own in segments:
+            by_range.setdefault(range_, []).append(tuple(own))
+        shifts = spark.createDataFrame(
+            list(by_range.items()), "range int, found array<struct<lo:int,hi:int,each:int,gap_range:int,gap_rank:int>>"
+        )
+        rest = swept.where(item).join(F.broadcast(shifts), "range", "left")
+        match = F.get(F.filter("found", lambda s: F.col("rank").between(s["lo"], s["hi"])), F.lit(0))
+        aimed = rest.select("id", "size", "rank", match.alias("to"))
+        aimed = aimed.select("id", "size", F.col("to.gap_range").alias("range"), (F.col("to.gap_rank") - F.expr("(rank - to.lo) div to.each")).cast("int").alias("rank"))
+        homeless = aimed.where("range is null").select("id", "size", F.lit(False).alias("is_gap"))
+        aimed = aimed.where("range is not null")
+        # A gap takes at most ``capacity`` pieces; they stand side by side in it.
+        before = "coalesce(sum(size) over (partition by range, rank order by id rows between unbounded preceding and 1 preceding), 0)"
+        free = swept.where(gap).select("range", "rank", "sequence", F.col("size").alias("room"))
+        met = scratch.write(aimed.withColumn("before", F.expr(before)).join(free, ["range", "rank"]).select("id", "size", "sequence", "room", "before"), f"met{turn}")
         placed.append(swept.where("what = 'placed'").select("id", "sequence", "offset"))
-        if segments:
-            shifts = spark.createDataFrame(segments, "range int, lo int, hi int, gap_range int, gap_rank int")
-            aimed = rest.join(F.broadcast(shifts), (rest["range"] == shifts["range"]) & rest["rank"].between(shifts["lo"], shifts["hi"]), "left").select(
-                rest["id"], rest["size"], "gap_range", (F.col("gap_rank") - (rest["rank"] - F.col("lo"))).alias("gap_rank")
-            )
-            gap = free.select(F.col("id").alias("sequence"), F.col("size").alias("room"), F.col("range").alias("gap_range"), F.col("rank").alias("gap_rank"))
-            met = scratch.write(aimed.join(gap, ["gap_range", "gap_rank"], "full").select("id", "size", "sequence", "room"), f"met{turn}")
-            fits = F.col("id").isNotNull() & F.col("sequence").isNotNull()
-            placed.append(met.where(fits).select("id", "sequence", (capacity - F.col("room")).alias("offset")))
-            items = met.where("sequence is null").select("id", "size")
-            gaps = met.where("sequence is not null").select(
-                F.col("sequence").alias("id"), (F.col("room") - F.coalesce("size", F.lit(0))).alias("size")
-            ).where("size > 0").unionByName(waiting)
-        else:
-            items, gaps = rest.select("id", "size"), free.select("id", "size").unionByName(waiting)
+        placed.append(met.select("id", "sequence", (capacity - F.col("room") + F.col("before")).alias("offset")))
+        used = met.groupBy("sequence").agg(F.sum("size").alias("used"))
+        gaps = swept.where("what in ('gap', 'rest')").select("sequence", "size").join(used, "sequence", "left")
+        gaps = gaps.select(F.col("sequence").alias("id"), (F.col("size") - F.coalesce("used", F.lit(0))).alias("size"), F.lit(True).alias("is_gap"))
+        state = scratch.write(homeless.unionByName(gaps).where("size > 0"), f"state{turn}")
+        opens = _opening(state, capacity)
         turn += 1
     out = placed[0]
     for more in placed[1:]:
@@ -196,22 +251,6 @@ def best_fit(pieces: DataFrame, capacity: int = CAPACITY, range_rows: int = RANG
     return out
 
 
-def _opening(items: DataFrame, capacity: int) -> Column:
-    """Chooses the largest pieces, about as many as there are sequences of tokens in all, one at least.
-
-    Sizes are counted (at most ``capacity`` different ones); of the pieces with the
-    size at which the count is reached, an id quantile parts those that open.
-    """
-    counts = sorted(items.groupBy("size").count().collect(), key=lambda r: -r["size"])
-    needed = -(-sum(r["size"] * r["count"] for r in counts) // capacity)
-    for size, count in counts:
-        if needed <= count:
-            break
-        needed -= count
-    last = items.where(F.col("size") == size).agg(F.percentile_approx("id", needed / count, 10_000)).first()[0]
-    return (F.col("size") > size) | ((F.col("size") == size) & (F.col("id") <= last))
-
-
 def pack_documents(docs: DataFrame, vocabulary: str, end_id: int, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """Every piece with its sequence_id and offset."""
     scratch = Scratch(docs.sparkSession, "pieces")
