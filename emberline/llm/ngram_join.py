@@ -35,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberline.llm.components import components
@@ -208,3 +208,17 @@ def _ceil_sql(n: str) -> str:
 def _room_enough(room: Column, n_a: Column, n_b: Column) -> Column:
     """Sets of these sizes need an overlap of s / (1 + s) of both together, and can't have more than the room after their first match."""
     return room * (NUMERATOR + DENOMINATOR) >= (n_a + n_b) * NUMERATOR
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The documents without those whose component has a smaller doc_id; of rows with one doc_id the first by text stays, null doc_ids stay."""
+    scratch = Scratch(docs.sparkSession, "distinct")
+    names = docs.columns
+    dropped = scratch.write(shingle_components(docs).where("component_id != doc_id").select("doc_id").distinct(), "dropped")
+    rest = docs.join(small(dropped), "doc_id", "left_anti").select(*names)
+    repeated = scratch.write(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    if repeated.isEmpty():
+        return rest
+    first = Window.partitionBy("doc_id").orderBy("text", *[F.col(f"`{c}`").cast("string") for c in names if c not in ("doc_id", "text")])
+    again = rest.join(small(repeated), "doc_id", "left_semi").select("*", F.row_number().over(first).alias("_first")).where("_first = 1").select(*names)
+    return rest.join(small(repeated), "doc_id", "left_anti").select(*names).unionByName(again)

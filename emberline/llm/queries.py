@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.llm import chat, cross_polytope, html_text, language_id, ngram_join, packing, records, substring_dedup
+from emberline.llm import chat, cross_polytope, decontaminate, html_text, language_id, ngram_join, packing, records, substring_dedup, toxicity
 from emberline.llm.tokens import vocabulary
 
 
@@ -55,6 +55,18 @@ def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_pages(_table(spark, sf_dir, "pages"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item that a document holds, over all documents."""
+    return decontaminate.find_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that are judged toxic, with the probability of each category; all documents are judged."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    chain = toxicity.fit(docs, _table(spark, sf_dir, "labels"))
+    return toxicity.score_documents(docs, chain).where("toxic").select("doc_id", "p_low_quality", "p_toxic", "p_severe")
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 4096 tokens."""
     return packing.pack_documents(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=1, capacity=4096)
@@ -68,6 +80,8 @@ _QUERIES = (
     op5_nearest_neighbours,
     op6_ngram_jaccard,
     op7_html_text,
+    op8_decontamination,
+    op9_toxicity,
     op10_best_fit_packing,
 )
 

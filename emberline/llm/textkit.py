@@ -72,11 +72,11 @@ def _word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
 class Words:
     """The words of some documents: hashes, byte spans, and the first word of each document."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, *, lower: bool = False, hashes: bool = True):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, *, lower: bool = False, separators: np.ndarray = _SEPARATOR):
         self.raw = data
         if lower:
             data = _LOWER[data]
-        inside = ~_SEPARATOR[data]
+        inside = ~separators[data]
         start = inside.copy()
         start[1:] &= ~inside[:-1]
         inner = offsets[1:-1]
@@ -87,7 +87,7 @@ class Words:
         self.starts = np.flatnonzero(start)
         self.ends = np.flatnonzero(stop) + 1
         self.first = np.searchsorted(self.starts, offsets)  # of each document, and the end
-        self.hashes = _word_hashes(data, self.starts, self.ends) if hashes else None
+        self.hashes = _word_hashes(data, self.starts, self.ends)
 
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
