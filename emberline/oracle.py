@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 _LOG = """
 log as (
     select event_id, epoch_us(ts) // 1000 as at, user_id as device, event_type as template,
@@ -311,3 +313,6 @@ ORACLE_SQL = {
     "device_target_rollup": """select r_name, n_name, year(o_orderdate)::int as year, round(sum(l_extendedprice * (1 - l_discount)), 2) as revenue, count(*) as n
         from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey group by all""",
 }
+
+# AT is a keyword there.
+ORACLE_SQL = {name: re.sub(r"\bat\b", '"at"', sql) for name, sql in ORACLE_SQL.items()}
