@@ -180,3 +180,30 @@ def stage_timings(durations: DataFrame) -> DataFrame:
         F.round(F.avg(F.col("duration_ms").cast("double"))).cast("long").alias("mean_ms"),
         F.when((F.count(F.lit(1)) >= 3) & (F.min("seq") != F.max("seq")), F.round(F.regr_slope(F.col("duration_ms").cast("double"), F.col("seq").cast("double")), 2)).alias("trend"),
     )
+
+
+def claim_ranges(log: DataFrame, claims: DataFrame) -> DataFrame:
+    """The log with ``claimed``: the newest claim (device, from_event, claim) at or before each record, or null.
+
+    An epoch that was opened by an action claims all records from its own position on; records and claims are ordered together once.
+    """
+    kind = claims.schema["claim"].dataType
+    marks = claims.select("device", F.col("from_event").alias("event_id"), F.lit(0).alias("_kind"), "claim", *[F.lit(None).cast(log.schema[c].dataType).alias(c) for c in log.columns if c not in ("device", "event_id")])
+    rows = log.withColumn("_kind", F.lit(1)).withColumn("claim", F.lit(None).cast(kind))
+    upto = Window.partitionBy("device").orderBy("event_id", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    both = marks.unionByName(rows).withColumn("claimed", F.last("claim", ignorenulls=True).over(upto))
+    return both.where("_kind = 1").drop("_kind", "claim")
+
+
+def idle(log: DataFrame, now: int) -> DataFrame:
+    """device, idle_ms: since each device's last record, at least 0."""
+    return log.groupBy("device").agg(F.greatest(F.lit(now) - F.max("at"), F.lit(0).cast("long")).alias("idle_ms"))
+
+
+def prompts_reached(lines: DataFrame, patterns: dict[str, str]) -> DataFrame:
+    """device, kind: what kind of prompt each device's last line that isn't blank is, by the first pattern that fits; none: null."""
+    last = lines.where(F.trim("text") != "").groupBy("device").agg(F.max_by("text", F.struct("session_id", "line_no")).alias("text"))
+    kind = F.lit(None).cast("string")
+    for name, pattern in reversed(patterns.items()):
+        kind = F.when(F.col("text").rlike(pattern), name).otherwise(kind)
+    return last.select("device", kind.alias("kind"))

@@ -312,6 +312,16 @@ ORACLE_SQL = {
         select session_id, min(line_no) as from_line, max(line_no) as to_line from bad group by session_id, run""",
     "device_target_rollup": """select r_name, n_name, year(o_orderdate)::int as year, round(sum(l_extendedprice * (1 - l_discount)), 2) as revenue, count(*) as n
         from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey group by all""",
+    "overwrite_render": f"""with {_LOG} select event_id, case when event_id % 2 = 0 then 'X' || t[2:] else t end as shown
+        from (select event_id, case when length(template) >= 3 then template[:length(template) - 3] || '!' || template[length(template) - 1:] end as t from log)""",
+    "glob_filter": "select c_name as device from customer where (c_name similar to 'Customer#.*1.' or c_name like '%7') and c_name not like '%17'",
+    "idle_devices": f"with {_LOG} select device, greatest({_NOW} - max(at), 0) as idle_ms from log group by 1",
+    "prompts_reached": f"""with {_LINES}, last as (select device, max_by(text, (session_id, line_no)) as text from lines where trim(text) <> '' group by 1)
+        select device, case when regexp_matches(text, '\\?\\s*$') then 'question' when regexp_matches(text, '\\.\\s*$') then 'stop' when regexp_matches(text, '^[A-Z]') then 'capital' end as kind from last""",
+    "epoch_claim": f"""with {_LOG} select device, event_id, template,
+        last_value(case when template = 'purchase' and event_id % 3 = 0 then 'power-' || event_id end ignore nulls) over (partition by device order by event_id) as claimed from log""",
+    "severity_names": f"with {_LOG} select event_id, case severity when 3 then 'err' when 5 then 'notice' else 'info' end as name, severity::int as value from log",
+    "fields_map": f"with {_LOG} select event_id, device::varchar as a, 'x' as bc, 2 as n from log",
 }
 
 # AT is a keyword there.

@@ -612,3 +612,55 @@ def retention_kept(spark, sf):
     edge = log.join(cut, (log["device"] == cut["device"]) & (log["event_id"] == cut["cut_event"])).select(log["device"], F.struct("at", "event_id").alias("edge"))
     kept = log.join(edge, "device").where(F.struct("at", "event_id") >= F.col("edge"))
     return kept.groupBy("device").agg(F.count(F.lit(1)).alias("kept"))
+
+
+# Views of text, prompts, claims
+
+
+@query
+def overwrite_render(spark, sf):
+    made = F.concat(F.lit("10%\r"), F.col("template"), F.lit("\b\b\b!"), F.when(F.col("event_id") % 2 == 0, "\rX").otherwise(""))
+    return views.log(spark, sf).select("event_id", text.rendered(made).alias("shown"))
+
+
+@query
+def glob_filter(spark, sf):
+    names = views.table(spark, sf, "customer").select(F.col("c_name").alias("device"))
+    return names.where(text.matches_globs(F.col("device"), ["Customer#*1?", "*7"], ["*17"]))
+
+
+@query
+def idle_devices(spark, sf):
+    return epochs.idle(views.log(spark, sf), NOW)
+
+
+@query
+def prompts_reached(spark, sf):
+    return epochs.prompts_reached(views.lines(spark, sf), {"question": r"\?\s*$", "stop": r"\.\s*$", "capital": r"^[A-Z]"})
+
+
+@query
+def epoch_claim(spark, sf):
+    log = views.log(spark, sf).select("device", "event_id", "template")
+    claims = log.where("template = 'purchase' and event_id % 3 = 0").select("device", F.col("event_id").alias("from_event"), F.concat(F.lit("power-"), F.col("event_id")).alias("claim"))
+    return epochs.claim_ranges(log, claims)
+
+
+@query
+def signed_deliveries(spark, sf):
+    hits = reports.watch_hits(views.log(spark, sf), "errors", F.col("template") == "error")
+    body = F.to_json(F.struct("watch", "event_id"))
+    return hits.select("event_id", text.hmac_sha256(body, b"secret").alias("signature"))
+
+
+@query
+def severity_names(spark, sf):
+    names = views.log(spark, sf).select("event_id", decode.severity_name(F.col("severity")).alias("name"))
+    return names.withColumn("value", decode.severity_value(F.col("name")))
+
+
+@query
+def fields_map(spark, sf):
+    made = F.concat(F.lit("a="), F.col("event_id"), F.lit(" b.c=x a="), F.col("device"), F.lit(" noise"))
+    fields = text.key_values(made)
+    return views.log(spark, sf).select("event_id", F.element_at(fields, "a").alias("a"), F.element_at(fields, F.lit("b.c")).alias("bc"), F.size(fields).alias("n"))
