@@ -123,9 +123,11 @@ def fit(labelled: DataFrame, most: int = MAX_SAMPLE) -> Model:
     share = labelled.groupBy("label").count()
     n_labels = max(1, share.count())
     chance = F.least(F.lit(1.0), F.lit(most / n_labels * 1.2) / F.col("count"))
-    even = labelled.join(F.broadcast(share), "label").where(F.pmod(key, F.lit(1 << 20)) < chance * (1 << 20))
-    sample = even.orderBy(key, "doc_id").limit(most).select("label", "text", F.pmod(F.xxhash64("doc_id", F.lit(42)), F.lit(5)).cast("int").alias("part"))
-    rows = sample.mapInArrow(_counts, "label string, part int, ids binary, counts binary").toPandas()
+    even = labelled.select("doc_id", "label").join(F.broadcast(share), "label").where(F.pmod(key, F.lit(1 << 20)) < chance * (1 << 20))
+    drawn = F.broadcast(even.orderBy(key, "doc_id", "label").limit(most).select("doc_id", "label").distinct())
+    part = F.pmod(F.xxhash64("doc_id", F.lit(42)), F.lit(5)).cast("int").alias("part")
+    sample = labelled.join(drawn, ["doc_id", "label"]).select("label", "text", part)
+    rows = sample.mapInArrow(_counts, "label string, part int, ids binary, counts binary").toArrow().to_pandas()
     return train(rows)
 
 
@@ -133,6 +135,7 @@ def train(rows: pd.DataFrame) -> Model:
     languages = sorted(rows["label"].unique())
     if not languages:
         return Model([], np.zeros((BUCKETS, 0)), np.zeros(0))
+    rows = rows.sort_values(["label", "part", "ids", "counts"]).reset_index(drop=True)  # the same order whatever the partitions
     target = rows["label"].map({x: k for k, x in enumerate(languages)}).to_numpy()
     ids = [np.frombuffer(x, dtype=np.int32) for x in rows["ids"]]
     values = [c / max(1.0, c.sum()) for c in (np.frombuffer(x, dtype=np.float32) for x in rows["counts"])]
@@ -146,11 +149,9 @@ def train(rows: pd.DataFrame) -> Model:
         fitted = np.arange(len(rows))
     for epoch in range(EPOCHS):
         rate = RATE * (1 - epoch / EPOCHS)
+        order = rng.permutation(fitted)
         for lo in range(0, len(fitted), BATCH):
-            batch = rng.permutation(fitted)[:BATCH] if lo == 0 else order[lo : lo + BATCH]
-            if lo == 0:
-                order = rng.permutation(fitted)
-                batch = order[:BATCH]
+            batch = order[lo : lo + BATCH]
             at, value = np.concatenate([ids[i] for i in batch]), np.concatenate([values[i] for i in batch])[:, None]
             sizes = np.array([len(ids[i]) for i in batch])
             row = np.repeat(np.arange(len(batch)), sizes)
