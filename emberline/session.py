@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a few plain columns that may be broadcast (about 40 MB); beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
+#: Rows that Python gets at a time while a table is stored: texts are long.
+BATCH_ROWS = 1_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -40,7 +42,8 @@ class Scratch:
         return f"{self.folder}/{table}"
 
     def write(self, df: DataFrame, table: str) -> DataFrame:
-        df.write.parquet(self.path(table))
+        with batch_rows(self.spark, BATCH_ROWS):
+            df.write.parquet(self.path(table))
         return self.spark.read.schema(df.schema).parquet(self.path(table))
 
     def drop(self, table: str) -> None:
