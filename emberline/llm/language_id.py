@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberline.llm.textkit import mix64, slices
+from emberline.llm.textkit import mix64, release, slices
 
 #: Labelled texts that the model is fitted on, at most.
 MAX_SAMPLE = 3000
@@ -105,6 +105,7 @@ def softmax(x: np.ndarray) -> np.ndarray:
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """label, part and the text's bucket counts, at most BUCKETS of them."""
+    release()
     for batch in batches:
         for part in slices(batch):
             row, bucket, _ = subwords(part.column("text").to_pylist())
@@ -181,6 +182,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of docs with lang_pred, score and accepted; docs has a text and columns of other names."""
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for part in slices(batch):
                 language, score, accepted = model.predict([t or "" for t in part.column("text").to_pylist()])

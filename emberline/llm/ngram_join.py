@@ -39,13 +39,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberline.llm.components import components
-from emberline.llm.copies import copy_groups
-from emberline.llm.textkit import Words, mix64, slices, text_bytes
+from emberline.llm.copies import copy_groups, settled
+from emberline.llm.textkit import Words, mix64, release, slices, text_bytes
 from emberline.session import Scratch, small
 
 SIZE = 5
 #: Similarity as a fraction.
 NUMERATOR, DENOMINATOR = 3, 4
+#: Text bytes whose equal shingles a worker settles on its own.
+BATCH_BYTES = 8 << 20
 #: Matches asked of the first prefixes, as a fraction of the set.
 FIRST = 0.1
 
@@ -70,30 +72,42 @@ def _required(n: np.ndarray | int):
 
 def _first_prefixes(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """shingle and doc_id of every prefix; and one row with n a document, under a key of its own."""
+        """shingle, weight and doc_id (null: a witness) of every prefix; and one row with n a document, under a key of its own."""
+        release()
         for batch in batches:
-            for part in slices(batch):
-                ids = part.column("doc_id").to_numpy()
-                keys, docs, sizes = [], [], []
-                for k, own in _sets(part, size):
-                    n = len(own)
-                    m = min(max(1, int(np.ceil(FIRST * n))), _required(n))
-                    keys.append(own[: n - _required(n) + m])
-                    docs.append(np.full(len(keys[-1]) + 1, ids[k]))
-                    keys.append(mix64(ids[k : k + 1].view(np.uint64), 77))
-                    sizes.append(np.zeros(len(docs[-1]), dtype=np.int32))
-                    sizes[-1][-1] = n
-                if keys:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(docs)), pa.array(np.concatenate(sizes))],
-                        ["shingle", "doc_id", "n"],
-                    )
+            for large in slices(batch, size=BATCH_BYTES):
+                keys, docs, own_ids, own_sizes = [], [], [], []
+                for part in slices(large):
+                    ids = part.column("doc_id").to_numpy()
+                    for k, own in _sets(part, size):
+                        n = len(own)
+                        m = min(max(1, int(np.ceil(FIRST * n))), _required(n))
+                        keys.append(own[: n - _required(n) + m])
+                        docs.append(np.full(len(keys[-1]), ids[k]))
+                        own_ids.append(ids[k])
+                        own_sizes.append(n)
+                if not keys:
+                    continue
+                key, doc = np.concatenate(keys), np.concatenate(docs)
+                keys_, weights, owned = settled(key, mix64(key ^ mix64(doc.view(np.uint64), 9), 1))
+                witnesses, n_docs = np.zeros(len(keys_) - len(doc), dtype=np.int64), len(own_ids)
+                own = np.array(own_ids, dtype=np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.concatenate([keys_, mix64(own.view(np.uint64), 77)]).view(np.int64)),
+                        pa.array(np.concatenate([weights, np.ones(n_docs, dtype=np.int32)])),
+                        pa.array(np.concatenate([doc, witnesses, own]), mask=np.concatenate([~owned, np.zeros(n_docs, dtype=bool)])),
+                        pa.array(np.concatenate([np.zeros(len(keys_), dtype=np.int32), np.array(own_sizes, dtype=np.int32)])),
+                    ],
+                    ["shingle", "weight", "doc_id", "n"],
+                )
 
     return run
 
 
 def _whole_sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for part in slices(batch):
                 ids = part.column("doc_id").to_numpy()
@@ -107,7 +121,7 @@ def _whole_sets(size: int):
 
 
 def _required_column(n: Column) -> Column:
-    return F.expr("1").cast("long") * ((n * NUMERATOR + (DENOMINATOR - 1)) / DENOMINATOR).cast("long")
+    return F.ceil(n * NUMERATOR / DENOMINATOR)
 
 
 def _similar(left: Column, right: Column, n_left: Column, n_right: Column) -> Column:
@@ -128,13 +142,13 @@ def shingle_components(docs: DataFrame, size: int = SIZE) -> DataFrame:
     spark = docs.sparkSession
     scratch = Scratch(spark, "ngrams")
     docs = docs.select("doc_id", "text")
-    copies = scratch.write(copy_groups(docs).where("doc_id != leader").distinct(), "copies")
+    copies = scratch.write(copy_groups(docs, scratch).where("doc_id != leader").distinct(), "copies")
     texts = docs.where("doc_id is not null").join(small(copies.select("doc_id")), "doc_id", "left_anti")
 
     # 1. Prefixes in hash order.
-    prefixes = texts.mapInArrow(_first_prefixes(size), "shingle long, doc_id long, n int")
-    holders = F.expr("count(1) over (partition by shingle)")
-    counted = prefixes.withColumn("holders", holders).groupBy("doc_id").agg(
+    prefixes = texts.mapInArrow(_first_prefixes(size), "shingle long, weight int, doc_id long, n int")
+    holders = F.expr("sum(weight) over (partition by shingle)")
+    counted = prefixes.withColumn("holders", holders).where("doc_id is not null").groupBy("doc_id").agg(
         F.max("n").cast("long").alias("n"), F.count_if((F.col("n") == 0) & (F.col("holders") > 1)).alias("matches")
     )
     counted = scratch.write(counted, "counted")
@@ -143,7 +157,8 @@ def shingle_components(docs: DataFrame, size: int = SIZE) -> DataFrame:
 
     # 2. Whole sets of what is left, with the number of sets that hold each shingle.
     whole = texts.join(small(rest.select("doc_id")), "doc_id", "left_semi").mapInArrow(_whole_sets(size), "shingle long, doc_id long")
-    repeated = whole.withColumn("holders", F.expr("cast(count(1) over (partition by shingle) as int)")).where("holders > 1")
+    holders = whole.groupBy("shingle").agg(F.count(F.lit(1)).cast("int").alias("holders")).where("holders > 1")
+    repeated = whole.join(scratch.write(holders, "holders"), "shingle")
     lists = repeated.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("holders", "shingle"))).alias("listed"))
     sets = lists.join(rest, "doc_id").where(F.size("listed") >= _required_column(F.col("n")))
     sets = scratch.write(sets.select("doc_id", "n", F.col("listed.shingle").alias("shingles")), "sets")

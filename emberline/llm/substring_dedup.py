@@ -28,8 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberline.llm.copies import copy_groups
-from emberline.llm.textkit import Words, mix64, ragged, slices, text_bytes
+from emberline.llm.copies import copy_groups, settled
+from emberline.llm.textkit import Words, mix64, ragged, release, slices, text_bytes
 from emberline.session import Scratch, small
 
 WINDOW = 35
@@ -41,20 +41,6 @@ _IN_COVER = np.isin(np.arange(PERIOD), COVER)
 BATCH_BYTES = 8 << 20
 
 
-def _settled(key: np.ndarray, salt: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys to shuffle by, their weights and which are owned: repeated keys get one unowned row, and owned rows of weight 2 by ``salt``."""
-    order = np.argsort(key, kind="stable")
-    new = np.r_[True, key[order][1:] != key[order][:-1]] if len(key) else np.empty(0, dtype=bool)
-    runs = np.diff(np.r_[np.flatnonzero(new), len(key)])
-    repeated = np.empty(len(key), dtype=bool)
-    repeated[order] = np.repeat(runs > 1, runs)
-    witnesses = key[order][new][runs > 1]
-    keys = np.concatenate([np.where(repeated, salt, key), witnesses])
-    weights = np.concatenate([np.where(repeated, 2, 1), np.full(len(witnesses), 2)]).astype(np.int32)
-    owned = np.concatenate([np.ones(len(key), dtype=bool), np.zeros(len(witnesses), dtype=bool)])
-    return keys, weights, owned
-
-
 def _places(words: Words, counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each word that starts ``size`` words of one document: index, row and position."""
     position = ragged(counts)
@@ -66,10 +52,9 @@ def _places(words: Words, counts: np.ndarray, size: int) -> tuple[np.ndarray, np
 def _rows(key: np.ndarray, more: np.ndarray, rid: np.ndarray, position: np.ndarray) -> pa.RecordBatch:
     """One batch for the shuffle by key; ``more`` are further bits that must be equal too."""
     whole = mix64(key ^ mix64(more, 13), 14)
-    keys, weights, owned = _settled(whole, mix64(mix64(rid.view(np.uint64), 9) ^ position.astype(np.uint64), 1))
+    keys, weights, owned = settled(whole, mix64(mix64(rid.view(np.uint64), 9) ^ position.astype(np.uint64), 1))
     extra = len(keys) - len(key)
     none = np.zeros(extra, dtype=np.int64)
-    at = {}
     if extra:
         first = np.unique(whole, return_index=True)
         at = first[1][np.searchsorted(first[0], keys[len(key) :])]
@@ -88,6 +73,7 @@ _ROWS = "key long, more int, weight int, rid long, position int"
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    release()
     for batch in batches:
         for large in slices(batch, size=BATCH_BYTES):
             keys, rids, positions = [], [], []
@@ -120,6 +106,7 @@ def _candidates(words: Words, anchors: pa.Array) -> tuple[np.ndarray, np.ndarray
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    release()
     for batch in batches:
         for large in slices(batch, size=BATCH_BYTES):
             found: list[list[np.ndarray]] = [[], [], [], []]
@@ -136,6 +123,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows with anchors: n_words, n_removed and the kept words joined by one space."""
+    release()
     for batch in batches:
         for part in slices(batch):
             words = Words(*text_bytes(part.column("text")))
@@ -160,6 +148,7 @@ def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _unjudged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows without anchors of their own: copies of others go whole if they hold a window, the rest stay."""
+    release()
     for batch in batches:
         for part in slices(batch):
             data, bounds = text_bytes(part.column("text"))
@@ -189,7 +178,7 @@ def judge(docs: DataFrame) -> DataFrame:
     others = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])
     docs = docs.select(F.xxhash64("doc_id", "text").alias("rid"), others.alias("row"), "text")
     texts = docs.select("rid", "text")
-    copies = scratch.write(copy_groups(texts, "rid"), "copies")
+    copies = scratch.write(copy_groups(texts, scratch, "rid"), "copies")
     unique = texts.join(small(copies.where("rid != leader").select("rid").distinct()), "rid", "left_anti")
 
     repeated = unique.mapInArrow(_anchors, _ROWS).withColumn("total", F.expr("sum(weight) over (partition by key)"))

@@ -7,7 +7,7 @@ Work goes in slices of bounded size, so that one batch needs bounded memory.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -69,6 +69,21 @@ def _word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     return mix64(out, 3)
 
 
+_HELD: list[Callable[[], None]] = []
+
+
+def on_release(f: Callable[[], None]) -> None:
+    """Registers what a worker may keep between tasks; workers serve several operators, one after the other."""
+    _HELD.append(f)
+
+
+def release() -> None:
+    """Frees what other operators' tasks have left in this worker."""
+    for f in _HELD:
+        f()
+    pa.default_memory_pool().release_unused()
+
+
 class Words:
     """The words of some documents: hashes, byte spans, and the first word of each document."""
 
