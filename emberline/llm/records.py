@@ -33,10 +33,10 @@ from pyspark.sql import functions as F
 
 from emberline.llm import tokens
 from emberline.llm.textkit import slices
-from emberline.session import Scratch
+from emberline.session import BATCH_ROWS, Scratch, batch_rows
 
 #: Text bytes that go to one record file.
-FILE_BYTES = 32 << 20
+FILE_BYTES = 16 << 20
 
 
 def masked_crc(data: bytes) -> int:
@@ -76,13 +76,14 @@ def write_records(docs: DataFrame, folder: str, vocabulary: str, end_id: int, fi
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = tokens.encoder(vocabulary), np.uint32(end_id).tobytes()
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, size=tokens.TEXT_BYTES):
                 packed = encoder.encode([t or "" for t in part.column("text").to_pylist()])
                 framed = [frame(d, tokens.ids(p + end)) for d, p in zip(part.column("doc_id").to_pylist(), packed, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(framed, pa.binary())], ["record"])
 
     framed = ordered.mapInArrow(encode, "record binary")
-    framed.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\n").text(f"{folder}/data")
+    with batch_rows(spark, BATCH_ROWS):
+        framed.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\n").text(f"{folder}/data")
     read_records(spark, folder, with_ids=False).write.parquet(f"{folder}/index")
 
 

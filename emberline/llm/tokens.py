@@ -11,16 +11,21 @@ from __future__ import annotations
 import json
 import os
 import re
+import unicodedata
 from array import array
 from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 
+from emberline.llm.textkit import on_release
+
 #: Distinct units in a worker's newer and in its older cache; units in use move to the newer one.
-CACHE_UNITS = 600_000
+CACHE_UNITS = 400_000
 #: Units that are encoded as one text, where their ids can be told apart again.
 JOINED_UNITS = 1_000
+#: Text bytes to encode at a time: units that come again in them are looked up once.
+TEXT_BYTES = 4 << 20
 _PUNCTUATION = frozenset(".,;:!?|")
 _ADJACENT = re.compile(r"\s\s")
 _SAFE = re.compile(r"(?<=\S)(?= \S)")
@@ -54,6 +59,8 @@ class Encoder:
         self.newer: dict[str, dict[str, bytes]] = {"": {}, " ": {}}
         self.older: dict[str, dict[str, bytes]] = {"": {}, " ": {}}
         self.marks = dict(zip(_PUNCTUATION, self.whole(list(_PUNCTUATION)), strict=True))
+        newline = self.whole(["\n"])[0]
+        self.newline = int(ids(newline)[0]) if len(newline) == 4 else -1
         tokens = self.tokenizer.get_vocab()
         #: ids that begin (spaced) or end (dropped) a unit of letters
         self.edge = np.zeros(max(tokens.values()) + 1, dtype=bool)
@@ -64,18 +71,28 @@ class Encoder:
     def whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _words(self, words: list[str]) -> list[bytes]:
-        """The ids of words of letters alone (spaced: each with a space before it)."""
+    def _one_piece(self, word: str) -> bool:
+        """Whether a word is letters alone, also after normalisation."""
+        return word.isalpha() and (word.isascii() or self.mode == "spaced" or unicodedata.normalize("NFC", word).lower().isalpha())
+
+    def _words(self, words: list[str], prefix: str) -> list[bytes]:
+        """The ids of words of letters alone, each after the prefix; many are encoded as one text and told apart by edges."""
         parts = [words[lo : lo + JOINED_UNITS] for lo in range(0, len(words), JOINED_UNITS)]
-        lead = " " if self.mode == "spaced" else ""
+        between = "\n" if self.mode == "spaced" and not prefix else " "
         out: list[bytes] = []
-        for part, packed in zip(parts, self.whole([lead + " ".join(p) for p in parts]), strict=True):
-            edges = np.flatnonzero(self.edge[ids(packed)]) * 4
-            bounds = [*edges.tolist(), len(packed)] if lead else [0, *(edges + 4).tolist()]
-            if len(bounds) == len(part) + 1 and bounds[0] == 0 and bounds[-1] == len(packed):
-                out += [packed[lo:hi] for lo, hi in zip(bounds, bounds[1:], strict=False)]
+        for part, packed in zip(parts, self.whole([prefix + between.join(p) for p in parts]), strict=True):
+            own = ids(packed)
+            if between == "\n":  # the mark's own id stands between words
+                edges = np.flatnonzero(own == self.newline) * 4
+                starts, stops = [0, *(edges + 4).tolist()], [*edges.tolist(), len(packed)]
+            else:
+                edges = np.flatnonzero(self.edge[own]) * 4
+                bounds = [*edges.tolist(), len(packed)] if self.mode == "spaced" else [0, *(edges + 4).tolist()]
+                starts, stops = bounds[:-1], bounds[1:]
+            if len(starts) == len(part) and starts[0] == 0 and stops[-1] == len(packed):
+                out += [packed[lo:hi] for lo, hi in zip(starts, stops, strict=True)]
             else:  # a word that isn't one piece after normalisation
-                out += self.whole([lead + w for w in part])
+                out += self.whole([prefix + w for w in part])
         return out
 
     def _learn(self, units: set[str], prefix: str = "") -> dict[str, bytes]:
@@ -84,23 +101,22 @@ class Encoder:
         if len(newer) > CACHE_UNITS:
             newer, older = {}, newer
             self.newer[prefix], self.older[prefix] = newer, older
-        bases: set[str] = set()
-        ended, others = [], []
-        for u in units:
-            if u not in newer:
-                if u in older:
-                    newer[u] = older[u]
-                elif self.mode == "spaced" and not prefix:
-                    others.append(u)
-                elif u.isalpha():
-                    bases.add(u)
-                elif u and u[-1] in _PUNCTUATION and u[:-1].isalpha():
-                    ended.append(u)
-                    bases.add(u[:-1])
-                else:
-                    others.append(u)
+        missing = units.difference(newer)
+        again = {u: older[u] for u in missing if u in older}
+        newer.update(again)
+        missing.difference_update(again)
+        others: list[str] = []
+        words = filter(str.isalpha, missing)
+        bases = set(words if self.mode == "spaced" else filter(self._one_piece, words))
+        ended = []
+        for u in missing.difference(bases):
+            if u and u[-1] in _PUNCTUATION and self._one_piece(u[:-1]):
+                ended.append(u)
+                bases.add(u[:-1])
+            else:
+                others.append(u)
         fresh = [u for u in bases if u not in newer]
-        newer.update(zip(fresh, self._words(fresh), strict=True))
+        newer.update(zip(fresh, self._words(fresh, prefix), strict=True))
         for u in ended:
             newer[u] = newer[u[:-1]] + self.marks[u[-1]]
         for lo in range(0, len(others), 20_000):
@@ -124,10 +140,10 @@ class Encoder:
                 plan.append(units := _SAFE.split(t))
                 plain.update(units)
             else:
-                plan.append(lines := [line.split(" ") for line in t.split("\n")])
-                for words in lines:
-                    plain.add(words[0])
-                    spaced.update(words[1:])
+                plan.append(lines := [(words.pop(0), words) for words in [line.split(" ") for line in t.split("\n")]])
+                for first, words in lines:
+                    plain.add(first)
+                    spaced.update(words)
         get, get_plain = self._learn(spaced, " ").__getitem__, self._learn(plain).__getitem__
         newline = get_plain("\n")
         out = []
@@ -138,20 +154,23 @@ class Encoder:
                 out.append(b"".join(map(get_plain, units)))
             else:
                 parts: list[bytes] = []
-                for words in units:
+                for first, words in units:
                     if parts:
                         parts.append(newline)
-                    parts.append(get_plain(words[0]))
-                    parts.extend(map(get, words[1:]))
+                    parts.append(get_plain(first))
+                    parts += map(get, words)
                 out.append(b"".join(parts))
         return out
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=1)
 def encoder(path: str) -> Encoder:
-    """One per worker process and vocabulary file."""
+    """One per worker process, for the vocabulary file used last."""
     return Encoder(path)
 
 
+on_release(encoder.cache_clear)
+
+
 def ids(packed: bytes) -> np.ndarray:
     return np.frombuffer(packed, dtype="<u4")
