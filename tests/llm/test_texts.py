@@ -157,6 +157,19 @@ def test_decontamination(spark):
     assert decontaminate.find_items(frame.limit(0), benchmark).count() == 0
 
 
+def test_decontamination_of_small_tables_and_items_in_many_copies(spark):
+    rng = random.Random(4)
+    make = lambda n: [f"word{rng.randrange(3000)}" for _ in range(n)]
+    items = [(k, " ".join(make(20))) for k in range(3)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    found = lambda docs: {(r["doc_id"], r["item_id"]) for r in decontaminate.find_items(spark.createDataFrame(docs, "doc_id long, text string"), benchmark).collect()}
+    around = lambda item: " ".join([*make(10), item, *make(10)])
+    assert found([(1, around(items[0][1])), (2, items[1][1]), (3, " ".join(make(30)))]) == {(1, 0), (2, 1)}
+    copy = around(items[2][1])
+    docs = [(k, copy if k % 3 == 0 else " ".join(make(100))) for k in range(300)] + [(1000, around(items[2][1]))]
+    assert found(docs) == {(k, 2) for k in range(0, 300, 3)} | {(1000, 2)}
+
+
 def test_common_subsequence():
     import numpy as np
 
