@@ -170,6 +170,15 @@ def test_decontamination_of_small_tables_and_items_in_many_copies(spark):
     assert found(docs) == {(k, 2) for k in range(0, 300, 3)} | {(1000, 2)}
 
 
+def test_decontamination_of_long_and_short_items(spark):
+    rng = random.Random(6)
+    make = lambda n: [f"word{rng.randrange(3000)}" for _ in range(n)]
+    items = [(k, " ".join(make(300))) for k in range(60)] + [(100 + n, " ".join(f"short{n}x{k}" for k in range(n))) for n in range(1, 8)]
+    docs = [(k, " ".join([*make(100), *t.split(), *make(100)])) for k, t in items] + [(-1, "short2x0 between short2x1"), (-2, " ".join(make(500)))]
+    found = decontaminate.find_items(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted((r["doc_id"], r["item_id"]) for r in found.collect()) == [(k, k) for k, _ in items]
+
+
 def test_common_subsequence():
     import numpy as np
 
