@@ -142,7 +142,7 @@ def shingle_components(docs: DataFrame, size: int = SIZE) -> DataFrame:
     spark = docs.sparkSession
     scratch = Scratch(spark, "ngrams")
     docs = docs.select("doc_id", "text")
-    copies = scratch.write(copy_groups(docs, scratch).where("doc_id != leader").distinct(), "copies")
+    copies = scratch.write(copy_groups(docs.where(F.col("text").rlike(r"[^ \t\n\x0B\f\r]")), scratch).where("doc_id != leader").distinct(), "copies")
     texts = docs.where("doc_id is not null").join(small(copies.select("doc_id")), "doc_id", "left_anti")
 
     # 1. Prefixes in hash order.

@@ -128,6 +128,13 @@ def test_ngram_join_of_repeated_rows_null_ids_and_nothing(spark):
     assert kept == ["3", "6", "None"]
 
 
+def test_ngram_join_of_equal_texts_without_words(spark):
+    docs = spark.createDataFrame([(1, ""), (2, ""), (3, " \n\x0b"), (4, " \n\x0b"), (5, "a"), (6, "a"), (7, "\xa0"), (8, "\xa0")], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.shingle_components(docs).collect()}
+    assert got == {1: (0, 1), 2: (0, 2), 3: (0, 3), 4: (0, 4), 5: (1, 5), 6: (1, 5), 7: (1, 7), 8: (1, 7)}
+    assert {r["doc_id"] for r in ngram_join.one_of_each(docs).collect()} == {1, 2, 3, 4, 5, 7}
+
+
 def test_decontamination(spark):
     rng = random.Random(9)
     vocabulary = [f"word{k}" for k in range(3000)]
