@@ -52,7 +52,7 @@ def form(text: str) -> list[float]:
     words = text.split()
     different = len(set(words)) / max(1, len(words))
     marks = text.count("!") + text.count("|") + text.count("?")
-    upper = sum(1 for c in text[:: max(1, n // 2000)] if c.isupper()) / max(1, len(text[:: max(1, n // 2000)]))
+    upper = sum(map(str.isupper, text)) / n
     return [min(1.0, np.log1p(len(words)) / 10), different, min(1.0, 10 * marks / n), upper, min(1.0, text.count("\n") * 20 / n)]
 
 

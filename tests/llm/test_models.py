@@ -140,6 +140,10 @@ def test_toxicity(spark):
     assert not [r for r in wrong if r[0] is None or r[0] >= 1000] and len(wrong) <= 3
 
 
+def test_form_reads_long_texts_whole():
+    assert toxicity.form("aB" * 2000)[3] == toxicity.form("aB" * 10)[3] == 0.5
+
+
 def test_toxicity_without_labels(spark):
     docs, _ = toxic_corpus()
     frame = spark.createDataFrame(docs, "doc_id long, text string, lang string, toxic string")
