@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from emberline.llm.textkit import tidy
+
 #: Hash tables, and axes that a query looks at in each.
 TABLES, PROBES = 8, 24
 #: Index rows of a block.
@@ -140,8 +142,8 @@ def nearest_neighbours(queries: DataFrame, vectors: DataFrame, k: int = 10, tabl
     same = Window.partitionBy("vector").orderBy("id")
     index = vectors.withColumn("k", F.row_number().over(same)).where(F.col("k") <= k + 1).select("id", "vector")
     schema = "table int, bucket int, id long, vector array<double>"
-    index = index.mapInArrow(_hashed(radius, tables, 1), schema)
-    looked = queries.mapInArrow(_hashed(radius, tables, probes), schema)
+    index = index.mapInArrow(tidy(_hashed(radius, tables, 1)), schema)
+    looked = queries.mapInArrow(tidy(_hashed(radius, tables, probes)), schema)
     # At most two buckets a dimension and table.
     blocks = index.groupBy("table", "bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks"))
     index = index.join(F.broadcast(blocks), ["table", "bucket"]).withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))

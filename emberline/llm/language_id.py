@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberline.llm.textkit import mix64, release, slices
+from emberline.llm.textkit import mix64, slices, tidy
 
 #: Labelled texts that the model is fitted on, at most.
 MAX_SAMPLE = 3000
@@ -105,7 +105,6 @@ def softmax(x: np.ndarray) -> np.ndarray:
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """label, part and the text's bucket counts, at most BUCKETS of them."""
-    release()
     for batch in batches:
         for part in slices(batch):
             row, bucket, _ = subwords(part.column("text").to_pylist())
@@ -128,7 +127,7 @@ def fit(labelled: DataFrame, most: int = MAX_SAMPLE) -> Model:
     drawn = F.broadcast(even.orderBy(key, "doc_id", "label").limit(most).select("doc_id", "label").distinct())
     part = F.pmod(F.xxhash64("doc_id", F.lit(42)), F.lit(5)).cast("int").alias("part")
     sample = labelled.join(drawn, ["doc_id", "label"]).select("label", "text", part)
-    rows = sample.mapInArrow(_counts, "label string, part int, ids binary, counts binary").toArrow().to_pandas()
+    rows = sample.mapInArrow(tidy(_counts), "label string, part int, ids binary, counts binary").toArrow().to_pandas()
     return train(rows)
 
 
@@ -182,7 +181,6 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of docs with lang_pred, score and accepted; docs has a text and columns of other names."""
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
         for batch in batches:
             for part in slices(batch):
                 language, score, accepted = model.predict([t or "" for t in part.column("text").to_pylist()])
@@ -191,7 +189,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     kept = [c for c in docs.columns if c != "text"]
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
-    return docs.mapInArrow(predict, f"{kinds}, lang_pred string, score double, accepted boolean")
+    return docs.mapInArrow(tidy(predict), f"{kinds}, lang_pred string, score double, accepted boolean")
 
 
 def held_out(doc_id: Column) -> Column:

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from emberline.llm.components import components
 from emberline.llm.copies import copy_groups, settled
-from emberline.llm.textkit import Words, mix64, release, slices, text_bytes
+from emberline.llm.textkit import Words, mix64, slices, text_bytes, tidy
 from emberline.session import Scratch, small
 
 SIZE = 5
@@ -73,7 +73,6 @@ def _required(n: np.ndarray | int):
 def _first_prefixes(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """shingle, weight and doc_id (null: a witness) of every prefix; and one row with n a document, under a key of its own."""
-        release()
         for batch in batches:
             for large in slices(batch, size=BATCH_BYTES):
                 keys, docs, own_ids, own_sizes = [], [], [], []
@@ -107,7 +106,6 @@ def _first_prefixes(size: int):
 
 def _whole_sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
         for batch in batches:
             for part in slices(batch):
                 ids = part.column("doc_id").to_numpy()
@@ -146,7 +144,7 @@ def shingle_components(docs: DataFrame, size: int = SIZE) -> DataFrame:
     texts = docs.where("doc_id is not null").join(small(copies.select("doc_id")), "doc_id", "left_anti")
 
     # 1. Prefixes in hash order.
-    prefixes = texts.mapInArrow(_first_prefixes(size), "shingle long, weight int, doc_id long, n int")
+    prefixes = texts.mapInArrow(tidy(_first_prefixes(size)), "shingle long, weight int, doc_id long, n int")
     holders = F.expr("sum(weight) over (partition by shingle)")
     counted = prefixes.withColumn("holders", holders).where("doc_id is not null").groupBy("doc_id").agg(
         F.max("n").cast("long").alias("n"), F.count_if((F.col("n") == 0) & (F.col("holders") > 1)).alias("matches")
@@ -156,7 +154,7 @@ def shingle_components(docs: DataFrame, size: int = SIZE) -> DataFrame:
     rest = scratch.write(counted.where(F.col("matches") >= asked).select("doc_id", "n"), "rest")
 
     # 2. Whole sets of what is left, with the number of sets that hold each shingle.
-    whole = texts.join(small(rest.select("doc_id")), "doc_id", "left_semi").mapInArrow(_whole_sets(size), "shingle long, doc_id long")
+    whole = texts.join(small(rest.select("doc_id")), "doc_id", "left_semi").mapInArrow(tidy(_whole_sets(size)), "shingle long, doc_id long")
     holders = whole.groupBy("shingle").agg(F.count(F.lit(1)).cast("int").alias("holders")).where("holders > 1")
     repeated = whole.join(scratch.write(holders, "holders"), "shingle")
     lists = repeated.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("holders", "shingle"))).alias("listed"))

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberline.llm import tokens
-from emberline.llm.textkit import slices
+from emberline.llm.textkit import slices, tidy
 from emberline.session import Scratch
 
 CAPACITY = 4096
@@ -61,7 +61,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int =
                 names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
                 yield pa.RecordBatch.from_arrays(arrays[: 5 + with_ids], names[: 5 + with_ids])
 
-    return docs.select("doc_id", "text").mapInArrow(cut, PIECES + (", ids binary" if with_ids else ""))
+    return docs.select("doc_id", "text").mapInArrow(tidy(cut, tokens.forget), PIECES + (", ids binary" if with_ids else ""))
 
 
 class _Rooms:
@@ -87,31 +87,6 @@ class _Rooms:
         return room, gap
 
 
-class _Rooms:
-    """Gaps by their room; finds the smallest room that is large enough."""
-
-    def __init__(self, capacity: int):
-        self.by_room: list[list] = [[] for _ in range(capacity + 1)]
-        self.filled = 0  # bit r: there is a gap with room r
-
-    def add(self, room: int, gap) -> None:
-        self.by_room[room].append(gap)
-        self.filled |= 1 << room
-
-    def take(self, size: int):
-        above = self.filled >> size
-        if not above:
-            return None
-        room = size + (above & -above).bit_length() - 1
-        own = self.by_room[room]
-        gap = own.pop()
-        if not own:
-            self.filled &= ~(1 << room)
-        return room, gap
-
-
-#: what: "placed" (id in sequence at offset), "item" or "gap" (left over, rank within its range), or "rest" (a gap
-#: that has become too small for some pieces of later ranges and waits for the next round)
 #: what: "placed" (id in sequence at offset), "item" or "gap" (left over, rank within its range), or "rest" (a gap
 #: that has become too small for some pieces of later ranges and waits for the next round)
 _SWEPT = "what string, range int, rank int, id long, size long, sequence long, offset long"

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from emberline.llm import tokens
-from emberline.llm.textkit import slices
+from emberline.llm.textkit import slices, tidy
 from emberline.session import BATCH_ROWS, Scratch, batch_rows
 
 #: Text bytes that go to one record file.
@@ -81,7 +81,7 @@ def write_records(docs: DataFrame, folder: str, vocabulary: str, end_id: int, fi
                 framed = [frame(d, tokens.ids(p + end)) for d, p in zip(part.column("doc_id").to_pylist(), packed, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(framed, pa.binary())], ["record"])
 
-    framed = ordered.mapInArrow(encode, "record binary")
+    framed = ordered.mapInArrow(tidy(encode, tokens.forget), "record binary")
     with batch_rows(spark, BATCH_ROWS):
         framed.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\n").text(f"{folder}/data")
     read_records(spark, folder, with_ids=False).write.parquet(f"{folder}/index")
@@ -110,7 +110,7 @@ def read_records(spark: SparkSession, folder: str, with_ids: bool = True) -> Dat
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    return files.mapInArrow(parse, schema + (", ids array<long>" if with_ids else ""))
+    return files.mapInArrow(tidy(parse), schema + (", ids array<long>" if with_ids else ""))
 
 
 def document_offsets(index: DataFrame) -> DataFrame:

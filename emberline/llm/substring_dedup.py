@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberline.llm.copies import copy_groups, settled
-from emberline.llm.textkit import Words, mix64, ragged, release, slices, text_bytes
+from emberline.llm.textkit import Words, mix64, ragged, slices, text_bytes, tidy
 from emberline.session import Scratch, small
 
 WINDOW = 35
@@ -73,7 +73,6 @@ _ROWS = "key long, more int, weight int, rid long, position int"
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    release()
     for batch in batches:
         for large in slices(batch, size=BATCH_BYTES):
             keys, rids, positions = [], [], []
@@ -106,7 +105,6 @@ def _candidates(words: Words, anchors: pa.Array) -> tuple[np.ndarray, np.ndarray
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    release()
     for batch in batches:
         for large in slices(batch, size=BATCH_BYTES):
             found: list[list[np.ndarray]] = [[], [], [], []]
@@ -123,7 +121,6 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows with anchors: n_words, n_removed and the kept words joined by one space."""
-    release()
     for batch in batches:
         for part in slices(batch):
             words = Words(*text_bytes(part.column("text")))
@@ -148,7 +145,6 @@ def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _unjudged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows without anchors of their own: copies of others go whole if they hold a window, the rest stay."""
-    release()
     for batch in batches:
         for part in slices(batch):
             data, bounds = text_bytes(part.column("text"))
@@ -181,23 +177,23 @@ def judge(docs: DataFrame) -> DataFrame:
     copies = scratch.write(copy_groups(texts, scratch, "rid"), "copies")
     unique = texts.join(small(copies.where("rid != leader").select("rid").distinct()), "rid", "left_anti")
 
-    repeated = unique.mapInArrow(_anchors, _ROWS).withColumn("total", F.expr("sum(weight) over (partition by key)"))
+    repeated = unique.mapInArrow(tidy(_anchors), _ROWS).withColumn("total", F.expr("sum(weight) over (partition by key)"))
     repeated = repeated.where("total > 1 and rid is not null")
     anchors = scratch.write(repeated.groupBy("rid").agg(F.collect_list("position").alias("anchors")), "anchors")
     known = scratch.write(anchors.select("rid").join(small(copies.select("rid").distinct()), "rid", "left_anti"), "known")
 
     listed = unique.join(small(anchors.select("rid")), "rid", "left_semi").join(anchors, "rid")
-    windows = listed.mapInArrow(_windows, _ROWS).withColumn("total", F.expr("sum(weight) over (partition by key, more)"))
+    windows = listed.mapInArrow(tidy(_windows), _ROWS).withColumn("total", F.expr("sum(weight) over (partition by key, more)"))
     windows = windows.where("total = 1")
     single = scratch.write(windows.groupBy("rid").agg(F.collect_list("position").alias("single")), "single")
 
     own = docs.schema["row"].dataType.simpleString()
     result = f"row {own}, text string, n_words long, n_removed long, kept string"
     lists = anchors.join(single, "rid", "left").select("rid", "anchors", F.coalesce("single", F.array().cast("array<int>")).alias("single"))
-    found = docs.join(small(known), "rid", "left_semi").join(lists, "rid").mapInArrow(_judged, result)
+    found = docs.join(small(known), "rid", "left_semi").join(lists, "rid").mapInArrow(tidy(_judged), result)
     copied = copies.select("rid").distinct().withColumn("copied", F.lit(True))
     rest = docs.join(small(known), "rid", "left_anti").join(small(copied), "rid", "left").withColumn("copied", F.col("copied").isNotNull())
-    return found.unionByName(rest.mapInArrow(_unjudged, result))
+    return found.unionByName(rest.mapInArrow(tidy(_unjudged), result))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:

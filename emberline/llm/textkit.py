@@ -7,8 +7,9 @@ Work goes in slices of bounded size, so that one batch needs bounded memory.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from functools import lru_cache, wraps
 
 import numpy as np
 import pyarrow as pa
@@ -69,19 +70,41 @@ def _word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     return mix64(out, 3)
 
 
-_HELD: list[Callable[[], None]] = []
+_HELD: list[Callable[[], None]] = [_powers.cache_clear]
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
 
 
-def on_release(f: Callable[[], None]) -> None:
+def on_release(f: Callable[[], None]) -> Callable[[], None]:
     """Registers what a worker may keep between tasks; workers serve several operators, one after the other."""
     _HELD.append(f)
+    return f
 
 
-def release() -> None:
-    """Frees what other operators' tasks have left in this worker."""
+def release(keep: Callable[[], None] | None = None) -> None:
+    """Frees what other operators' tasks have left in this worker, and gives freed memory back to the system."""
     for f in _HELD:
-        f()
+        if f is not keep:
+            f()
     pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
+Task = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def tidy(task: Task, keep: Callable[[], None] | None = None) -> Task:
+    """The task, which begins and ends with ``release``: a worker that waits for its next task holds little."""
+
+    @wraps(task)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release(keep)
+        try:
+            yield from task(batches)
+        finally:
+            release(keep)
+
+    return run
 
 
 class Words:

@@ -20,12 +20,14 @@ import numpy as np
 
 from emberline.llm.textkit import on_release
 
-#: Distinct units in a worker's newer and in its older cache; units in use move to the newer one.
-CACHE_UNITS = 400_000
+#: Bytes, with Python's own, of a worker's newer and of its older cache; units in use move to the newer one.
+CACHE_BYTES = 16 << 20
+#: Bytes that an entry takes besides its text and ids.
+_ENTRY_BYTES = 200
 #: Units that are encoded as one text, where their ids can be told apart again.
 JOINED_UNITS = 1_000
 #: Text bytes to encode at a time: units that come again in them are looked up once.
-TEXT_BYTES = 4 << 20
+TEXT_BYTES = 1 << 20
 _PUNCTUATION = frozenset(".,;:!?|")
 _ADJACENT = re.compile(r"\s\s")
 _SAFE = re.compile(r"(?<=\S)(?= \S)")
@@ -58,6 +60,7 @@ class Encoder:
             self.mode = "dropped"
         self.newer: dict[str, dict[str, bytes]] = {"": {}, " ": {}}
         self.older: dict[str, dict[str, bytes]] = {"": {}, " ": {}}
+        self.held = {"": 0, " ": 0}  # bytes of the newer caches
         self.marks = dict(zip(_PUNCTUATION, self.whole(list(_PUNCTUATION)), strict=True))
         newline = self.whole(["\n"])[0]
         self.newline = int(ids(newline)[0]) if len(newline) == 4 else -1
@@ -95,15 +98,18 @@ class Encoder:
                 out += self.whole([prefix + w for w in part])
         return out
 
+    def _add(self, units: list[str], packed: list[bytes], prefix: str) -> None:
+        self.newer[prefix].update(zip(units, packed, strict=True))
+        self.held[prefix] += _ENTRY_BYTES * len(units) + sum(map(len, units)) + sum(map(len, packed))
+
     def _learn(self, units: set[str], prefix: str = "") -> dict[str, bytes]:
         """A cache that holds all these units."""
+        if self.held[prefix] > CACHE_BYTES:
+            self.newer[prefix], self.older[prefix], self.held[prefix] = {}, self.newer[prefix], 0
         newer, older = self.newer[prefix], self.older[prefix]
-        if len(newer) > CACHE_UNITS:
-            newer, older = {}, newer
-            self.newer[prefix], self.older[prefix] = newer, older
         missing = units.difference(newer)
-        again = {u: older[u] for u in missing if u in older}
-        newer.update(again)
+        again = [u for u in missing if u in older]
+        self._add(again, [older[u] for u in again], prefix)
         missing.difference_update(again)
         others: list[str] = []
         words = filter(str.isalpha, missing)
@@ -116,12 +122,11 @@ class Encoder:
             else:
                 others.append(u)
         fresh = [u for u in bases if u not in newer]
-        newer.update(zip(fresh, self._words(fresh, prefix), strict=True))
-        for u in ended:
-            newer[u] = newer[u[:-1]] + self.marks[u[-1]]
+        self._add(fresh, self._words(fresh, prefix), prefix)
+        self._add(ended, [newer[u[:-1]] + self.marks[u[-1]] for u in ended], prefix)
         for lo in range(0, len(others), 20_000):
             part = others[lo : lo + 20_000]
-            newer.update(zip(part, self.whole([prefix + u for u in part]), strict=True))
+            self._add(part, self.whole([prefix + u for u in part]), prefix)
         return newer
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -169,7 +174,8 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-on_release(encoder.cache_clear)
+#: What tasks that encode keep from task to task.
+forget = on_release(encoder.cache_clear)
 
 
 def ids(packed: bytes) -> np.ndarray:

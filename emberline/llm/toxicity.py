@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberline.llm.textkit import release, slices
+from emberline.llm.textkit import slices, tidy
 
 #: Labelled documents that the models are fitted on, and terms of a category, at most.
 MAX_SAMPLE, MAX_TERMS = 8000, 600
@@ -148,7 +148,6 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_SAMPLE) -> Chain:
     sample = sample.select("text", "toxic", "low_quality", F.pmod(F.xxhash64("doc_id", F.lit(44)), F.lit(FOLDS)).cast("int").alias("fold"))
 
     def list_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
         for batch in batches:
             for part in slices(batch):
                 found = [list(terms(t)) for t in part.column("text").to_pylist()]
@@ -160,7 +159,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_SAMPLE) -> Chain:
     n, n_toxic, n_low = drawn.agg(F.count(F.lit(1)), F.sum("toxic"), F.sum("low_quality")).first()
     if not n_toxic or n_toxic == n:
         return Chain()
-    counted = sample.mapInArrow(list_terms, "term string, toxic int, low_quality int").groupBy("term").agg(
+    counted = sample.mapInArrow(tidy(list_terms), "term string, toxic int, low_quality int").groupBy("term").agg(
         F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("toxic"), F.sum("low_quality").alias("low_quality")
     ).where(F.col("n") >= LEAST_HOLDERS)
     chosen: set[str] = set()
@@ -174,7 +173,6 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_SAMPLE) -> Chain:
     index = {t: k for k, t in enumerate(ordered)}
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
         for batch in batches:
             texts = batch.column("text").to_pylist()
             found = [sorted(index[t] for t in terms(x) & index.keys()) for x in texts]
@@ -184,7 +182,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_SAMPLE) -> Chain:
 
     kept = ["fold", "toxic", "low_quality", "text"]
     schema = "fold int, toxic int, low_quality int, terms array<int>, form array<double>"
-    rows = sample.select(*kept).mapInArrow(features, schema).toArrow().to_pandas()
+    rows = sample.select(*kept).mapInArrow(tidy(features), schema).toArrow().to_pandas()
     if rows["toxic"].nunique() < 2:  # labels without documents
         return Chain()
     order = rows["terms"].map(lambda x: tuple(x)).rank(method="first").argsort()
@@ -197,7 +195,6 @@ def score_documents(docs: DataFrame, chain: Chain) -> DataFrame:
     kept = list(docs.columns)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
         for batch in batches:
             for part in slices(batch):
                 p = chain.score([t or "" for t in part.column("text").to_pylist()])
@@ -205,7 +202,7 @@ def score_documents(docs: DataFrame, chain: Chain) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*own, *(pa.array(c) for c in p.T.copy()), pa.array(p[:, 1] >= chain.threshold)], [*kept, *names, "toxic"])
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
-    return docs.mapInArrow(score, f"{kinds}, " + ", ".join(f"{n} double" for n in names) + ", toxic boolean")
+    return docs.mapInArrow(tidy(score), f"{kinds}, " + ", ".join(f"{n} double" for n in names) + ", toxic boolean")
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
