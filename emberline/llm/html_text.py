@@ -217,12 +217,13 @@ def line_ratios(lines: list[tuple[str, int, int, int]], evidence: list[float]) -
 
 
 def dense_lines(ratios: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Lines over the threshold that stand in heavy clusters; and smoothed ratios over the threshold."""
+    """Lines over the threshold that stand in heavy clusters; and lines over half of the threshold."""
     smooth = smoothed(ratios)
-    over = smooth >= min(smooth.mean(), np.median(smooth) + smooth.std())
+    least = min(smooth.mean(), np.median(smooth) + smooth.std())
+    over = smooth >= least
     run = np.cumsum(np.r_[True, over[1:] != over[:-1]]) - 1
     weight = np.bincount(run, weights=np.where(over, ratios, 0.0))
-    return over & (weight[run] >= HEAVY * weight.max()), over
+    return over & (weight[run] >= HEAVY * weight.max()), smooth >= least / 2
 
 
 def _held(page: _Page, weight: np.ndarray) -> list[float]:
@@ -248,17 +249,17 @@ def _inside(page: _Page, region: int) -> tuple[list[bool], list[int]]:
 
 
 def _region(page: _Page, ratios: np.ndarray) -> int:
-    dense, over = dense_lines(ratios)
+    dense, near_dense = dense_lines(ratios)
     weight = np.where(dense, ratios, 0.0)
     if not weight.any():
         weight = np.array([float(len(text)) for text, *_ in page.lines])
     held = _held(page, weight)
     region = max(k for k, h in enumerate(held) if h >= SHARE * held[0])  # of a chain the innermost has the highest number
-    # Characters of lines that aren't marked, of those that are over the threshold, and of those whose own ratio is.
+    # Characters of lines that aren't marked, of those that are near the threshold at least, and of those with dense ratios of their own.
     size = np.array([float(len(text)) for text, *_ in page.lines])
     plain = size * np.array([page.evidence[at] >= page.evidence[region] for *_, at in page.lines])
     least = ratios[dense].mean() / 2 if dense.any() else 0.0
-    all_, near, own = (_held(page, w) for w in (plain, plain * over, plain * (ratios >= least)))
+    all_, near, own = (_held(page, w) for w in (plain, plain * near_dense, plain * (ratios >= least)))
     at = region
     while page.parents[at] >= 0:
         parent = page.parents[at]

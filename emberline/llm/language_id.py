@@ -1,14 +1,14 @@
 """Language identification by averaged hashed subword embeddings and a linear softmax.
 
 A text's subwords are its runs of 1 to 3 characters, lower-cased, with everything
-but letters as one space; runs with a space inside don't count. Each is hashed to a
+but letters as one space; a space may begin or end a run, to mark a word's edge, but not stand inside. Each is hashed to a
 row of an embedding table. The rows' average goes through a linear softmax. Both are trained in
 numpy by stochastic gradient descent on a bounded sample of labelled texts (``MAX_SAMPLE``,
 chosen by a hash of doc_id, evenly over languages); whole texts are read. A part of the sample sets the softmax's temperature
 and the score below which a language is rejected.
 
 As the softmax is linear, the product of table and weights scores each subword, so
-a prediction sums one row a subword.
+a prediction sums one row a subword. A text without letters has no subwords.
 
 Defined results: a null text or one without letters is ``und`` with score 0; texts of any length are read
 whole; ties go to the language that sorts first; repeated rows get a row each; other columns are kept
@@ -27,12 +27,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberline.llm.textkit import mix64, slices, tidy
+from emberline.llm.textkit import mix64, on_release, ragged, slices, tidy
 
 #: Labelled texts that the model is fitted on, at most.
 MAX_SAMPLE = 3000
 BUCKETS, DIMENSIONS, LONGEST = 1 << 15, 16, 3
 EPOCHS, RATE, BATCH = 12, 4.0, 32
+#: Characters whose subwords are hashed at a time; longer texts are cut for it.
+PIECE = 1 << 18
 #: Share of wrong languages that is accepted among texts that aren't rejected.
 ACCEPTED_ERROR = 0.005
 UNKNOWN = "und"
@@ -43,32 +45,58 @@ def _letters() -> np.ndarray:
     return np.fromiter((chr(c).isalpha() for c in range(0x110000)), dtype=bool, count=0x110000)
 
 
-def subwords(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, bucket) of every subword, rows ascending; and which texts have letters."""
-    lowered = [t.lower() for t in texts]
-    lengths = np.array([len(t) + 1 for t in lowered], dtype=np.int64)
-    codes = np.frombuffer((" ".join(lowered) + " ").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    letter = _letters()[codes]
-    codes = np.where(letter, codes, 32).astype(np.uint64)
-    row = np.repeat(np.arange(len(texts)), lengths)
-    has = np.zeros(len(texts), dtype=bool)
-    has[row[letter]] = True
-    rows, buckets = [], []
-    key = np.zeros(len(codes), dtype=np.uint64)
-    for n in range(1, LONGEST + 1):
-        m = len(codes) - n + 1
-        if m <= 0:
-            break
-        with np.errstate(over="ignore"):
-            key = key[:m] * np.uint64(0x100000001B3) + codes[n - 1 :]
-        good = letter[:m].copy() if n == 1 else (letter[:m] | letter[n - 1 :])
-        for inner in range(1, n - 1):
-            good &= letter[inner : inner + m]
-        good &= row[:m] == row[n - 1 :]
-        at = np.flatnonzero(good)
-        rows.append(row[at])
-        buckets.append((mix64(key[at], n) % np.uint64(BUCKETS)).astype(np.int64))
-    return np.concatenate(rows), np.concatenate(buckets), has
+on_release(_letters.cache_clear)
+
+
+def _pieces(texts: list[str]) -> Iterator[tuple[np.ndarray, list[str], np.ndarray]]:
+    """Lower-cased texts in lists of at most about ``PIECE`` characters: text numbers, pieces, and characters that are a piece's own.
+
+    What a piece has beyond these only ends the runs that start in it.
+    """
+    rows: list[int] = []
+    pieces: list[str] = []
+    own: list[int] = []
+    held = 0
+    for k, text in enumerate(texts):
+        lowered = text.lower()
+        for lo in range(0, len(lowered), PIECE):
+            if held >= PIECE:
+                yield np.array(rows), pieces, np.array(own)
+                rows, pieces, own, held = [], [], [], 0
+            piece = lowered[lo : lo + PIECE + LONGEST - 1]
+            rows.append(k)
+            pieces.append(piece)
+            own.append(min(PIECE, len(lowered) - lo))
+            held += len(piece)
+    if rows:
+        yield np.array(rows), pieces, np.array(own)
+
+
+def subwords(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(text number, bucket) of every subword, in parts of bounded size."""
+    for row_of, pieces, own in _pieces(texts):
+        lengths = np.array([len(t) + 1 for t in pieces], dtype=np.int64)
+        codes = np.frombuffer((" ".join(pieces) + " ").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        letter = _letters()[codes]
+        codes = np.where(letter, codes, 32).astype(np.uint64)
+        row = np.repeat(np.arange(len(pieces)), lengths)
+        mine = ragged(lengths) < np.repeat(own, lengths)
+        rows, buckets = [], []
+        key = np.zeros(len(codes), dtype=np.uint64)
+        for n in range(1, LONGEST + 1):
+            m = len(codes) - n + 1
+            if m <= 0:
+                break
+            with np.errstate(over="ignore"):
+                key = key[:m] * np.uint64(0x100000001B3) + codes[n - 1 :]
+            good = mine[:m] & (letter[:m] if n == 1 else (letter[:m] | letter[n - 1 :]))
+            for inner in range(1, n - 1):
+                good &= letter[inner : inner + m]
+            good &= row[:m] == row[n - 1 :]
+            at = np.flatnonzero(good)
+            rows.append(row_of[row[at]])
+            buckets.append((mix64(key[at], n) % np.uint64(BUCKETS)).astype(np.int64))
+        yield np.concatenate(rows), np.concatenate(buckets)
 
 
 @dataclass
@@ -82,10 +110,12 @@ class Model:
     least: float = 0.0
 
     def logits(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        row, bucket, has = subwords(texts)
-        count = np.maximum(1, np.bincount(row, minlength=len(texts)))[:, None]
-        total = np.stack([np.bincount(row, weights=self.table[bucket, k], minlength=len(texts)) for k in range(len(self.languages))], axis=1)
-        return total / count + self.bias, has
+        count, total = np.zeros(len(texts)), np.zeros((len(texts), len(self.languages)))
+        for row, bucket in subwords(texts):
+            count += np.bincount(row, minlength=len(texts))
+            for k in range(len(self.languages)):
+                total[:, k] += np.bincount(row, weights=self.table[bucket, k], minlength=len(texts))
+        return total / np.maximum(1, count)[:, None] + self.bias, count > 0
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, score and whether it is accepted."""
@@ -107,8 +137,9 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """label, part and the text's bucket counts, at most BUCKETS of them."""
     for batch in batches:
         for part in slices(batch):
-            row, bucket, _ = subwords(part.column("text").to_pylist())
-            found, n = np.unique(row * BUCKETS + bucket, return_counts=True)
+            cells = [np.unique(row * BUCKETS + bucket, return_counts=True) for row, bucket in subwords(part.column("text").to_pylist())]
+            found, at = np.unique(np.concatenate([np.empty(0, np.int64), *(c for c, _ in cells)]), return_inverse=True)
+            n = np.bincount(at, weights=np.concatenate([np.empty(0), *(c for _, c in cells)]), minlength=len(found))
             bounds = np.searchsorted(found, np.arange(part.num_rows + 1) * BUCKETS)
             ids = [(found[lo:hi] % BUCKETS).astype(np.int32).tobytes() for lo, hi in zip(bounds, bounds[1:], strict=False)]
             counts = [n[lo:hi].astype(np.float32).tobytes() for lo, hi in zip(bounds, bounds[1:], strict=False)]

@@ -23,7 +23,7 @@ A set is the distinct shingles of ``size`` words, lower-cased from A to Z; with
 words the whole sequence is the one shingle. Shingles are known by 64-bit hashes.
 
 Defined results: a document without words or text has an empty set and no link; documents
-with equal texts are one component; a null doc_id has no links and a null
+with equal texts that hold words are one component; a null doc_id has the size of its set, no links and a null
 component; repeated rows get a row each, and rows that share a doc_id but not the text
 are one document with both sets (n_shingles is the larger); other columns are
 ignored; an empty table gives no rows.
@@ -118,6 +118,18 @@ def _whole_sets(size: int):
     return run
 
 
+def _set_sizes(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                n = np.zeros(part.num_rows, dtype=np.int64)
+                for k, own in _sets(part, size):
+                    n[k] = len(own)
+                yield pa.RecordBatch.from_arrays([pa.array(n)], ["n_shingles"])
+
+    return run
+
+
 def _required_column(n: Column) -> Column:
     return F.ceil(n * NUMERATOR / DENOMINATOR)
 
@@ -204,14 +216,17 @@ def shingle_components(docs: DataFrame, size: int = SIZE) -> DataFrame:
     labels = components(ids, links.unionByName(found), scratch, "all")
 
     # Copies take their leader's set and component.
-    leaders = docs.select("doc_id").join(copies.select("doc_id", "leader"), "doc_id", "left")
+    leaders = docs.where("doc_id is not null").select("doc_id").join(copies.select("doc_id", "leader"), "doc_id", "left")
     named = leaders.select("doc_id", F.coalesce("leader", "doc_id").alias("leader"))
     known = counted.select(F.col("doc_id").alias("leader"), F.col("n").alias("n_shingles")).join(
         labels.select(F.col("doc_id").alias("leader"), "component"), "leader", "left"
     )
-    return named.join(known, "leader", "left").select(
+    found = named.join(known, "leader", "left").select(
         "doc_id", F.coalesce("n_shingles", F.lit(0).cast("long")).alias("n_shingles"), F.coalesce("component", "leader").alias("component_id")
     )
+    unnamed = docs.where("doc_id is null").select("text").mapInArrow(tidy(_set_sizes(size)), "n_shingles long")
+    none = F.lit(None).cast(docs.schema["doc_id"].dataType)
+    return found.unionByName(unnamed.select(none.alias("doc_id"), "n_shingles", none.alias("component_id")))
 
 
 def _ceil_sql(n: str) -> str:

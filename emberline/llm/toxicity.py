@@ -1,13 +1,17 @@
 """Toxicity by classifier chains over linear models.
 
-Categories are predicted one after another: ``low_quality``, ``toxic``, ``severe``
-(toxic, with at least as many different marked terms as most toxic documents). Each is a
+Categories are predicted one after another: ``low_quality``, ``toxic``, ``severe``. Each is a
 logistic regression over term features, to which the probabilities of
 the earlier categories are added. For training those come from models that did not see the document
 (out-of-fold), so that a later model learns how far earlier ones can be trusted.
 
+The first two have labels. ``severe`` has none: its target is made, toxic documents with at least as many different marked
+terms as most toxic ones, where the terms that count as marked are those of the toxic model that did not see the document. It grades
+what is toxic and never decides which documents are: that is the second link alone.
+
 Terms are the distinct lower-cased words of a document, and the first five letters of longer ones with a star. A term is a feature
-if it tells a category apart (a bounded number of terms by deviance, counted in Spark over the sample);
+if at least ``LEAST_HOLDERS`` documents of the sample hold it and it tells a category apart (at most ``MAX_TERMS`` terms
+a category by deviance, counted in Spark over the sample; this bounds the model and drops no document);
 five measures of the text's form come with them. The models are fitted on a bounded sample of
 labelled documents (``MAX_SAMPLE``, half of them toxic if there are as many), chosen by a hash of doc_id.
 The threshold for ``toxic`` is set on out-of-fold probabilities.
@@ -31,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberline.llm.textkit import slices, tidy
+from emberline.session import Scratch
 
 #: Labelled documents that the models are fitted on, and terms of a category, at most.
 MAX_SAMPLE, MAX_TERMS = 8000, 600
@@ -108,11 +113,10 @@ def train(rows: pd.DataFrame, chosen: list[str]) -> Chain:
     fold = rows["fold"].to_numpy()
     chain = Chain(index)
     oof = np.zeros((n, len(CATEGORIES)))
+    marked = np.zeros(n)  # terms of each document that speak for toxicity in the model that didn't see it
     for k, category in enumerate(CATEGORIES):
         if category == "severe":
             toxic = targets["toxic"] > 0
-            # Terms that speak for toxicity in the model just fitted.
-            marked = np.bincount(row, weights=(chain.weights[1][: len(index)] > 1.0)[col].astype(float), minlength=n)
             targets[category] = (toxic & (marked >= max(1.0, np.median(marked[toxic])))).astype(float)
         target, features = targets[category], np.column_stack([dense, oof[:, :k]])
         for f in range(FOLDS):
@@ -120,6 +124,8 @@ def train(rows: pd.DataFrame, chosen: list[str]) -> Chain:
             w = _logistic(row, col, features, target, use.astype(float) > 0, len(index))
             z = np.bincount(row, weights=w[: len(index)][col], minlength=n) + features @ w[len(index) :]
             oof[~use, k] = (1 / (1 + np.exp(-np.clip(z, -30, 30))))[~use]
+            if category == "toxic":
+                marked[~use] = np.bincount(row, weights=(w[: len(index)] > 1.0)[col].astype(float), minlength=n)[~use]
         chain.weights.append(_logistic(row, col, features, target, np.ones(n, dtype=bool), len(index)))
     chain.threshold = _threshold(oof[:, 1], targets["toxic"] > 0)
     return chain
@@ -146,6 +152,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_SAMPLE) -> Chain:
     drawn = flags.where(F.pmod(key, F.lit(1 << 20)) < chance * (1 << 20)).orderBy(key, "doc_id").limit(most)
     sample = docs.where("doc_id is not null and text is not null").select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
     sample = sample.select("text", "toxic", "low_quality", F.pmod(F.xxhash64("doc_id", F.lit(44)), F.lit(FOLDS)).cast("int").alias("fold"))
+    sample = Scratch(docs.sparkSession, "toxicity").write(sample, "sample")
 
     def list_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -156,7 +163,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_SAMPLE) -> Chain:
                 columns = [pa.array([t for f in found for t in f], pa.string()), part.column("toxic").take(rows), part.column("low_quality").take(rows)]
                 yield pa.RecordBatch.from_arrays(columns, ["term", "toxic", "low_quality"])
 
-    n, n_toxic, n_low = drawn.agg(F.count(F.lit(1)), F.sum("toxic"), F.sum("low_quality")).first()
+    n, n_toxic, n_low = sample.agg(F.count(F.lit(1)), F.sum("toxic"), F.sum("low_quality")).first()
     if not n_toxic or n_toxic == n:
         return Chain()
     counted = sample.mapInArrow(tidy(list_terms), "term string, toxic int, low_quality int").groupBy("term").agg(
@@ -185,7 +192,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_SAMPLE) -> Chain:
     rows = sample.select(*kept).mapInArrow(tidy(features), schema).toArrow().to_pandas()
     if rows["toxic"].nunique() < 2:  # labels without documents
         return Chain()
-    order = rows["terms"].map(lambda x: tuple(x)).rank(method="first").argsort()
+    # The same order whatever the partitions.
+    order = sorted(range(len(rows)), key=lambda k: (tuple(rows["terms"][k]), tuple(rows["form"][k]), *rows.loc[k, ["fold", "toxic", "low_quality"]]))
     return train(rows.iloc[order].reset_index(drop=True), ordered)
 
 

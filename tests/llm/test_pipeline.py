@@ -82,3 +82,13 @@ def test_stages_of_nothing(spark, data):
 
 def test_operators_are_the_library_s():
     assert ngram_join.one_of_each and toxicity.without_toxic
+
+
+def test_stages_keep_null_repeated_and_blank_documents(spark, data):
+    odd = [(10**9 + k, t, None, None, None) for k, t in enumerate(["", "", " \n", " \n", None, None, "\x0b"])] + [(None, None, "en", "x", 1), (None, "some words", "en", "x", 1)]
+    docs = spark.read.parquet(f"{data}/documents.parquet").limit(40)
+    docs = docs.unionByName(spark.createDataFrame(odd, docs.schema))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, data)
+        assert {(r["doc_id"], r["text"]) for r in out.where("doc_id >= 1000000000 or doc_id is null").collect()} == {o[:2] for o in odd}
+    assert {r["doc_id"] for r in corpus_pipeline.STAGES[-1][1](spark, docs, data).collect()} >= {o[0] for o in odd}
