@@ -49,7 +49,7 @@ def _hadamard(x: np.ndarray) -> np.ndarray:
         x = x.reshape(n, d // (2 * step), 2, step)
         x = np.stack([x[:, :, 0] + x[:, :, 1], x[:, :, 0] - x[:, :, 1]], axis=2).reshape(n, d)
         step *= 2
-    return x / np.sqrt(d)
+    return x / x.dtype.type(np.sqrt(d))
 
 
 def on_sphere(x: np.ndarray, radius: float) -> np.ndarray:
@@ -65,7 +65,7 @@ def on_sphere(x: np.ndarray, radius: float) -> np.ndarray:
 def axes(x: np.ndarray, table: int, probes: int) -> np.ndarray:
     """The nearest signed axes of each unit vector after the table's pseudo-rotation, nearest first; all if there are fewer."""
     d = x.shape[1]
-    signs = np.random.default_rng([_SEED, table]).choice([-1.0, 1.0], size=(3, d))
+    signs = np.random.default_rng([_SEED, table]).choice([-1.0, 1.0], size=(3, d)).astype(x.dtype)
     for s in signs:
         x = _hadamard(x * s)
     both = np.concatenate([x, -x], axis=1)
@@ -85,20 +85,17 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
-def _hashed(radius: float, tables: int, probes: int):
+def _coded(radius: float, tables: int, probes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """table and bucket of every vector, for each of its probes."""
+        """id, vector and codes: the buckets of each table's probes, table by table."""
         for batch in batches:
             for lo in range(0, batch.num_rows, 2048):
                 part = batch.slice(lo, 2048)
-                unit = on_sphere(_matrix(part.column("vector")), radius)
-                for table in range(tables):
-                    found = axes(unit, table, probes)
-                    rows = pa.array(np.repeat(np.arange(part.num_rows), found.shape[1]))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(found.size, table, dtype=np.int32)), pa.array(found.ravel().astype(np.int32)), part.column("id").take(rows), part.column("vector").take(rows)],
-                        ["table", "bucket", "id", "vector"],
-                    )
+                unit = on_sphere(_matrix(part.column("vector")), radius).astype(np.float32)
+                codes = np.stack([axes(unit, table, probes) for table in range(tables)], axis=1)
+                per = codes[0].size
+                codes = pa.ListArray.from_arrays(np.arange(0, codes.size + 1, per, dtype=np.int32), pa.array(codes.ravel().astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("vector"), codes], ["id", "vector", "codes"])
 
     return run
 
@@ -153,10 +150,13 @@ def nearest_neighbours(queries: DataFrame, vectors: DataFrame, k: int = 10, tabl
     radius, probes = radius or 1.0, probes or probes_for(dimensions or 1)
     kind = vectors.schema["vector"].dataType.simpleString()
     same = Window.partitionBy("vector").orderBy("id")
-    rows = scratch.write(vectors.withColumn("k", F.row_number().over(same)).where(F.col("k") <= k + 1).select("id", "vector"), "rows")
-    schema = f"table int, bucket int, id long, vector {kind}"
-    index = rows.mapInArrow(tidy(_hashed(radius, tables, 1)), schema)
-    looked = queries.mapInArrow(tidy(_hashed(radius, tables, probes)), schema)
+    rows = vectors.withColumn("k", F.row_number().over(same)).where(F.col("k") <= k + 1).select("id", "vector")
+    schema = f"id long, vector {kind}, codes array<int>"
+    rows = scratch.write(rows.mapInArrow(tidy(_coded(radius, tables, 1)), schema), "rows")
+    index = rows.select("id", "vector", F.posexplode("codes").alias("table", "bucket"))
+    probes = min(probes, 2 * (1 << (dimensions or 1).bit_length()))
+    looked = queries.mapInArrow(tidy(_coded(radius, tables, probes)), schema).select("id", "vector", F.posexplode("codes").alias("place", "bucket"))
+    looked = looked.withColumn("table", F.expr(f"place div {probes}").cast("int"))
     # At most two buckets a dimension and table.
     blocks = index.groupBy("table", "bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks"))
     index = index.join(F.broadcast(blocks), ["table", "bucket"]).withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
