@@ -31,6 +31,7 @@ class Profile:
     goes_on: str
     ends: str
     takes_back: str = r"(?!)"
+    restarts: str = r"(?!)"
 
 
 def _marks(text: Column, profiles: list[Profile]) -> Column:
@@ -93,21 +94,51 @@ def tiling_faults(records: DataFrame, lines: DataFrame) -> DataFrame:
     return own.join(framed, "session_id", "full").where("not (lines <=> in_records) or not (lines <=> spans)")
 
 
+def _staged(profiles: list[Profile]):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Folds banner and restart lines in order; the state is that of one session's open epoch."""
+        session, active, current, least, rank, epoch, seen = None, None, -1, None, None, 0, set()
+        for batch in batches:
+            out = []
+            for own, line, number, banner, restarts in zip(*(batch[c] for c in ("session_id", "line_no", "profile", "banner", "restarts")), strict=True):
+                if own != session:
+                    session, active, current, least, rank, epoch, seen = own, None, -1, None, None, 0, set()
+                if number >= 0:
+                    active, current = profiles[number], number
+                    key = (number, banner)
+                    reset = rank is not None and (active.rank < rank or (active.rank <= least and key in seen))
+                    rank = active.rank
+                    least = rank if reset or least is None else min(least, rank)
+                    seen = {key} if reset else seen | {key}
+                elif active is not None and restarts & 1 << current:
+                    reset, least, seen = True, rank, set()
+                else:
+                    continue
+                epoch += reset
+                out.append((own, line, active.stage, rank, epoch))
+            frame = pd.DataFrame(out, columns=["session_id", "line_no", "stage", "rank", "epoch"])
+            yield frame.astype({"line_no": "int64", "rank": "int32", "epoch": "int64"}) if out else frame.astype({"session_id": batch["session_id"].dtype, "line_no": "int64", "stage": "object", "rank": "int32", "epoch": "int64"})
+
+    return run
+
+
 def stages(lines: DataFrame, profiles: list[Profile]) -> DataFrame:
-    """session_id, line_no, stage, rank, epoch: the lines with a banner; an epoch begins where the rank falls or a banner comes again.
+    """session_id, line_no, stage, rank, epoch: the lines with a banner, and those where the dialect of the last banner says that it restarts.
 
-    Only banner lines are kept before ordering, so what is ordered is a small part of the log.
+    An epoch begins where the rank falls, where a banner comes again that this epoch has seen while its rank is at or below the
+    least one of the epoch (a bootloader that loops in place), and at a restart. So several banners of one stage, such as a first and a second
+    stage loader, or a kernel's two lines, are one epoch. Only banner and restart lines are kept before ordering, a small part of the log.
     """
-    from pyspark.sql import Window
-
-    stage, rank = F.lit(None).cast("string"), F.lit(None).cast("int")
-    for p in sorted(profiles, key=lambda p: (p.rank, p.name), reverse=True):
+    number, banner, restarts = F.lit(-1), F.lit(None).cast("string"), F.lit(0)
+    for k, p in sorted(enumerate(profiles), key=lambda x: (x[1].rank, x[1].name), reverse=True):
         own = F.col("text").rlike(p.banner)
-        stage, rank = F.when(own, p.stage).otherwise(stage), F.when(own, p.rank).otherwise(rank)
-    banners = lines.select("session_id", "line_no", stage.alias("stage"), rank.alias("rank")).where("stage is not null")
-    order = Window.partitionBy("session_id").orderBy("line_no")
-    falls = F.coalesce(F.col("rank") <= F.lag("rank").over(order), F.lit(False))
-    return banners.withColumn("reset", falls.cast("int")).withColumn("epoch", F.sum("reset").over(order)).drop("reset")
+        number, banner = F.when(own, k).otherwise(number), F.when(own, F.regexp_extract("text", p.banner, 0)).otherwise(banner)
+    for k, p in enumerate(profiles):
+        restarts = restarts + F.when(F.col("text").rlike(p.restarts), 1 << k).otherwise(0)
+    kept = lines.select("session_id", "line_no", number.alias("profile"), banner.alias("banner"), restarts.alias("restarts")).where("profile >= 0 or restarts > 0")
+    kind = lines.schema["session_id"].dataType.simpleString()
+    ordered = kept.repartition("session_id").sortWithinPartitions("session_id", "line_no")
+    return ordered.mapInPandas(_staged(profiles), f"session_id {kind}, line_no long, stage string, rank int, epoch long")
 
 
 def garbage_runs(lines: DataFrame, least: float = 0.3) -> DataFrame:

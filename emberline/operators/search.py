@@ -5,9 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Lines that one block of a device's log holds when neighbours are looked up.
-BLOCK_LINES = 10_000
-
 
 def has_terms(text: Column, terms: str) -> Column:
     """All words of the query are in the text, whatever their order and case."""

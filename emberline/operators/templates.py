@@ -119,37 +119,45 @@ def family(template_tokens: Column) -> Column:
 
 
 def session_stats(lines: DataFrame) -> DataFrame:
-    """device, lines, bytes, templates, sessions, families, compression (lines a template) and fragmentation (templates a family), two places."""
-    own = lines.select("device", "session_id", "text", F.octet_length("text").alias("bytes"), tokens(F.col("text")).alias("tokens"))
-    mined = F.when(F.size("tokens") > 0, F.array_join("tokens", " "))
-    stats = own.groupBy("device").agg(
-        F.count(F.lit(1)).alias("lines"),
+    """device, lines, bytes, templates, sessions, families, compression (lines a template) and fragmentation (templates a family), two places.
+
+    What is counted as different is told apart by 64-bit hashes, and lines are first added up by them.
+    """
+    own = lines.select("device", "session_id", F.octet_length("text").alias("bytes"), tokens(F.col("text")).alias("tokens"))
+    worded = F.size("tokens") > 0
+    keyed = own.select("device", "session_id", "bytes", F.when(worded, F.xxhash64("tokens")).alias("template"), F.when(worded, F.xxhash64(family(F.col("tokens")))).alias("family"))
+    summed = keyed.groupBy("device", "session_id", "template", "family").agg(F.count(F.lit(1)).alias("lines"), F.sum("bytes").alias("bytes"))
+    stats = summed.groupBy("device").agg(
+        F.sum("lines").alias("lines"),
         F.sum("bytes").alias("bytes"),
-        F.countDistinct(mined).alias("templates"),
+        F.countDistinct("template").alias("templates"),
         F.countDistinct("session_id").alias("sessions"),
-        F.countDistinct(F.when(F.size("tokens") > 0, family(F.col("tokens")))).alias("families"),
+        F.countDistinct("family").alias("families"),
     )
     ratio = lambda a, b: F.round(F.col(a).cast("double") / F.greatest(F.col(b), F.lit(1)), 2)
     return stats.withColumns({"compression": ratio("lines", "templates"), "fragmentation": ratio("templates", "families")})
 
 
-def merge_suggestions(templates: DataFrame) -> DataFrame:
+def merge_suggestions(templates: DataFrame, similar: float = 0.4) -> DataFrame:
     """a, b, reason, confidence: templates (template_id, tokens) of one family that may be one message.
 
-    Equal literal skeletons give 1; a template that another goes on from gives their lengths' ratio. The best reason of a pair
-    stays. Families are joined on their key; none is expanded over all templates.
+    Of different lengths: equal literal skeletons give 1, a skeleton that another goes on from gives their lengths' ratio. Of one length: a part of equal
+    places (or wildcards) from 0.6 of ``similar`` up to it, near what mining would have joined. Templates without literal tokens say nothing.
+    Pairs are compared within a family, as the rule has it, by a join on its key.
     """
-    keyed = templates.select("template_id", "tokens", family(F.col("tokens")).alias("family"), F.array_join(F.filter("tokens", lambda t: t != WILDCARD), " ").alias("skeleton"), F.size("tokens").alias("n"))
-    same = keyed.select(F.col("template_id").alias("a"), "family", "skeleton").join(
-        keyed.select(F.col("template_id").alias("b"), "family", "skeleton"), ["family", "skeleton"]
-    ).where("a < b").select("a", "b", F.lit("same_skeleton").alias("reason"), F.lit(1.0).alias("confidence"))
-    # A longer template is looked up by each of its prefixes.
-    prefixes = keyed.select("template_id", "n", F.explode(F.sequence(F.lit(1), F.col("n") - 1)).alias("k"), "tokens").where("k >= 3 and k < n")
-    prefixes = prefixes.select(F.col("template_id").alias("long_id"), F.col("n").alias("long_n"), F.array_join(F.slice("tokens", 1, F.col("k")), " ").alias("head"))
-    short = keyed.select(F.col("template_id").alias("short_id"), F.col("n").alias("short_n"), F.array_join("tokens", " ").alias("head"))
-    extended = prefixes.join(short, "head").select(
-        F.least("long_id", "short_id").alias("a"), F.greatest("long_id", "short_id").alias("b"), F.lit("prefix_extension").alias("reason"),
-        F.round(F.col("short_n").cast("double") / F.col("long_n"), 4).alias("confidence"),
+    literal = F.filter("tokens", lambda t: t != WILDCARD)
+    keyed = templates.select("template_id", "tokens", family(F.col("tokens")).alias("family"), literal.alias("skeleton"), F.size("tokens").alias("n")).where(F.size("skeleton") > 0)
+    a, b = (keyed.select("family", *(F.col(c).alias(f"{c}_{x}") for c in ("template_id", "tokens", "skeleton", "n"))) for x in "ab")
+    shorter = F.least(F.size("skeleton_a"), F.size("skeleton_b"))
+    longer = F.greatest(F.size("skeleton_a"), F.size("skeleton_b"))
+    starts = F.slice("skeleton_a", F.lit(1), shorter) == F.slice("skeleton_b", F.lit(1), shorter)
+    different = a.join(b, (a["family"] == b["family"]) & (F.col("template_id_a") < F.col("template_id_b")) & (F.col("n_a") != F.col("n_b")) & starts)
+    different = different.select(
+        "template_id_a", "template_id_b", F.when(shorter == longer, "same_skeleton").otherwise("prefix_extension").alias("reason"), (shorter.cast("double") / longer).alias("confidence")
     )
-    both = same.unionByName(extended)
-    return both.groupBy("a", "b").agg(F.max_by("reason", "confidence").alias("reason"), F.max("confidence").alias("confidence"))
+    equal = F.size(F.filter(F.zip_with("tokens_a", "tokens_b", lambda x, y: (x == y) | (x == WILDCARD)), lambda e: e))
+    near = a.join(b, (a["family"] == b["family"]) & (F.col("n_a") == F.col("n_b")) & (F.col("template_id_a") < F.col("template_id_b")))
+    near = near.select("template_id_a", "template_id_b", F.lit("near_threshold").alias("reason"), (equal.cast("double") / F.col("n_a")).alias("confidence"))
+    near = near.where((F.col("confidence") >= max(0.1, 0.6 * similar)) & (F.col("confidence") < similar))
+    both = different.unionByName(near)
+    return both.select(F.col("template_id_a").alias("a"), F.col("template_id_b").alias("b"), "reason", F.round("confidence", 4).alias("confidence"))

@@ -42,10 +42,10 @@ def slot_summary(samples: DataFrame, top: int = 10) -> DataFrame:
 
 
 def metric_series(samples: DataFrame, how: str) -> DataFrame:
-    """device, boot, value: one number an epoch, by last, first, min or max over all its samples."""
+    """device, boot, value: one number an epoch, by last, first, min or max over all its samples that are numbers (hex and units too)."""
     order = F.struct("at", "id")
     value = {"last": F.max_by("number", order), "first": F.min_by("number", order), "min": F.min("number"), "max": F.max("number")}[how]
-    numbers = samples.withColumn("number", F.col("value").cast("double")).where("number is not null and not isnan(number)")
+    numbers = samples.withColumn("number", number(F.col("value").cast("string"))).where("number is not null")
     return numbers.groupBy("device", "boot").agg(value.alias("value"))
 
 

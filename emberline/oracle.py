@@ -190,11 +190,12 @@ ORACLE_SQL = {
             round(count(*)::double / greatest(count(distinct case when len(tokens) > 0 then array_to_string(tokens, ' ') end), 1), 2) as compression,
             round(count(distinct case when len(tokens) > 0 then array_to_string(tokens, ' ') end)::double / greatest(count(distinct case when len(tokens) > 0 then array_to_string(tokens[1:3], chr(1)) end), 1), 2) as fragmentation
         from tokens_of group by 1""",
-    "merge_suggestions": f"""with {_LINES}, short as (select * from lines where length(text) < 60), {_TOKENS.format("short")},
-        own as (select distinct array_to_string(tokens, ' ') as id, tokens from tokens_of where len(tokens) between 1 and 10),
-        heads as (select id as long_id, len(tokens) as long_n, k, array_to_string(tokens[1:k], ' ') as head from (select *, unnest(range(3, len(tokens))) as k from own))
-        select least(long_id, id) as template_a, greatest(long_id, id) as template_b, 'prefix_extension' as reason, round(len(own.tokens)::double / long_n, 4) as confidence
-        from heads join own on own.id = heads.head""",
+    "merge_suggestions": f"""with {_LINES}, {_TOKENS.format("lines")},
+        own as (select distinct array_to_string(tokens, ' ') as id, tokens, len(tokens) as n, array_to_string(tokens[1:3], chr(1)) as family from tokens_of where len(tokens) > 0),
+        pairs as (select least(a.id, b.id) as template_a, greatest(a.id, b.id) as template_b, a.n as short_n, b.n as long_n, a.tokens = b.tokens[1:a.n] as starts,
+            case when a.n = b.n then len(list_filter(list_zip(a.tokens, b.tokens), lambda z: z[1] = z[2]))::double / a.n end as sim from own a join own b on a.family = b.family and (a.n < b.n or (a.n = b.n and a.id < b.id)))
+        select template_a, template_b, case when short_n < long_n then 'prefix_extension' else 'near_threshold' end as reason, round(coalesce(sim, short_n::double / long_n), 4) as confidence
+        from pairs where (short_n < long_n and starts) or (short_n = long_n and sim >= 0.24 and sim < 0.4)""",
     "key_value_tokenize": f"with {_LOG} select event_id, 'user=|' || device || '|kind=|' || template || '|sev=|' || severity || '|done' as tokens from log",
     "line_split": f"with {_LINES} select session_id, line_no, length(text)::int as n_chars, md5(text) as digest from lines",
     "severity_classify": f"""with {_LOG}, made as (select event_id, template, (case when event_id % 5 = 0 then '<2>' else '' end) || template || (case when event_id % 7 = 0 then ' warning: slow' else '' end) || (case when event_id % 11 = 0 then ' Debug' else '' end) as line from log),
@@ -306,7 +307,8 @@ ORACLE_SQL = {
     "drain_counts_conserve": f"with {_LINES}, {_TOKENS.format('lines')} select device, count(*) as lines from tokens_of where len(tokens) > 0 group by 1",
     "frame_tiles": f"with {_CONSOLE} select session_id, count(*) as in_records from console group by 1",
     "stage_machine": f"""with {_CONSOLE}, banners as (select session_id, line_no, case when text like 'Linux%' then 'kernel' else 'uboot' end as stage, case when text like 'Linux%' then 30 else 20 end::int as rank from console where text like 'Linux%' or text like 'U-Boot%'),
-        resets as (select *, case when rank <= lag(rank) over (partition by session_id order by line_no) then 1 else 0 end as reset from banners)
+        before as (select *, lag(rank) over w as last, count(*) filter (where rank = 20) over w as loaders from banners window w as (partition by session_id order by line_no)),
+        resets as (select *, case when rank < last or (rank = last and (rank = 20 or loaders = 0)) then 1 else 0 end as reset from before)
         select session_id, line_no, stage, rank, sum(reset) over (partition by session_id order by line_no)::bigint as epoch from resets""",
     "garbage_runs": f"""with {_CONSOLE}, bad as (select session_id, line_no, line_no - row_number() over (partition by session_id order by line_no) as run from console where line_no % 10 < 3)
         select session_id, min(line_no) as from_line, max(line_no) as to_line from bad group by session_id, run""",

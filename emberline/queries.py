@@ -127,8 +127,7 @@ def session_stats(spark, sf):
 
 @query
 def merge_suggestions(spark, sf):
-    lines = views.lines(spark, sf).where(F.length("text") < 60)
-    own = lines.select(templates.tokens(F.col("text")).alias("tokens")).where(F.size("tokens").between(1, 10)).distinct()
+    own = views.lines(spark, sf).select(templates.tokens(F.col("text")).alias("tokens")).where(F.size("tokens") > 0).distinct()
     keyed = own.select(F.array_join("tokens", " ").alias("template_id"), "tokens")
     return templates.merge_suggestions(keyed).withColumnsRenamed({"a": "template_a", "b": "template_b"})
 
@@ -532,10 +531,6 @@ def retention_cut(spark, sf):
 # Mining and framing
 
 
-def _short_lines(spark: SparkSession, sf: str) -> DataFrame:
-    return views.lines(spark, sf).where("session_id < 200").select("device", "session_id", "line_no", "text")
-
-
 @query
 def drain_templates(spark, sf):
     _, found = mining.mine(views.lines(spark, sf).select("device", "session_id", "line_no", "text"), ["session_id", "line_no"])

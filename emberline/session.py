@@ -19,9 +19,13 @@ BATCH_ROWS = 1_000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset, a new local one (tests, one machine)."""
+    """The folder in spark.checkpoint.dir, or else the one set on the context; on one machine (local mode) a new one where neither is."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and (set_ := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined():
+        folder = set_.get()
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")

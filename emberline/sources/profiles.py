@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from emberline.operators.framing import Profile
 
-# What these consoles print, in patterns common to Java and RE2. Fields: name, stage, rank, banner, trigger, continuation, end.
+# What these consoles print, in patterns common to Java and RE2. Fields: name, stage, rank, banner, trigger, continuation, end, what takes lines back, restart.
 PROFILES = [
     Profile("tfa", "firmware", 10, r"^NOTICE:\s+BL[0-9]+: v", r"^(PANIC at PC|ERROR:.*Unhandled)", r"^(x[0-9]+|elr|spsr|esr|sp|lr|ERROR:)\b", r"^(halt|Resetting)"),
     Profile("mcuboot", "mcuboot", 12, r"MCUboot|Starting bootloader", r"(no bootable image|invalid primary slot)", r"(?!)", r"(?!)"),
-    Profile("uboot", "uboot", 20, r"^U-Boot (SPL )?[0-9]{4}\.", r"(\"Synchronous Abort\"|data abort|undefined instruction|initcall failed)", r"^(elr|lr|x[0-9]+|pc|sp|Code:|\s)", r"(Resetting CPU|resetting \.\.\.)"),
+    Profile("uboot", "uboot", 20, r"^U-Boot (SPL )?[0-9]{4}\.", r"(\"Synchronous Abort\"|data abort|undefined instruction|initcall failed)", r"^(elr|lr|x[0-9]+|pc|sp|Code:|\s)", r"(Resetting CPU|resetting \.\.\.)", restarts=r"^resetting \.\.\."),
     Profile("uefi", "uefi", 22, r"UEFI (firmware|Interactive Shell)", r"(^ASSERT|ASSERT_EFI_ERROR|Synchronous Exception)", r"^\s+|^(PC|X[0-9]+|ESR|FAR|SP)\b", r"CpuDeadLoop", r"^ASSERT"),
-    Profile("linux", "kernel", 30, r"Linux version [0-9]", r"(Kernel panic|Oops|BUG:|kernel BUG at|Unable to handle kernel|WARNING: CPU|soft lockup|Out of memory:|rcu.*stall|general protection fault|cut here)", r"(Call [Tt]race|^\s|Modules linked in|Hardware name|pc :|lr :|sp :|x[0-9]+ *:|Code:|CPU: |RIP:|R[A-Z0-9]{2}:|^\[ *[0-9.]+\] +(\S+\+0x|\[<|x[0-9]+))", r"(end trace|end Kernel panic|Rebooting in)"),
+    Profile("linux", "kernel", 30, r"Linux version [0-9]", r"(Kernel panic|Oops|BUG:|kernel BUG at|Unable to handle kernel|WARNING: CPU|soft lockup|Out of memory:|rcu.*stall|general protection fault|cut here)", r"(Call [Tt]race|^\s|Modules linked in|Hardware name|pc :|lr :|sp :|x[0-9]+ *:|Code:|CPU: |RIP:|R[A-Z0-9]{2}:|^\[ *[0-9.]+\] +(\S+\+0x|\[<|x[0-9]+))", r"(end trace|end Kernel panic|Rebooting in)", restarts=r"reboot: Restarting system"),
     Profile("zephyr", "zephyr", 30, r"\*\*\* Booting Zephyr", r"(ZEPHYR FATAL ERROR|ASSERTION FAIL)", r"(<err> os|^E: )", r"(Halting system)", r"ZEPHYR FATAL ERROR"),
     Profile("freertos", "freertos", 30, r"^rst:0x", r"(Guru Meditation|stack overflow|assert failed|abort\(\) was called)", r"(^(Core|PC|A[0-9]+|EXC|LBEG|Backtrace:|ELF)\b|^\s)", r"(Rebooting\.\.\.|CPU halted)"),
     Profile("android", "android", 42, r"init: init first stage", r"(\*\*\* \*\*\* \*\*\*|Fatal signal)", r"(pid:|backtrace:|#[0-9]+ pc|\s{2,}x[0-9]+)", r"(?!)"),

@@ -40,6 +40,26 @@ def test_stages_and_epochs(spark):
     assert got == [("kernel", 0), ("uboot", 1), ("kernel", 1)]
 
 
+def epochs(spark, texts):
+    return [(r["stage"], r["epoch"]) for r in framing.stages(frame(spark, texts), PROFILES).orderBy("line_no").collect()]
+
+
+def test_loaders_and_a_kernel_s_second_banner_are_one_epoch(spark):
+    boot = ["NOTICE:  BL1: v2.9", "NOTICE:  BL2: v2.9", "U-Boot SPL 2024.01", "U-Boot 2024.01", "Linux version 6.1.0", "Linux version 6.1.0"]
+    stages = ["firmware"] * 2 + ["uboot"] * 2 + ["kernel"] * 2
+    assert epochs(spark, boot * 2) == [(s, e) for e in (0, 1) for s in stages]
+
+
+def test_a_loader_that_loops_in_place(spark):
+    assert epochs(spark, ["U-Boot SPL 2024.01", "U-Boot SPL 2024.01", "U-Boot 2024.01", "U-Boot SPL 2024.01"]) == [("uboot", 0), ("uboot", 1), ("uboot", 1), ("uboot", 2)]
+    assert epochs(spark, ["Linux version 6.1.0"] * 3) == [("kernel", 0), ("kernel", 1), ("kernel", 2)]
+
+
+def test_restarts_count_in_the_dialect_of_the_last_banner_only(spark):
+    texts = ["reboot: Restarting system", "U-Boot 2024.01", "reboot: Restarting system", "resetting ...", "U-Boot 2024.01", "Linux version 6.1.0", "resetting ...", "[ 1.0] reboot: Restarting system", "U-Boot 2024.01"]
+    assert epochs(spark, texts) == [("uboot", 0), ("uboot", 1), ("uboot", 1), ("kernel", 1), ("kernel", 2), ("uboot", 3)]
+
+
 def test_garbage(spark):
     got = framing.garbage_runs(frame(spark, ["fine", "\x01\x02\x03", "\x04\x05a", "fine", "", "\x7f\x7f"])).collect()
     assert sorted((r["from_line"], r["to_line"]) for r in got) == [(1, 2), (5, 5)]

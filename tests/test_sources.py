@@ -75,3 +75,11 @@ def test_export_and_import(spark, tmp_path):
 def test_metrics(spark):
     out = files.metrics_text(spark.createDataFrame([("d", 3, 2, 1.5)], "device string, lines long, templates long, fragmentation double")).collect()
     assert sorted(r["value"] for r in out) == ['emberline_fragmentation{device="d"} 1.5', 'emberline_lines{device="d"} 3.0', 'emberline_templates{device="d"} 2.0']
+
+
+def test_metric_series_reads_hex_and_units(spark):
+    from emberline.operators import values
+
+    rows = [("d", 1, 1, 1, "0x1f"), ("d", 2, 1, 2, "12ms"), ("d", 3, 1, 3, "words"), ("d", 3, 2, 4, "1.5")]
+    samples = spark.createDataFrame(rows, "device string, boot int, at long, id long, value string")
+    assert {(r["boot"], r["value"]) for r in values.metric_series(samples, "last").collect()} == {(1, 31.0), (2, 12.0), (3, 1.5)}
