@@ -106,11 +106,11 @@ def noise(log: DataFrame, since: int, until: int) -> DataFrame:
 
 def tokens(text: Column) -> Column:
     """Tokens of a line: escapes are stripped, white space splits, and three or more key=value tokens are parted in two each."""
-    plain = F.regexp_replace(text, "\u001b\\[[0-9;?]*[ -/]*[@-~]", "")
+    plain = F.when(F.contains(text, F.lit("\u001b")), F.regexp_replace(text, "\u001b\\[[0-9;?]*[ -/]*[@-~]", "")).otherwise(text)
     words = F.filter(F.split(plain, r"[ \t\n\r\f]+"), lambda w: w != "")
     pair = lambda w: w.rlike("^[^=]+=[^=].*$")
     parted = F.flatten(F.transform(words, lambda w: F.when(pair(w), F.array(F.concat(F.substring_index(w, "=", 1), F.lit("=")), F.regexp_replace(w, "^[^=]+=", ""))).otherwise(F.array(w))))
-    return F.when(F.size(F.filter(words, pair)) >= 3, parted).otherwise(words)
+    return F.when(F.contains(plain, F.lit("=")) & (F.size(F.filter(words, pair)) >= 3), parted).otherwise(words)
 
 
 def family(template_tokens: Column) -> Column:
