@@ -37,6 +37,8 @@ from emberline.session import BATCH_ROWS, Scratch, batch_rows
 
 #: Text bytes that go to one record file.
 FILE_BYTES = 16 << 20
+#: Bytes of a worker's word caches: a byte-level tokenizer has units with and without a space before them.
+CACHE_BYTES = 100 << 20
 
 
 def masked_crc(data: bytes) -> int:
@@ -74,7 +76,7 @@ def write_records(docs: DataFrame, folder: str, vocabulary: str, end_id: int, fi
     ordered = docs.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = tokens.encoder(vocabulary), np.uint32(end_id).tobytes()
+        encoder, end = tokens.encoder(vocabulary, CACHE_BYTES), np.uint32(end_id).tobytes()
         for batch in batches:
             for part in slices(batch, size=tokens.TEXT_BYTES):
                 packed = encoder.encode([t or "" for t in part.column("text").to_pylist()])

@@ -20,14 +20,14 @@ import numpy as np
 
 from emberline.llm.textkit import on_release
 
-#: Bytes, with Python's own, of a worker's newer and of its older cache; units in use move to the newer one.
-CACHE_BYTES = 16 << 20
+#: Bytes, with Python's own, of a worker's newer and of its older cache, if the caller names none; units in use move to the newer one.
+CACHE_BYTES = 40 << 20
 #: Bytes that an entry takes besides its text and ids.
 _ENTRY_BYTES = 200
 #: Units that are encoded as one text, where their ids can be told apart again.
 JOINED_UNITS = 1_000
 #: Text bytes to encode at a time: units that come again in them are looked up once.
-TEXT_BYTES = 1 << 20
+TEXT_BYTES = 2 << 20
 _PUNCTUATION = frozenset(".,;:!?|")
 _ADJACENT = re.compile(r"\s\s")
 _SAFE = re.compile(r"(?<=\S)(?= \S)")
@@ -43,7 +43,8 @@ def vocabulary(name: str) -> str:
 class Encoder:
     """Texts to token ids, as unsigned 32-bit little-endian bytes."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache_bytes: int = CACHE_BYTES):
+        self.cache_bytes = cache_bytes
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -104,7 +105,7 @@ class Encoder:
 
     def _learn(self, units: set[str], prefix: str = "") -> dict[str, bytes]:
         """A cache that holds all these units."""
-        if self.held[prefix] > CACHE_BYTES:
+        if self.held[prefix] > self.cache_bytes:
             self.newer[prefix], self.older[prefix], self.held[prefix] = {}, self.newer[prefix], 0
         newer, older = self.newer[prefix], self.older[prefix]
         missing = units.difference(newer)
@@ -169,9 +170,9 @@ class Encoder:
 
 
 @lru_cache(maxsize=1)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, cache_bytes: int = CACHE_BYTES) -> Encoder:
     """One per worker process, for the vocabulary file used last."""
-    return Encoder(path)
+    return Encoder(path, cache_bytes)
 
 
 #: What tasks that encode keep from task to task.
