@@ -57,13 +57,11 @@ class Store:
     def boot_report(self, device, boot: int, now: int) -> DataFrame:
         """One row: the epoch, its outcome, new templates, and how its fingerprint repeats."""
         known = self._own(self.epochs(), device)
-        own = known.where(F.col("seq") == boot)
         outcome = epochs.outcomes(known, self._own(self.log, device), now)
         first = self._own(self.rollup(), device).groupBy("device", "template").agg(F.min("boot").alias("seq"))
         novel = first.groupBy("device", "seq").agg(F.array_sort(F.collect_list("template")).alias("novel"))
-        runs = epochs.fingerprint_runs(known).select("device", "first_seq", "last_seq", "run")
-        own = own.join(outcome, ["device", "seq"]).join(novel, ["device", "seq"], "left").join(runs, "device")
-        return own.where("seq between first_seq and last_seq").withColumnRenamed("first_seq", "stable_since").drop("last_seq")
+        own = epochs.with_runs(known).where(F.col("seq") == boot)
+        return own.join(outcome, ["device", "seq"]).join(novel, ["device", "seq"], "left")
 
     def stage_timings(self, device=None, last: int | None = None) -> DataFrame:
         durations = self._own(epochs.stage_durations(self.log, self.epochs()), device)
@@ -147,6 +145,16 @@ class Store:
     def diff_boots(self, a: int, b: int) -> DataFrame:
         return compare.diff_epochs(self.rollup(), a, b)
 
+    def diff_stages(self, a: int, b: int) -> DataFrame:
+        """The stages of ``diff_boots``: the largest delay first, stages of one epoch only last."""
+        reach = epochs.stage_reach(self.log, self.epochs())
+        return compare.diff_stages(reach, a, b).orderBy(F.desc_nulls_last("delta_ms"), "device", "stage")
+
+    def diff_sessions(self, a: int, b: int) -> DataFrame:
+        own = self.lines.select("session_id", F.array_join(templates.tokens(F.col("text")), " ").alias("template"))
+        counts = lambda n: own.where(F.col("session_id") == n).groupBy("template").agg(F.count(F.lit(1)).alias("count"))
+        return compare.diff_counts(counts(a), counts(b), ["template"])
+
     def diff_builds(self, a: str, b: str) -> DataFrame:
         return compare.diff_builds(self.rollup(), self.small["builds"], a, b)
 
@@ -156,6 +164,17 @@ class Store:
     def missing_in_boot(self, min_reliability: float = 0.9, late_factor: float = 3.0) -> DataFrame:
         return compare.missing_in_epoch(self.learn_expectations(), self.rollup(), self.epochs(), min_reliability, late_factor)
 
+    def boots_for_image(self, reference: str) -> DataFrame:
+        return compare.epochs_of_image(self.small["image_of_epoch"], self.small["images"], reference)
+
+    def set_baseline(self, device, boot: int) -> Store:
+        row = self.log.sparkSession.createDataFrame([(device, boot)], "device long, seq long")
+        old = self.small.get("baselines", row.limit(0))
+        return replace(self, small={**self.small, "baselines": old.unionByName(row).distinct()})
+
+    def list_baselines(self) -> DataFrame:
+        return self.small["baselines"].join(self.epochs(), ["device", "seq"])
+
     # Values
 
     def template_values(self, samples: DataFrame) -> DataFrame:
@@ -204,13 +223,35 @@ class Store:
         rows = [(p.name, p.stage, p.rank) for p in PROFILES]
         return self.log.sparkSession.createDataFrame(rows, "name string, stage string, rank int")
 
+    def bisect_next(self, cases: DataFrame, results: DataFrame) -> DataFrame:
+        return reports.bisect_steps(cases, results)
+
     # Streams and retention
 
     def follow(self, since: int) -> DataFrame:
         return reports.increment(self.log, since)
 
+    def follow_start(self, grace: int = 4096, lookback: int = 262_144) -> DataFrame:
+        return epochs.default_start(self.log, epochs.opened_positions(self.log), grace, lookback)
+
+    def create_watch(self, name: str, template: str, delivered_to: int = -1) -> Store:
+        row = self.log.sparkSession.createDataFrame([(name, template, "active", delivered_to)], "watch string, template string, status string, delivered_to long")
+        old = self.small.get("watches", row.limit(0)).join(row, "watch", "left_anti")
+        return replace(self, small={**self.small, "watches": old.unionByName(row)})
+
+    def list_watches(self) -> DataFrame:
+        return self.small["watches"]
+
+    def undelivered_hits(self) -> DataFrame:
+        hits = self.log.join(self.small["watches"].select("watch", "template"), "template").select("watch", "event_id", "at", "template")
+        return reports.undelivered(hits, self.small["watches"])
+
     def poll_watch(self, name: str, condition, since: int = -1) -> DataFrame:
         return reports.watch_hits(self.log, name, condition, since)
 
     def prune(self, keep_bytes: int) -> DataFrame:
-        return reports.retention(self.log, keep_bytes)
+        """Where each device's log may be cut; baseline epochs and what follows them stay."""
+        protected = None
+        if "baselines" in self.small:
+            protected = self.list_baselines().groupBy("device").agg(F.min("opened_at").alias("protected_at"))
+        return reports.retention(self.log, keep_bytes, protected=protected)

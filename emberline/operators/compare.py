@@ -32,6 +32,28 @@ def diff_builds(rollup: DataFrame, builds: DataFrame, a: str, b: str) -> DataFra
     return diff_counts(counts(a), counts(b), ["template"])
 
 
+def diff_stages(reach: DataFrame, a: int, b: int) -> DataFrame:
+    """device, stage, reached_a, reached_b, delta_ms, only_in: when each stage is first entered in epoch b against epoch a, of devices that have both.
+
+    reach is of ``epochs.stage_reach``; a stage of one epoch only has no delta.
+    """
+    of = lambda n, name: reach.where(F.col("seq") == n).select("device", "stage", F.col("after_ms").alias(name))
+    have = of(a, "x").select("device").distinct().join(of(b, "x").select("device").distinct(), "device")
+    both = of(a, "reached_a").join(of(b, "reached_b"), ["device", "stage"], "full").join(have, "device", "left_semi")
+    only = F.when(F.col("reached_b").isNull(), "a").when(F.col("reached_a").isNull(), "b")
+    return both.select("device", "stage", "reached_a", "reached_b", (F.col("reached_b") - F.col("reached_a")).alias("delta_ms"), only.alias("only_in"))
+
+
+def epochs_of_image(epochs: DataFrame, images: DataFrame, reference: str) -> DataFrame:
+    """device, seq, image_id of the epochs that ran an image: by its name, hash or revision, or by how the revision begins, whatever its case.
+
+    epochs: device, seq, image_id; images: image_id, name, git_sha, image_hash. An image without a revision has none to begin with it.
+    """
+    exact = (F.col("name") == reference) | (F.col("git_sha") == reference) | (F.col("image_hash") == reference)
+    named = images.where(exact | F.startswith(F.lower("git_sha"), F.lit(reference.lower())))
+    return epochs.join(named.select("image_id"), "image_id", "left_semi").select("device", "seq", "image_id")
+
+
 def restrict_to_common_stages(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows of a without a stage or of a stage that b has too; all rows if they share none."""
     common = a.where("stage is not null").select("stage").distinct().join(b.select("stage").distinct(), "stage", "left_semi")

@@ -87,6 +87,40 @@ def near_reports(reports: DataFrame, least_shared: int = 2, similarity: float =
     ).drop("_near")
 
 
+def same_reports(reports: DataFrame) -> DataFrame:
+    """id, first_id, copies of reports (id, text): those whose texts are equal but for case, digits and marks have one first_id; empty ones stay apart."""
+    plain = F.trim(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), r"[^a-z\u00e0-\u00ff]+", " "))
+    keyed = reports.select("id", F.when(plain == "", F.concat(F.lit("#"), "id")).otherwise(F.sha2(plain, 256)).alias("key"))
+    groups = keyed.groupBy("key").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
+    return keyed.join(groups, "key").select("id", "first_id", "copies")
+
+
+def bisect_steps(cases: DataFrame, results: DataFrame) -> DataFrame:
+    """case_id, step, candidate of each case (case_id, n) with results (case_id, index, verdict: good, bad or skip), as ``bisect_next`` has them.
+
+    What is between the last good and the first bad index has at most been skipped; of the rest the one nearest to the middle comes next.
+    """
+    good, bad = F.col("verdict") == "good", F.col("verdict") == "bad"
+    known = results.groupBy("case_id").agg(
+        F.max(F.when(good, F.col("index"))).alias("good"), F.min(F.when(bad, F.col("index"))).alias("bad"),
+        F.collect_set("index").alias("tested"),
+    )
+    joined = cases.join(known, "case_id", "left").withColumns({"good": F.coalesce("good", F.lit(-1)), "bad": F.coalesce("bad", F.col("n")), "tested": F.coalesce("tested", F.array().cast("array<int>"))})
+    between = F.when(F.col("bad") - F.col("good") > 1, F.sequence(F.col("good") + 1, F.col("bad") - 1)).otherwise(F.array().cast("array<int>"))
+    middle = F.expr("(good + bad) div 2")
+    untested = F.array_sort(F.transform(F.array_except(between, "tested"), lambda k: F.struct(F.abs(k - middle).alias("far"), k.alias("k"))))
+    end = F.when(~F.array_contains("tested", F.lit(0)), 0).when(~F.array_contains("tested", F.col("n") - 1), F.col("n") - 1)
+    marked = joined.select("case_id", "n", "good", "bad", end.alias("end"), F.try_element_at(untested, F.lit(1))["k"].alias("next"), F.size(between).alias("skipped"))
+    settled = F.col("good") >= F.col("bad")
+    none = F.col("bad") == F.col("n")
+    step = (
+        F.when(F.col("end").isNotNull(), "test").when(none, "inconclusive").when(settled, "found")
+        .when(F.col("next").isNotNull(), "test").when(F.col("skipped") > 0, "inconclusive").otherwise("found")
+    )
+    candidate = F.when(F.col("end").isNotNull(), F.col("end")).when(step == "found", F.col("bad")).when(step == "test", F.col("next"))
+    return marked.select("case_id", step.alias("step"), candidate.cast("int").alias("candidate"))
+
+
 def bisect_next(results: list[tuple[int, str]], candidates: int) -> tuple[str, int | None]:
     """The next step from (index, good/bad/skip) verdicts: ("test", index), ("found", culprit) or ("inconclusive", None)."""
     verdicts = dict(results)
@@ -111,6 +145,12 @@ def watch_hits(log: DataFrame, watch: str, condition, since: int = -1) -> DataFr
     return log.where((F.col("event_id") > since) & condition).select(F.lit(watch).alias("watch"), "event_id", "at", "template")
 
 
+def undelivered(hits: DataFrame, watches: DataFrame) -> DataFrame:
+    """Hits (watch, event_id, at, template) of active watches that were not delivered yet; watches: watch, status, delivered_to."""
+    active = watches.where("status = 'active'").select("watch", "delivered_to")
+    return hits.join(active, "watch").where("event_id > delivered_to").select("watch", "event_id", "at", "template")
+
+
 def first_rule(log: DataFrame, rules: list[tuple[str, object]]) -> DataFrame:
     """device, event_id, at, rule: each device's first record that any rule holds for; of several rules the first listed."""
     rule = F.lit(None).cast("string")
@@ -121,10 +161,19 @@ def first_rule(log: DataFrame, rules: list[tuple[str, object]]) -> DataFrame:
     return first.select("device", "hit.event_id", "hit.at", "hit.rule")
 
 
-def quiet_spells(log: DataFrame, least_ms: int, now: int) -> DataFrame:
-    """device, from_at, quiet_ms: gaps between a device's records, and from its last one to now, of at least ``least_ms``."""
-    by_device = Window.partitionBy("device").orderBy("at", "event_id")
-    gaps = log.select("device", F.col("at").alias("from_at"), (F.coalesce(F.lead("at").over(by_device), F.lit(now)) - F.col("at")).alias("quiet_ms"))
+def quiet_spells(log: DataFrame, least_ms: int, now: int, bucket_ms: int = 86_400_000) -> DataFrame:
+    """device, from_at, quiet_ms: gaps between a device's records, and from its last one to now, of at least ``least_ms``.
+
+    A record's next one is sought within its bucket of time, and then as the first of the device's next bucket.
+    """
+    parted = log.select("device", "event_id", F.col("at").alias("from_at"), F.expr(f"at div {bucket_ms}").alias("bucket"))
+    within = Window.partitionBy("device", "bucket").orderBy("from_at", "event_id")
+    firsts = parted.groupBy("device", "bucket").agg(F.min("from_at").alias("first_at"))
+    after = Window.partitionBy("device").orderBy("bucket")
+    following = firsts.select(F.col("device").alias("of_device"), F.col("bucket").alias("of_bucket"), F.lead("first_at").over(after).alias("following_at"))
+    rows = parted.withColumn("next_at", F.lead("from_at").over(within))
+    rows = rows.join(following, F.col("device").eqNullSafe(F.col("of_device")) & F.col("bucket").eqNullSafe(F.col("of_bucket")))
+    gaps = rows.select("device", "from_at", (F.coalesce("next_at", "following_at", F.lit(now)) - F.col("from_at")).alias("quiet_ms"))
     return gaps.where(F.col("quiet_ms") >= least_ms)
 
 
@@ -136,9 +185,11 @@ def increment(log: DataFrame, since: int) -> DataFrame:
     return grouped.where("delta > 0")
 
 
-def retention(log: DataFrame, keep_bytes: int, bucket_ms: int = 86_400_000) -> DataFrame:
+def retention(log: DataFrame, keep_bytes: int, bucket_ms: int = 86_400_000, protected: DataFrame | None = None) -> DataFrame:
     """device, cut_event, dropped_bytes, kept_bytes: the oldest records go until what is left fits; the cut is the first record kept.
 
+    ``protected`` (device, protected_at) keeps all records from that time on, as baselines ask.
+
     Sizes are summed over buckets of time first, so no task orders all of a device's records.
     """
     from emberline.operators.epochs import running_total
@@ -147,6 +198,9 @@ def retention(log: DataFrame, keep_bytes: int, bucket_ms: int = 86_400_000) -> D
     totals = sized.groupBy("device").agg(F.sum("bytes").alias("total"))
     summed = running_total(sized, ["device"], F.expr(f"at div {bucket_ms}"), ["at", "event_id"], F.col("bytes"), "upto").join(totals, "device")
     kept = (F.col("upto") - F.col("bytes")) >= F.col("total") - F.lit(keep_bytes)
+    if protected is not None:
+        summed = summed.join(protected.select("device", "protected_at"), "device", "left")
+        kept = kept | F.coalesce(F.col("at") >= F.col("protected_at"), F.lit(False))
     return summed.groupBy("device").agg(
         F.min_by("event_id", F.when(kept, F.struct("at", "event_id"))).alias("cut_event"),
         F.coalesce(F.sum(F.when(~kept, F.col("bytes"))), F.lit(0)).alias("dropped_bytes"),

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 WILDCARD = "<*>"
+#: Records that a burst rate needs.
+BURST_SAMPLES = 5
 ORDERS = {
     "count": [F.desc, "count"],
     "first_seen": [F.asc, "first_ts"],
@@ -72,6 +74,22 @@ def table_of_contents(
     return toc
 
 
+def page(rows: DataFrame, order: list, limit: int, offset: int = 0) -> DataFrame:
+    """A page of rows with ``capped`` (more follow) and ``next_offset`` (null at the end); one row more than the page is asked for to tell."""
+    probe = (rows.orderBy(*order).offset(offset) if offset else rows.orderBy(*order)).limit(limit + 1)
+    whole = Window.orderBy(*order)  # over a page's rows
+    seen = probe.withColumns({"_place": F.row_number().over(whole), "capped": F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))) > limit})
+    return seen.where(F.col("_place") <= limit).withColumn("next_offset", F.when(F.col("capped"), F.lit(offset + limit))).drop("_place")
+
+
+def capped_lists(rows: DataFrame, key: str, item: str, most: int) -> DataFrame:
+    """key, its first ``most`` different items in order, joined by commas, and ``omitted``: how many more there are."""
+    own = rows.groupBy(key, item).agg(F.count(F.lit(1)).alias("_n"))
+    ranked = own.withColumn("_place", F.row_number().over(Window.partitionBy(key).orderBy(item)))
+    grouped = ranked.groupBy(key).agg(F.array_sort(F.collect_list(F.when(F.col("_place") <= most, F.col(item)))).alias("shown"), F.count_if(F.col("_place") > most).alias("omitted"))
+    return grouped.select(key, F.array_join("shown", ",").alias("shown"), "omitted")
+
+
 def timeline(log: DataFrame, template: str, buckets: int) -> DataFrame:
     """bucket, label, n: occurrences of a template over its own span, empty buckets included."""
     own = log.where(F.col("template") == template)
@@ -83,15 +101,16 @@ def timeline(log: DataFrame, template: str, buckets: int) -> DataFrame:
 
 
 def noise(log: DataFrame, since: int, until: int) -> DataFrame:
-    """device, template, n, per_min, share, approximate: rates of the rollup within a window.
+    """device, template, n, per_min, burst_per_min, share, approximate: rates of the rollup within a window.
 
     A template whose first record is before the window has its count scaled by the part of its span inside.
+    The burst rate is over the template's own span; fewer than BURST_SAMPLES records have none.
     """
     rollup = log.groupBy("device", "template").agg(F.count(F.lit(1)).alias("count"), F.min("at").alias("first_ts"), F.max("at").alias("last_ts")).where(F.col("last_ts") >= since)
     span = (F.col("last_ts") - F.col("first_ts")).cast("double")
     cut = (F.col("first_ts") < since) & (span > 0)
     n = F.when(cut, F.round(F.col("count") * (F.col("last_ts") - F.lit(since)).cast("double") / span).cast("long")).otherwise(F.col("count"))
-    rated = rollup.select("device", "template", n.alias("n"), cut.alias("approximate"))
+    rated = rollup.select("device", "template", n.alias("n"), cut.alias("approximate"), span.alias("span"))
     total = rated.groupBy("device").agg(F.sum("n").alias("total"))
     minutes = (until - since) / 60_000
     return rated.join(total, "device").select(
@@ -99,6 +118,7 @@ def noise(log: DataFrame, since: int, until: int) -> DataFrame:
         "template",
         "n",
         F.round(F.col("n").cast("double") / F.lit(float(minutes)), 1).alias("per_min"),
+        F.when((F.col("n") >= BURST_SAMPLES) & (F.col("span") >= 1), F.round(F.col("n").cast("double") / (F.col("span") / 60_000.0), 1)).alias("burst_per_min"),
         F.least(F.lit(100.0), F.round(F.col("n") * F.lit(100.0) / F.greatest("total", F.lit(1)), 1)).alias("share"),
         "approximate",
     )

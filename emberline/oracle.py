@@ -55,10 +55,12 @@ with {_LOG}, rollup as (
 ), rated as (
     select device, template, first_ts < {_NOW - 16 * _DAY} and last_ts > first_ts as approximate,
         case when first_ts < {_NOW - 16 * _DAY} and last_ts > first_ts
-            then round(count * (last_ts - {_NOW - 16 * _DAY})::double / (last_ts - first_ts)::double)::bigint else count end as n
+            then round(count * (last_ts - {_NOW - 16 * _DAY})::double / (last_ts - first_ts)::double)::bigint else count end as n,
+        last_ts - first_ts as span
     from rollup
 ), rates as (
     select device, template, n, round(n::double / {16 * 1440}.0::double, 1) as per_min,
+        case when n >= 5 and span >= 1 then round(n::double / (span::double / 60000.0::double), 1) end as burst_per_min,
         least(100.0::double, round(n * 100.0::double / greatest(sum(n) over (partition by device), 1)::double, 1)) as share, approximate
     from rated
 )
@@ -120,6 +122,14 @@ _RUNS = (
 )"""
 )
 
+_GARBAGE = """garbage as (
+    select device, boot as seq, count(*) filter (where event_id % 13 = 0) as spans,
+        coalesce(max((at, event_id)) filter (where template in ('signup', 'purchase')) > max((at, event_id)) filter (where event_id % 13 = 0), false) as resolved
+    from booted group by all having count(*) filter (where event_id % 13 = 0) > 0
+)"""
+
+_OPENED = _BOOTED + ", opened as (select device, boot as seq, min(event_id) as opened_offset, sum(length(props)) as bytes from booted group by all)"
+
 _SAMPLES = _BOOTED + ", samples as (select device, boot, template, 'k' as slot, at, event_id as id, json_extract_string(props, '$.k') as value from booted)"
 
 
@@ -290,6 +300,56 @@ ORACLE_SQL = {
         select a as report_a, b as report_b, shared::bigint as shared, round(shared::double / total, 4) as jaccard from met where shared >= 2 and shared::double / total >= 0.45""",
     "distinct_reporters": "select event_type as template, count(distinct user_id) as reporters from events group by 1",
     "bisect_next_step": "select * from (values (0, 'test', 0), (1, 'test', 9), (2, 'test', 4), (3, 'test', 2), (4, 'test', 3), (5, 'found', 6), (6, 'inconclusive', null)) v(case_id, step, candidate)",
+    "bisect_orders": """with tested as (select distinct o_custkey as case_id, (o_orderkey % 12)::int as i from orders),
+        judged as (select *, case when (case_id + i) % 5 = 0 then 'skip' when i < case_id % 14 then 'good' else 'bad' end as v from tested),
+        known as (select c_custkey as case_id, coalesce(max(i) filter (where v = 'good'), -1) as good, coalesce(min(i) filter (where v = 'bad'), 12) as bad, coalesce(bool_or(i = 0), false) as low, coalesce(bool_or(i = 11), false) as high
+            from customer left join judged on case_id = c_custkey group by 1),
+        open as (select case_id, min_by(k, (abs(k - trunc((good + bad) / 2.0)), k)) as k from known, range(0, 12) r(k) where k > good and k < bad and not exists (select 1 from tested t where t.case_id = known.case_id and i = k) group by 1)
+        select known.case_id, case when not low or not high then 'test' when bad = 12 then 'inconclusive' when good >= bad then 'found' when k is not null then 'test' when bad - good > 1 then 'inconclusive' else 'found' end as step,
+            (case when not low then 0 when not high then 11 when bad = 12 then null when good >= bad then bad when k is not null then k when bad - good > 1 then null else bad end)::int as candidate from known left join open using (case_id)""",
+    "report_copies": f"""with {_RECORDS}, plain as (select session_id || '/' || record_no as id, trim(regexp_replace(lower(replace(text, chr(10), ' ')), '[^a-zà-ÿ]+', ' ', 'g')) as t from records),
+        keyed as (select id, case when t = '' then '#' || id else t end as k from plain)
+        select id, min(id) over (partition by k) as first_id, count(*) over (partition by k) as copies from keyed""",
+    "boot_attempts": f"with {_EPOCHS} select device, seq, case seq % 4 when 1 then 'power' else 'reset' end as opened_by, bytes from epochs where seq % 2 = 1 and bytes > 0",
+    "loop_kinds": f"""with {_EPOCHS}, marks as (select device, boot as seq, bool_or(event_id % 3 = 0) as watchdog, bool_or(template = 'purchase') as userspace from booted group by all),
+        shaped as (select epochs.* replace (least(records, 3) || '/' || (device % 2 * (seq % 3)) as fingerprint), watchdog, userspace from epochs join marks using (device, seq)),
+        recent as (select *, row_number() over w as r, first_value(fingerprint) over w as newest from shaped window w as (partition by device order by seq desc)),
+        cut as (select *, max(case when fingerprint <> newest then 1 else 0 end) over (partition by device order by seq desc) as broken from recent where r <= 12),
+        g as (select device, count(*) filter (where broken = 0) as run, count(distinct fingerprint) as "distinct", count(*) filter (where broken = 0 and errors > 0) as crashed,
+            count(*) filter (where broken = 0 and watchdog) as barked, count(*) filter (where broken = 0 and userspace) as finished, count(*) as seen from cut group by 1)
+        select device, run, "distinct", crashed, case when seen < 3 then 'none' when run < 3 then case when "distinct" > 2 then 'unstable' else 'none' end when barked * 2 >= run then 'watchdog'
+            when crashed * 2 >= run then 'crash' when "distinct" > 2 then 'flapping' when finished = 0 then 'stage_capped' else 'stable' end as kind from g""",
+    "garbage_resolved": f"with {_BOOTED}, {_GARBAGE} select * from garbage",
+    "boot_outcome_ladder": f"""with {_RUNS}, {_GARBAGE}, marks as (select device, boot as seq, bool_or(severity <= 3) as crash, bool_or(template = 'purchase') as reached from booted group by all),
+        newest as (select device, max_by(template, (at, event_id)) as last from log group by 1)
+        select device, seq, case when seq % 7 = 3 or bytes = 0 then case when seq % 2 = 0 then 'no_output' else 'unknown_capture' end when not resolved then 'garbage' when crash then 'crashed' when reached then 'booted'
+            when closed_at is null and {_NOW} - last_at < 15000 then 'booting'
+            when exists (select 1 from runs where runs.device = epochs.device and run >= 3 and seq between first_seq and last_seq) then 'looping'
+            when closed_at is null and last in ('view', 'click') then case last when 'view' then 'login_wait' else 'at_prompt' end
+            when closed_at is null and {_NOW} - last_at >= 30000 then 'hung' when closed_at is not null then 'ended' else 'in_progress' end as outcome
+        from epochs left join marks using (device, seq) left join garbage using (device, seq) left join newest using (device)""",
+    "diff_stage_times": f"""with {_EPOCHS}, reach as (select device, boot, template as stage, greatest(min(b.at) - any_value(opened_at), 0) as ms from booted b join epochs using (device) where seq = boot and boot in (1, 2) group by all),
+        have as (select device from reach group by 1 having count(distinct boot) = 2)
+        select device, stage, max(ms) filter (where boot = 1) as reached_a, max(ms) filter (where boot = 2) as reached_b, max(ms) filter (where boot = 2) - max(ms) filter (where boot = 1) as delta_ms,
+            case when count(*) = 1 then case min(boot) when 1 then 'a' else 'b' end end as only_in from reach where device in (from have) group by all""",
+    "boot_covering_offset": f"""with {_OPENED}, points as (select o_orderkey as point_id, o_custkey as device, o_orderkey % 1000 as position from orders)
+        select point_id, points.device, position, max_by(seq, (opened_offset, seq)) as seq from points left join opened on opened.device = points.device and opened_offset <= position and bytes > 0 group by all""",
+    "sibling_boots": f"""with {_EPOCHS}, groups as (select device, seq, case when seq % 3 <> 0 then (device % 20) || '-' || seq end as group_id from epochs), newest as (select device, max(seq) as seq from epochs group by 1)
+        select n.device, n.seq, o.device as sibling_device, o.seq as sibling_seq from newest n join groups g using (device, seq) join groups o on o.group_id = g.group_id and (o.device <> n.device or o.seq <> n.seq)""",
+    "baseline_protection": f"with {_OPENED} select device, min(opened_offset) as protected from opened where device % 3 = 0 and seq in (1, 2) group by 1",
+    "retention_with_baselines": f"""with {_EPOCHS}, protected as (select device, min(opened_at) as from_at from epochs where device % 3 = 0 and seq in (1, 2) group by 1),
+        summed as (select *, length(props) as size, sum(length(props)) over (partition by device order by at, event_id) as upto, sum(length(props)) over (partition by device) as total from log),
+        judged as (select summed.*, upto - size >= total - 100 or coalesce(at >= from_at, false) as kept from summed left join protected using (device))
+        select device, min_by(event_id, (at, event_id)) filter (where kept) as cut_event, coalesce(sum(size) filter (where not kept), 0)::bigint as dropped_bytes, coalesce(sum(size) filter (where kept), 0)::bigint as kept_bytes from judged group by 1""",
+    "follow_default_start": f"""with {_OPENED}, head as (select device, max(event_id) + 1 as head from log group by 1), newest as (select device, greatest(max_by(opened_offset, seq) - 10, 0) as wanted from opened where device % 4 <> 0 group by 1)
+        select device, case when wanted is null then head else greatest(wanted, head - 300, 0) end as start, case when wanted is null then 'head' when wanted >= greatest(head - 300, 0) then 'epoch' else 'tail' end as why from head left join newest using (device)""",
+    "boots_for_image": f"""with {_EPOCHS} select device, seq, device + seq as image_id from epochs where device + seq in (select p_partkey from part where sha1(p_partkey::varchar) like 'b%')""",
+    "timeline_of_kind": f"with {_EPOCHS} select device, opened_at as at, 'epoch_open' as kind, seq::varchar as detail from epochs",
+    "undelivered_hits": f"""with {_LOG} select case template when 'error' then 'errors' else 'buys' end as watch, event_id, at, template from log where (template = 'error' and event_id > 500) or template = 'purchase'""",
+    "toc_compact_page": f"""with {_ROLLUP}, toc as ({_TOC} group by 1) select template, count, severity, last_ts, (select count(*) from toc) > 3 as capped, case when (select count(*) from toc) > 3 then 3 end::int as next_offset
+        from toc order by count desc, template limit 2 offset 1""",
+    "templates_omitted": f"""with {_LOG}, own as (select device, template, row_number() over (partition by device order by template) as place from (select distinct device, template from log))
+        select device, string_agg(template, ',' order by place) filter (where place <= 2) as shown, count(*) filter (where place > 2) as omitted from own group by 1""",
     "decode_ints": _decode(),
     "cursors": """with c as (select event_id, substr(sha256(user_id::varchar), 1, 12) || ':' || lpad(lower(to_hex(event_id)), 16, '0') as cursor_text from events)
         select event_id, cursor_text, case when event_id % 5 = 0 then 'invalid' when event_id < 500 then 'expired' else 'ok' end as state, case when event_id % 5 <> 0 then event_id end as "offset" from c""",

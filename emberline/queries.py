@@ -461,8 +461,25 @@ def distinct_reporters(spark, sf):
 @query
 def bisect_next_step(spark, sf):
     cases = [[], [(0, "good")], [(0, "good"), (9, "bad")], [(0, "good"), (9, "bad"), (4, "bad")], [(0, "good"), (9, "bad"), (4, "skip")], [(k, "good" if k < 6 else "bad") for k in range(10)], [(0, "good"), (9, "good")]]
-    rows = [(k, *reports.bisect_next(case, 10)) for k, case in enumerate(cases)]
-    return spark.createDataFrame(rows, "case_id int, step string, candidate int")
+    results = [(k, index, verdict) for k, case in enumerate(cases) for index, verdict in case]
+    asked = spark.createDataFrame([(k, 10) for k in range(len(cases))], "case_id int, n int")
+    return reports.bisect_steps(asked, spark.createDataFrame(results, "case_id int, index int, verdict string"))
+
+
+@query
+def bisect_orders(spark, sf):
+    """A case a customer: orders test one of 12 candidates each, the ones from the customer's culprit on are bad, some can't be tested."""
+    customers = views.table(spark, sf, "customer").select(F.col("c_custkey").alias("case_id"), F.lit(12).alias("n"))
+    tested = views.table(spark, sf, "orders").select(F.col("o_custkey").alias("case_id"), (F.col("o_orderkey") % 12).cast("int").alias("index")).distinct()
+    skipped = (F.col("case_id") + F.col("index")) % 5 == 0
+    verdict = F.when(skipped, "skip").when(F.col("index") < F.col("case_id") % 14, "good").otherwise("bad")
+    return reports.bisect_steps(customers, tested.withColumn("verdict", verdict))
+
+
+@query
+def report_copies(spark, sf):
+    rows = views.records(spark, sf).select(F.concat_ws("/", "session_id", "record_no").alias("id"), F.array_join("lines", " ").alias("text"))
+    return reports.same_reports(rows)
 
 
 @query
@@ -659,3 +676,108 @@ def fields_map(spark, sf):
     made = F.concat(F.lit("a="), F.col("event_id"), F.lit(" b.c=x a="), F.col("device"), F.lit(" noise"))
     fields = text.key_values(made)
     return views.log(spark, sf).select("event_id", F.element_at(fields, "a").alias("a"), F.element_at(fields, F.lit("b.c")).alias("bc"), F.size(fields).alias("n"))
+
+
+# Epochs by position, groups, images, baselines
+
+
+def _openers(spark: SparkSession, sf: str) -> DataFrame:
+    by = F.when(F.col("seq") % 4 == 0, "session").when(F.col("seq") % 4 == 1, "power").when(F.col("seq") % 4 == 2, "mark").otherwise("reset")
+    return views.epochs(spark, sf).select("device", "seq", by.alias("opened_by"))
+
+
+@query
+def boot_attempts(spark, sf):
+    return epochs.attempts(views.epochs(spark, sf), _openers(spark, sf)).select("device", "seq", "opened_by", "bytes")
+
+
+@query
+def loop_kinds(spark, sf):
+    log, known = views.log_with_epochs(spark, sf), views.epochs(spark, sf)
+    of_epoch = log.groupBy("device", F.col("boot").alias("seq"))
+    marks = of_epoch.agg(F.max(F.col("event_id") % 3 == 0).alias("watchdog"), F.max(F.col("template") == "purchase").alias("userspace"))
+    shaped = known.withColumn("fingerprint", F.concat(F.least("records", F.lit(3)), F.lit("/"), F.col("device") % 2 * (F.col("seq") % 3)))
+    return epochs.loop_class(shaped, marks=marks)
+
+
+@query
+def garbage_resolved(spark, sf):
+    return epochs.garbage_state(views.log_with_epochs(spark, sf), F.col("event_id") % 13 == 0, F.col("template").isin("signup", "purchase"))
+
+
+@query
+def boot_outcome_ladder(spark, sf):
+    log, known = views.log_with_epochs(spark, sf), views.epochs(spark, sf)
+    garbage = epochs.garbage_state(log, F.col("event_id") % 13 == 0, F.col("template").isin("signup", "purchase"))
+    silent = known.withColumn("bytes", F.when(F.col("seq") % 7 == 3, 0).otherwise(F.col("bytes")))
+    attested = known.where("seq % 2 = 0").select("device", "seq")
+    newest = log.groupBy("device").agg(F.max_by("template", F.struct("at", "event_id")).alias("last"))
+    prompts = newest.where("last in ('view', 'click')").select("device", F.when(F.col("last") == "view", "login").otherwise("shell").alias("kind"))
+    return epochs.outcomes(silent, log, NOW, attested=attested, garbage=garbage, prompts=prompts)
+
+
+@query
+def diff_stage_times(spark, sf):
+    return compare.diff_stages(epochs.stage_reach(views.log_with_epochs(spark, sf), views.epochs(spark, sf)), 1, 2)
+
+
+@query
+def boot_covering_offset(spark, sf):
+    points = views.table(spark, sf, "orders").select(F.col("o_orderkey").alias("point_id"), F.col("o_custkey").alias("device"), (F.col("o_orderkey") % 1000).alias("position"))
+    return epochs.epoch_covering(epochs.opened_positions(views.log_with_epochs(spark, sf)), points, bucket=100)
+
+
+@query
+def sibling_boots(spark, sf):
+    known = views.epochs(spark, sf)
+    groups = known.select("device", "seq", F.when(F.col("seq") % 3 != 0, F.concat(F.col("device") % 20, F.lit("-"), F.col("seq"))).alias("group_id"))
+    return epochs.siblings(groups, known.groupBy("device").agg(F.max("seq").alias("seq")))
+
+
+@query
+def baseline_protection(spark, sf):
+    opened = epochs.opened_positions(views.log_with_epochs(spark, sf))
+    return epochs.protected_positions(opened, opened.where("device % 3 = 0 and seq in (1, 2)").select("device", "seq"))
+
+
+@query
+def retention_with_baselines(spark, sf):
+    protected = views.epochs(spark, sf).where("device % 3 = 0 and seq in (1, 2)").groupBy("device").agg(F.min("opened_at").alias("protected_at"))
+    return reports.retention(views.log(spark, sf), 100, protected=protected)
+
+
+@query
+def follow_default_start(spark, sf):
+    opened = epochs.opened_positions(views.log_with_epochs(spark, sf)).where("device % 4 <> 0")
+    return epochs.default_start(views.log(spark, sf), opened, 10, 300)
+
+
+@query
+def boots_for_image(spark, sf):
+    images = views.table(spark, sf, "part").select(F.col("p_partkey").alias("image_id"), F.col("p_name").alias("name"), F.sha1(F.col("p_partkey").cast("string")).alias("git_sha"), F.md5("p_name").alias("image_hash"))
+    ran = views.epochs(spark, sf).select("device", "seq", (F.col("device") + F.col("seq")).alias("image_id"))
+    return compare.epochs_of_image(ran, images, "B")
+
+
+@query
+def timeline_of_kind(spark, sf):
+    return timeline(spark, sf).where(F.startswith(F.lower("kind"), F.lit("epoch_")))
+
+
+@query
+def undelivered_hits(spark, sf):
+    watches = spark.createDataFrame([("errors", "active", 500), ("buys", "active", -1), ("old", "retired", -1)], "watch string, status string, delivered_to long")
+    log = views.log(spark, sf)
+    hits = reports.watch_hits(log, "errors", F.col("template") == "error").unionByName(reports.watch_hits(log, "buys", F.col("template") == "purchase"))
+    return reports.undelivered(hits.unionByName(reports.watch_hits(log, "old", F.col("template") == "view")), watches)
+
+
+@query
+def toc_compact_page(spark, sf):
+    compact = templates.table_of_contents(_rollup(spark, sf)).select("template", "count", "severity", "last_ts")
+    return templates.page(compact, [F.desc("count"), "template"], 2, 1)
+
+
+@query
+def templates_omitted(spark, sf):
+    return templates.capped_lists(_rollup(spark, sf), "device", "template", 2)
