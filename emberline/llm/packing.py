@@ -38,6 +38,8 @@ from emberline.session import Scratch
 CAPACITY = 4096
 #: Pieces and gaps that one range holds.
 RANGE_ROWS = 50_000
+#: Matches across ranges that are broadcast (some five megabytes); more of them are shuffled.
+SMALL_MATCHES = 100_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -202,7 +204,7 @@ def best_fit(pieces: DataFrame, capacity: int = CAPACITY, range_rows: int = RANG
         shifts = spark.createDataFrame(
             list(by_range.items()), "range int, found array<struct<lo:int,hi:int,each:int,gap_range:int,gap_rank:int>>"
         )
-        rest = swept.where(item).join(F.broadcast(shifts), "range", "left")
+        rest = swept.where(item).join(F.broadcast(shifts) if len(segments) <= SMALL_MATCHES else shifts, "range", "left")
         match = F.get(F.filter("found", lambda s: F.col("rank").between(s["lo"], s["hi"])), F.lit(0))
         aimed = rest.select("id", "size", "rank", match.alias("to"))
         aimed = aimed.select("id", "size", F.col("to.gap_range").alias("range"), (F.col("to.gap_rank") - F.expr("(rank - to.lo) div to.each")).cast("int").alias("rank"))

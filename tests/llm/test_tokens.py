@@ -129,3 +129,14 @@ def test_best_fit_is_tight(spark, range_rows, kind):
         if room > size:
             rooms.add(room - size, 0)
     assert n <= max(bins + 2, bins * 1.03)
+
+
+def test_best_fit_shuffles_many_matches(spark, monkeypatch):
+    rng = random.Random(9)
+    sizes = [min(1000, 1 + int(rng.expovariate(1 / 200))) for _ in range(400)]
+    pieces = spark.createDataFrame(list(enumerate(sizes)), "id long, size long")
+    of = lambda: sorted(tuple(r) for r in packing.best_fit(pieces, 1000, 40).collect())
+    few = of()
+    monkeypatch.setattr(packing, "SMALL_MATCHES", 0)
+    assert of() == few
+    assert_valid([(sequence, offset, sizes[id_]) for id_, sequence, offset in few], 1000)
