@@ -151,13 +151,15 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(labelled: DataFrame, most: int = MAX_SAMPLE) -> Model:
     """From doc_id, text and label (all not null)."""
     key = F.xxhash64("doc_id", F.lit(41))
-    share = labelled.groupBy("label").count()
+    share = labelled.groupBy("label").agg(F.approx_count_distinct("doc_id", 0.02).alias("count"))
     n_labels = max(1, share.count())
     chance = F.least(F.lit(1.0), F.lit(most / n_labels * 1.2) / F.col("count"))
     even = labelled.select("doc_id", "label").join(F.broadcast(share), "label").where(F.pmod(key, F.lit(1 << 20)) < chance * (1 << 20))
-    drawn = F.broadcast(even.orderBy(key, "doc_id", "label").limit(most).select("doc_id", "label").distinct())
+    drawn = F.broadcast(even.distinct().orderBy(key, "doc_id", "label").limit(most).select("doc_id", "label"))
     part = F.pmod(F.xxhash64("doc_id", F.lit(42)), F.lit(5)).cast("int").alias("part")
-    sample = labelled.join(drawn, ["doc_id", "label"]).select("label", "text", part)
+    # Of rows that share an id one counts, so the sample is as large as it says whatever repeats.
+    one = labelled.join(drawn, ["doc_id", "label"]).groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text"))["text"].alias("text"))
+    sample = one.select("label", "text", part)
     rows = sample.mapInArrow(tidy(_counts), "label string, part int, ids binary, counts binary").toArrow().to_pandas()
     return train(rows)
 

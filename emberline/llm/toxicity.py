@@ -151,6 +151,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_SAMPLE) -> Chain:
     chance = F.least(F.lit(1.0), F.when(F.col("toxic") == 1, most / 2 / totals.get(1, 1)).otherwise(most / 2 / totals.get(0, 1)))
     drawn = flags.where(F.pmod(key, F.lit(1 << 20)) < chance * (1 << 20)).orderBy(key, "doc_id").limit(most)
     sample = docs.where("doc_id is not null and text is not null").select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
+    # Of rows that share an id one counts, so the sample is as large as it says whatever repeats.
+    sample = sample.groupBy("doc_id", "toxic", "low_quality").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text"))["text"].alias("text"))
     sample = sample.select("text", "toxic", "low_quality", F.pmod(F.xxhash64("doc_id", F.lit(44)), F.lit(FOLDS)).cast("int").alias("fold"))
     sample = Scratch(docs.sparkSession, "toxicity").write(sample, "sample")
 

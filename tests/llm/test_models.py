@@ -157,3 +157,23 @@ def test_chain_uses_earlier_probabilities(spark):
     chain = toxicity.fit(spark.createDataFrame([d[:2] for d in docs], "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
     sizes = [len(w) - len(chain.terms) for w in chain.weights]
     assert [b - a for a, b in zip(sizes, sizes[1:], strict=False)] == [1, 1]
+
+
+def test_language_sample_counts_distinct_ids(spark, monkeypatch):
+    few = [(k, f"{w} {w}a", lang) for k, (w, lang) in enumerate([("und das ist", "de"), ("the and of", "en")] * 10)]
+    hot = [(500, f"the word {k}", "en") for k in range(4000)]  # one id on most rows
+    labelled = spark.createDataFrame([*few, *hot], "doc_id long, text string, label string")
+    seen = []
+    monkeypatch.setattr(language_id, "train", lambda rows: seen.append(rows))
+    language_id.fit(labelled, 100)
+    assert len(seen[0]) == 21 and set(seen[0]["label"]) == {"de", "en"}
+
+
+def test_toxicity_sample_counts_distinct_ids(spark, monkeypatch):
+    rows = [(k, "vile hateful words" if k % 2 else "kind words", k % 2) for k in range(20)]
+    docs = spark.createDataFrame([(k, t) for k, t, _ in rows] + [(7, f"vile {k}") for k in range(4000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 1, toxic) for k, _, toxic in rows], "doc_id long, quality int, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda rows, chosen: seen.append(rows))
+    toxicity.fit(docs, labels, 100)
+    assert len(seen[0]) == 20 and sum(seen[0]["toxic"]) == 10
