@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.llm import chat, cross_polytope, decontaminate, html_text, language_id, ngram_join, packing, records, substring_dedup, toxicity
+from emberline.llm import chat, cross_polytope, decontaminate, filter_audit, hard_negatives, html_text, language_id, line_dedup, ngram_join, packing, records, substring_dedup, toxicity
 from emberline.llm.tokens import vocabulary
 
 
@@ -72,6 +72,25 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=1, capacity=4096)
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the lines that three or more of them hold."""
+    left = line_dedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return left.select("row.doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove from all documents of each language, in every order."""
+    return filter_audit.audit_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every vector whose id is divisible by 50, from all vectors."""
+    vectors = _table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = hard_negatives.quantised(vectors.select("vec_id", "embedding", label.alias("label")), "vec_id", "embedding", "label")
+    return hard_negatives.mine(rows.where("id % 50 = 0"), rows)
+
+
 _QUERIES = (
     op1_language_id,
     op2_chat_format,
@@ -83,6 +102,9 @@ _QUERIES = (
     op8_decontamination,
     op9_toxicity,
     op10_best_fit_packing,
+    op11_line_dedup,
+    op12_filter_audit,
+    op13_hard_negatives,
 )
 
 
