@@ -61,6 +61,21 @@ def test_neighbours_recall(spark, scales):
     assert [v for v, *_ in got[400]] == [v for v, _ in wanted[400]]  # among copies: the smallest ids
 
 
+@pytest.mark.parametrize("scale", ["sf0.01", "sf0.1"])
+def test_neighbours_recall_on_the_given_vectors(spark, scale):
+    vectors = cross_polytope.usable(spark.read.parquet(f"/root/testdata/{scale}/embeddings.parquet"), "vec_id", "embedding")
+    table = vectors.toPandas()
+    ids, x = table["id"].to_numpy(), np.array(table["vector"].tolist(), dtype=np.float64)
+    square = (x * x).sum(axis=1)
+    distance = square[:, None] - 2 * x @ x.T + square
+    np.fill_diagonal(distance, np.inf)
+    wanted = {int(i): set(ids[best].tolist()) for i, best in zip(ids, np.argsort(distance, axis=1)[:, :10], strict=True)}
+    found = cross_polytope.nearest_neighbours(vectors, vectors).toPandas().groupby("query_id")["vec_id"].agg(set)  # every row is a query
+    share = {i: len(found[i] & own) / 10 for i, own in wanted.items()}
+    assert np.mean(list(share.values())) >= 0.92
+    assert np.mean([v for i, v in share.items() if i % 100 == 0]) >= 0.9
+
+
 def test_neighbours_of_few_and_none(spark):
     frame = spark.createDataFrame([(100, [1.0, 2.0]), (200, [2.0, 1.0]), (3, [1.0, 2.0])], "vec_id long, embedding array<float>")
     vectors = cross_polytope.usable(frame, "vec_id", "embedding")
