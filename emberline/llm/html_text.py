@@ -4,13 +4,14 @@
    its ratio is its characters outside links over its tags. What is hidden, code, a control, or a menu,
    header, footer or sidebar by its element gives no lines.
 2. Roles and names are evidence: within an element that they mark as a notice, an advert, comments and the like, ratios
-   count ``MARKED`` times as much; names that only touch such words count ``TOUCHED`` times, article and main ``SAID`` times.
+   count ``MARKED`` times as much; names that only touch such words count ``TOUCHED`` times, article and main ``SAID`` times. A name that
+   says nothing but advert or comments counts ``SURE`` times: such text only stays where a page has no other.
 3. Ratios are smoothed with a Gaussian over neighbouring lines and parted by a threshold.
    Runs of lines over it are clusters; those that are heavy enough say where the content is.
 4. The region is the innermost element that holds most of the clusters' weight, or an element around it while that
    adds dense lines (lists, tables and the like never are regions of their own; main is the widest).
 5. Within the region every line stays, in page order, but for marked elements whose ratios, with the evidence, lie well
-   under those of the lines that aren't marked. So a name alone drops nothing: what all text is in, or most of it, stays.
+   under those of the lines that aren't marked. So a name alone drops nothing, unless it is sure: what all text is in, or most of it, stays.
 
 Every step is linear in the page, also for elements nested to any depth.
 
@@ -50,6 +51,10 @@ NAMES = frozenset(
     " ad ads adv advert adverts advertisement advertisements advertising advertorial adsense adbox sponsor sponsored sponsors promo promotion promoted"
     " comment comments commentlist disqus reply replies respond share sharing social related recommended pagination pager skip search toolbar form copyright".split()
 )
+#: Of these the ones that say an advert or readers' comments, if nothing else is said with them but a holder.
+SURE_NAMES = frozenset(
+    "ad ads adv advert adverts advertisement advertisements advertising adsense sponsored comment comments commentlist disqus".split()
+)
 #: Words that turn a name round, words of an article's own parts, and words for a part of what a name says.
 TURNED = frozenset("no non not with without has have".split())
 OWN_PARTS = frozenset("article post entry story section content chapter main text".split())
@@ -72,7 +77,7 @@ WIDE = frozenset("article main body html div section center td form fieldset det
 #: Lines on either side that the smoothing reaches, and its width.
 REACH, SIGMA = 3, 1.5
 #: What evidence does to a ratio.
-MARKED, TOUCHED, SAID = 1 / 32, 1 / 3, 4.0
+SURE, MARKED, TOUCHED, SAID = 2.0**-20, 1 / 32, 1 / 3, 4.0
 #: Parts of the heaviest cluster that one needs to count, and of all clusters that a region holds.
 HEAVY, SHARE = 0.05, 0.7
 #: Part of the other lines' mean ratio that a marked element needs to stay.
@@ -93,6 +98,8 @@ def _name_evidence(token: str) -> float:
     last = parts[-1] if not parts[-1].isdigit() or len(parts) == 1 else parts[-2]
     if last == "header" and not OWN_PARTS.isdisjoint(parts):
         return 1.0
+    if not SURE_NAMES.isdisjoint(parts) and all(p in SURE_NAMES or p in HOLDERS or p.isdigit() for p in parts):
+        return SURE
     if last in NAMES or (last in HOLDERS and hits[-1] >= len(parts) - 2 - parts[-1].isdigit()):
         return MARKED
     return TOUCHED
@@ -100,17 +107,18 @@ def _name_evidence(token: str) -> float:
 
 def _evidence(attrs: list[tuple[str, str | None]]) -> float:
     """What the attributes say; 0 if they hide the element."""
-    found = 1.0
+    found, own = 1.0, False
     for name, value in attrs:
         if name == "hidden" or (name == "style" and value and "display:none" in value.replace(" ", "").lower()):
             return 0.0
         if not value:
             continue
         if name == "role" and value.strip().lower() in ROLES:
-            found = MARKED
+            found = min(found, MARKED)
         elif name in ("class", "id"):
             found = min([found, *map(_name_evidence, value.split())])
-    return found
+            own = own or not OWN_PARTS.isdisjoint(value.lower().split())
+    return max(found, MARKED) if own else found
 
 
 class _Page(HTMLParser):
@@ -172,7 +180,7 @@ class _Page(HTMLParser):
         self.parents.append(at)
         self.out.append(self.out[at] or dropped)
         self.evidence.append(max(1e-300, self.evidence[at] * own))
-        self.marked.append(own == MARKED)
+        self.marked.append(own <= MARKED)
         self.links.append(self.links[at] + (tag == "a"))
         scope = self.scopes[at]
         if tag in HIDES or tag in ENDS or tag == "p":

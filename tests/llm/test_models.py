@@ -192,3 +192,42 @@ def test_toxicity_sample_counts_distinct_ids(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "train", lambda rows, chosen: seen.append(rows))
     toxicity.fit(docs, labels, 100)
     assert len(seen[0]) == 20 and sum(seen[0]["toxic"]) == 10
+
+
+LONG = "Buy our great new thing today, as it is cheap and good. " * 8
+
+
+@pytest.mark.parametrize("times", [1, 2, 4, 8])
+def test_adverts_and_comments_go_however_long_they_are(times):
+    short = "<h2>Short</h2><p>Dear all.</p><ul><li>One thing</li><li>Two things</li></ul>"
+    assert html_text.main_text(f"<article>{short}<div class='advert'><p>{LONG * times}</p></div></article>") == "Short\nDear all.\nOne thing\nTwo things"
+    comments = f"<section class='comments'><p>{LONG * times}</p></section>"
+    assert html_text.main_text(f"<article><p>A short paragraph.</p><p>Another one.</p>{comments}</article>") == "A short paragraph.\nAnother one."
+    assert html_text.main_text(f"<body><div id='comments-list'><p>{LONG}</p></div></body>") == LONG.strip()  # there is no other text
+
+
+@pytest.mark.parametrize("name", ["no-sidebar", "post-header", "with-comments", "entry-reply-count", "article-header", "content ad"])
+def test_names_that_only_touch_such_words_drop_nothing(name):
+    page = f"<body><div class='{name}'><p>A paragraph of some words, rather short.</p><p>{LONG}</p></div><div>Site</div></body>"
+    assert html_text.main_text(page) == f"A paragraph of some words, rather short.\n{LONG.strip()}"
+
+
+@pytest.mark.parametrize(
+    "own, beside",
+    [
+        ([20, 12, 12, 25, 40, 30, 25, 20], [1, 2, 1, 1, 1, 2, 20, 1, 1]),
+        ([25, 12, 12, 30, 20], [1, 2, 1, 1, 1, 2, 15, 2, 1]),
+        ([20, 30, 40, 20, 20], [1, 1, 1, 2, 1, 1, 20, 1]),
+        ([3, 12, 20, 25, 20, 30], [2, 2, 1, 1, 18, 2, 1]),
+    ],
+)
+def test_smoothing_decides(monkeypatch, own, beside):
+    """One long teaser among short ones: a dense line without dense neighbours is no content."""
+    words = "the river ran past an old mill where nobody had lived for years and then one day somebody came back to open all its doors".split()
+    sentence = lambda n, k: " ".join(words[(j + k) % len(words)] for j in range(n)).capitalize() + "."
+    content = [sentence(n, k) for k, n in enumerate(own)]
+    teasers = [sentence(n, 3 * k) for k, n in enumerate(beside)]
+    page = "<body><div>" + "".join(f"<div><span>{x}</span></div>" for x in teasers) + "</div><div>" + "".join(f"<p>{x}</p>" for x in content) + "</div></body>"
+    assert html_text.main_text(page) == "\n".join(content)
+    monkeypatch.setattr(html_text, "smoothed", lambda ratios: ratios)
+    assert html_text.main_text(page) != "\n".join(content)
