@@ -5,8 +5,7 @@ Texts are split at newlines and the lines exploded with their positions. A line'
 documents are counted, and the largest doc_id kept: that document keeps its lines with this key, all of them, and of the others they are
 dropped if at least ``documents`` documents hold the key. The positions to drop come back to their rows, whose other lines are joined again.
 
-Only hashes, ids and positions are shuffled, no text, unless the rows that lose lines are too many to be
-broadcast (``session.small``); then texts join the positions by row. One line may stand in any share of the documents: hashes are first
+Hashes, ids and positions are shuffled, and texts once, to meet the positions of their row. One line may stand in any share of the documents: hashes are first
 grouped with the id, so a hot one goes evenly to all tasks, and is then counted with map-side sums; where the common hashes are too many to be
 broadcast, lines meet them in a join whose large keys Spark can split.
 
@@ -64,7 +63,7 @@ def dedup_lines(docs: DataFrame, least: int = LEAST, documents: int = DOCUMENTS)
     met = _keyed(rows, least).join(small(common), ["h1", "h2"]).where("not doc_id <=> keeper")
     dropped = scratch.write(met.groupBy(F.col("doc_id").alias("id"), F.col("rid").alias("of")).agg(F.collect_set("place").alias("dropped")), "dropped")
     own = F.col("rid") == F.col("of")
-    placed = rows.join(small(dropped, 100_000), own & F.col("doc_id").eqNullSafe(F.col("id")), "left").withColumn("lines", _lines(F.col("text")))
+    placed = rows.join(dropped, own & F.col("doc_id").eqNullSafe(F.col("id")), "left").withColumn("lines", _lines(F.col("text")))
     n, gone = F.size("lines"), F.coalesce(F.size("dropped"), F.lit(0))
     left = F.array_except(F.sequence(F.lit(0), n - 1), "dropped")
     kept = F.when(gone == 0, F.coalesce("text", F.lit(""))).otherwise(F.array_join(F.transform(left, lambda k: F.get("lines", k)), "\n"))
