@@ -34,13 +34,14 @@ def shared_folder(spark: SparkSession) -> str:
 class Scratch:
     """Tables of one job in the shared folder. They cut lineage and outlive lost executors.
 
-    A table goes when ``drop`` is called; what the job's result still reads
-    stays until the shared folder is cleared.
+    A table goes when ``drop`` or ``clear`` is called: as soon as a later table holds what was made of it. What the
+    job's result still reads stays until the shared folder is cleared.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        self.tables: list[str] = []
 
     def path(self, table: str) -> str:
         return f"{self.folder}/{table}"
@@ -48,11 +49,18 @@ class Scratch:
     def write(self, df: DataFrame, table: str) -> DataFrame:
         with batch_rows(self.spark, BATCH_ROWS):
             df.write.parquet(self.path(table))
+        self.tables.append(table)
         return self.spark.read.schema(df.schema).parquet(self.path(table))
 
-    def drop(self, table: str) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(table))
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+    def drop(self, *tables: str) -> None:
+        for table in tables:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(table))
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            self.tables.remove(table)
+
+    def clear(self, *keep: str) -> None:
+        """Drops all tables but these."""
+        self.drop(*[t for t in self.tables if t not in keep])
 
 
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
