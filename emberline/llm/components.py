@@ -13,9 +13,11 @@ def components(ids: DataFrame, links: DataFrame, scratch: Scratch, name: str) ->
 
     Every round each label takes the smallest label that a link joins it to, and
     labels then jump to their labels' labels until they stand still. Each round at least
-    halves the number of labels that still have links to others, so rounds go with the logarithm of the longest chain.
+    halves the number of labels that still have links to others, so rounds go with the logarithm of the longest chain. A round's tables
+    go when the next labels are stored.
     """
-    labels = scratch.write(ids.select("doc_id", F.col("doc_id").alias("component")), f"{name}-start")
+    held = f"{name}-start"
+    labels = scratch.write(ids.select("doc_id", F.col("doc_id").alias("component")), held)
     open_links = links.select("a", "b").where("a != b").distinct()
     turn = 0
     while True:
@@ -25,6 +27,7 @@ def components(ids: DataFrame, links: DataFrame, scratch: Scratch, name: str) ->
         between = open_links.join(a, "a").join(b, "b").where("x != y").select("x", "y").distinct()
         both = scratch.write(between.union(between.select("y", "x")).distinct(), f"{name}-between{turn}")
         if both.isEmpty():
+            scratch.drop(f"{name}-between{turn}")
             return labels
         hooks = both.groupBy("x").agg(F.min("y").alias("y")).select("x", F.least("x", "y").alias("to"))
         hops = 0
@@ -37,4 +40,6 @@ def components(ids: DataFrame, links: DataFrame, scratch: Scratch, name: str) ->
                 break
         renamed = labels.join(hooks, labels["component"] == hooks["x"], "left").select("doc_id", F.coalesce("to", "component").alias("component"))
         labels = scratch.write(renamed, f"{name}-labels{turn}")
+        scratch.drop(held, f"{name}-between{turn}", *(f"{name}-hooks{turn}-{k}" for k in range(hops)))
+        held = f"{name}-labels{turn}"
         turn += 1

@@ -20,15 +20,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from typing import TYPE_CHECKING
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberline.llm.textkit import mix64, on_release, ragged, slices, tidy
 
+if TYPE_CHECKING:  # workers don't need it
+    import pandas as pd
+
 #: Labelled texts that the model is fitted on, at most.
 MAX_SAMPLE = 3000
 BUCKETS, DIMENSIONS, LONGEST = 1 << 15, 16, 3

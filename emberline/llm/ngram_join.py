@@ -147,10 +147,9 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return met.where(_similar(F.col("set_a"), F.col("set_b"), F.col("n_a"), F.col("n_b"))).select("a", "b")
 
 
-def shingle_components(docs: DataFrame, size: int = SIZE) -> DataFrame:
+def shingle_components(docs: DataFrame, size: int = SIZE, scratch: Scratch | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "ngrams")
+    scratch = scratch or Scratch(docs.sparkSession, "ngrams")
     docs = docs.select("doc_id", "text")
     copies = scratch.write(copy_groups(docs.where(F.col("text").rlike(r"[^ \t\n\x0B\f\r]")), scratch).where("doc_id != leader").distinct(), "copies")
     texts = docs.where("doc_id is not null").join(small(copies.select("doc_id")), "doc_id", "left_anti")
@@ -214,6 +213,7 @@ def shingle_components(docs: DataFrame, size: int = SIZE) -> DataFrame:
     )
     found = scratch.write(_verified(across.select("a", "b").distinct(), sets), "links")
     labels = components(ids, links.unionByName(found), scratch, "all")
+    scratch.clear("copies", "counted", *(t for t in scratch.tables if t.startswith("all-")))
 
     # Copies take their leader's set and component.
     leaders = docs.where("doc_id is not null").select("doc_id").join(copies.select("doc_id", "leader"), "doc_id", "left")
@@ -242,7 +242,9 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """The documents without those whose component has a smaller doc_id; of rows with one doc_id the first by text stays, null doc_ids stay."""
     scratch = Scratch(docs.sparkSession, "distinct")
     names = docs.columns
-    dropped = scratch.write(shingle_components(docs).where("component_id != doc_id").select("doc_id").distinct(), "dropped")
+    found = shingle_components(docs, scratch=scratch).where("component_id != doc_id").select("doc_id").distinct()
+    dropped = scratch.write(found, "dropped")
+    scratch.clear("dropped")
     rest = docs.join(small(dropped), "doc_id", "left_anti").select(*names)
     repeated = scratch.write(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
     if repeated.isEmpty():

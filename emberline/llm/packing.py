@@ -25,7 +25,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -95,11 +94,11 @@ _SWEPT = "what string, range int, rank int, id long, size long, sequence long, o
 
 
 def _sweep(capacity: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = TaskContext.get().partitionId()
         rooms, out, items, size = _Rooms(capacity), [], 0, 1
         for batch in batches:
-            for is_gap, size, id_ in zip(batch["is_gap"], batch["size"], batch["id"], strict=True):
+            for is_gap, size, id_ in zip(*(batch.column(c).to_pylist() for c in ("is_gap", "size", "id")), strict=True):
                 if is_gap:
                     rooms.add(size, id_)
                 elif (found := rooms.take(size)) is not None:
@@ -112,8 +111,9 @@ def _sweep(capacity: int):
                     items += 1
         left = [(room, gap) for room in range(capacity, 0, -1) for gap in rooms.by_room[room]]
         out += [("gap" if room >= size else "rest", own, k, gap, room, gap, None) for k, (room, gap) in enumerate(left)]
-        frame = pd.DataFrame(out, columns=["what", "range", "rank", "id", "size", "sequence", "offset"])
-        yield frame.astype({"sequence": "Int64", "offset": "Int64"})
+        kinds = (pa.string(), pa.int32(), pa.int32(), *[pa.int64()] * 4)
+        columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)] if out else [pa.array([], t) for t in kinds]
+        yield pa.RecordBatch.from_arrays(columns, ["what", "range", "rank", "id", "size", "sequence", "offset"])
 
     return run
 
@@ -192,7 +192,7 @@ def best_fit(pieces: DataFrame, capacity: int = CAPACITY, range_rows: int = RANG
         ranges = max(1, -(-state.count() // range_rows))
         order = [F.col("size").desc(), F.col("is_gap").desc(), F.col("id").asc()]
         dealt = state.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
-        swept = scratch.write(dealt.mapInPandas(_sweep(capacity), _SWEPT), f"swept{turn}")
+        swept = scratch.write(dealt.mapInArrow(_sweep(capacity), _SWEPT), f"swept{turn}")
         item, gap = F.col("what") == "item", F.col("what") == "gap"
         left = swept.where(item | gap).groupBy("range").agg(
             F.count_if(item), F.max(F.when(item, F.col("size"))), F.count_if(gap), F.min(F.when(gap, F.col("size")))

@@ -27,9 +27,9 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from typing import TYPE_CHECKING
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,6 +37,9 @@ from pyspark.sql import functions as F
 from emberline.llm.textkit import slices, tidy
 from emberline.session import Scratch
 
+if TYPE_CHECKING:  # workers don't need it
+    import pandas as pd
+
 #: Labelled documents that the models are fitted on, and terms of a category, at most.
 MAX_SAMPLE, MAX_TERMS = 8000, 600
 #: Documents of the sample that have to hold a term.
