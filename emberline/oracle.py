@@ -69,12 +69,33 @@ select * from rates"""
 _CONSOLE = (
     _LOG
     + """, console as (
-    select device as session_id, event_id as line_no, case template when 'signup' then 'Linux version 6.1.0' when 'error' then 'Kernel panic - not syncing: fatal'
-        when 'click' then 'Call trace: f+0x1' when 'purchase' then '---[ end trace 0 ]---' else 'U-Boot 2024.01' end as text
+    select device as session_id, event_id as line_no, case template when 'signup' then 'Linux version 6.' || event_id % 5 || '.0' when 'error' then 'Kernel panic - not syncing: fatal'
+        when 'click' then 'Call trace: f+0x1' when 'purchase' then '---[ end trace 0 ]---'
+        else 'U-Boot ' || case when event_id % 3 = 0 then 'SPL ' else '' end || '202' || event_id % 6 || '.01' end as text
     from log
 )"""
 )
 
+#: Banners in order, with what each makes of stage, least rank, banners seen and epoch.
+_BOOTS = (
+    _CONSOLE
+    + """, banners as (
+    select session_id, line_no, row_number() over (partition by session_id order by line_no) as k,
+        case when text like 'Linux%' then 'linux' when text like 'U-Boot SPL%' then 'spl' else 'uboot' end as banner,
+        case when text like 'Linux%' then 'kernel' else 'uboot' end as stage, case when text like 'Linux%' then 30 else 20 end::int as rank
+    from console where text like 'Linux%' or text like 'U-Boot%'
+), boots as (
+    select session_id, line_no, k, stage, rank, rank as least, [banner] as seen, 0::bigint as epoch, true as changes, false as resets from banners where k = 1
+    union all
+    select session_id, line_no, k, stage, rank, case when resets then rank else least(least, rank) end, case when resets then [banner] else list_append(seen, banner) end,
+        epoch + resets::int, stage <> last_stage, resets
+    from (
+        select n.*, b.least, b.seen, b.epoch, b.stage as last_stage, n.rank < b.rank or (n.rank <= b.least and list_contains(b.seen, n.banner)) as resets
+        from boots b join banners n on n.session_id = b.session_id and n.k = b.k + 1
+    )
+)"""
+)
+
 _RETENTION = (
     _LOG
     + """, summed as (
@@ -366,10 +387,27 @@ ORACLE_SQL = {
     "retention_kept": f"with {_RETENTION} select device, count(*) as kept from judged where kept group by 1",
     "drain_counts_conserve": f"with {_LINES}, {_TOKENS.format('lines')} select device, count(*) as lines from tokens_of where len(tokens) > 0 group by 1",
     "frame_tiles": f"with {_CONSOLE} select session_id, count(*) as in_records from console group by 1",
-    "stage_machine": f"""with {_CONSOLE}, banners as (select session_id, line_no, case when text like 'Linux%' then 'kernel' else 'uboot' end as stage, case when text like 'Linux%' then 30 else 20 end::int as rank from console where text like 'Linux%' or text like 'U-Boot%'),
-        before as (select *, lag(rank) over w as last, count(*) filter (where rank = 20) over w as loaders from banners window w as (partition by session_id order by line_no)),
-        resets as (select *, case when rank < last or (rank = last and (rank = 20 or loaders = 0)) then 1 else 0 end as reset from before)
-        select session_id, line_no, stage, rank, sum(reset) over (partition by session_id order by line_no)::bigint as epoch from resets""",
+    "stage_machine": f"with recursive {_BOOTS} select session_id, line_no, stage, rank, epoch, resets from boots where changes or resets",
+    "frame_records": f"""with recursive {_BOOTS}, told as (
+            select c.session_id, c.line_no, c.text, coalesce(b.stage, 'unknown') as stage, coalesce(b.epoch, 0) as epoch, row_number() over (partition by c.session_id order by c.line_no) as k,
+                case b.stage when 'kernel' then 'linux' when 'uboot' then 'uboot' else 'raw' end as profile
+            from console c asof left join boots b on b.session_id = c.session_id and b.line_no <= c.line_no
+        ), stops as (select session_id, k, line_no, text from told where text not like 'Call trace%'),
+        opened as (
+            select t.*, s.k as stop, s.text as stop_text, (select max(k) from told l where l.session_id = t.session_id) as n
+            from told t asof left join stops s on s.session_id = t.session_id and s.k > t.k where t.profile = 'linux' and t.text like 'Kernel panic%'
+        ), crashes as (
+            select session_id, k as first_k, case when stop is null then n when stop_text like '---[%' then stop else stop - 1 end as last_k, stage, epoch,
+                case when stop is null then 'stream_end' when stop_text like '---[%' then 'terminator' when stop_text like 'Kernel panic%' then 'nested_trigger' else 'unrelated_line' end as closed_by,
+                coalesce(stop, n + 1) > k + 1 as traced
+            from opened
+        )
+        select c.session_id, f.line_no as first_line, l.line_no as last_line, last_k - first_k + 1 as n_lines, 'crash' as kind, 'linux' as profile, c.stage, c.epoch, 0 as severity, closed_by,
+            closed_by = 'stream_end' as truncated, 0 as retro_attached, traced as interleaved
+        from crashes c join told f on f.session_id = c.session_id and f.k = first_k join told l on l.session_id = c.session_id and l.k = last_k
+        union all
+        select session_id, line_no, line_no, 1, 'line', profile, stage, epoch, null, 'single', false, 0, false
+        from told t where not exists (select 1 from crashes c where c.session_id = t.session_id and t.k between first_k and last_k)""",
     "garbage_runs": f"""with {_CONSOLE}, bad as (select session_id, line_no, line_no - row_number() over (partition by session_id order by line_no) as run from console where line_no % 10 < 3)
         select session_id, min(line_no) as from_line, max(line_no) as to_line from bad group by session_id, run""",
     "device_target_rollup": """select r_name, n_name, year(o_orderdate)::int as year, round(sum(l_extendedprice * (1 - l_discount)), 2) as revenue, count(*) as n

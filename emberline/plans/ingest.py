@@ -39,10 +39,12 @@ def rebuild(spark: SparkSession, out: str) -> dict[str, DataFrame]:
     lines = raw.select("device", "session_id", F.col("line_no").cast("long").alias("line_no"), texts.lossy_text(F.col("bytes")).alias("text"))
     keyed = lines.select("device", "session_id", "line_no", texts.mine_key(F.col("text")).alias("text"), texts.severity(F.col("text")).alias("severity"))
 
-    # A record goes by its first line: device, key and severity.
-    records = framing.frame(lines, PROFILES).join(keyed.withColumnRenamed("line_no", "first_line"), ["session_id", "first_line"])
-    stages = framing.stages(lines, PROFILES).join(lines.select("session_id", "device").distinct(), "session_id")
-    assigned, templates = mining.mine(records.select("device", "session_id", F.col("first_line").alias("line_no"), "text"), ["session_id", "line_no"])
+    # A record goes by its first line: device and key, and severity unless a trigger says it.
+    framed = framing.Framed(lines, PROFILES)
+    records = framed.records().withColumnRenamed("severity", "told").join(keyed.withColumnRenamed("line_no", "first_line"), ["session_id", "first_line"])
+    records = records.withColumn("severity", F.coalesce("told", "severity")).drop("told")
+    stages = framed.stages().join(lines.select("session_id", "device").distinct(), "session_id")
+    assigned, templates = mining.mine(records.where("kind != 'garbage'").select("device", "session_id", F.col("first_line").alias("line_no"), "text"), ["session_id", "line_no"])
     ids = assigned.select("session_id", F.col("line_no").alias("first_line"), "template_id")
     records = stored(records.drop("text").join(ids, ["session_id", "first_line"], "left"), "records")
     occurrences = records.where("template_id is not null").groupBy("device", "template_id", "session_id").agg(F.count(F.lit(1)).alias("count"), F.min("severity").alias("severity"))

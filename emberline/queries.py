@@ -567,16 +567,18 @@ def drain_fragmentation(spark, sf):
 
 
 def _console(spark: SparkSession, sf: str) -> DataFrame:
-    """The events of each device as a console log with crashes."""
+    """The events of each device as a console log with crashes, and loaders and kernels of several versions."""
     log = views.log(spark, sf)
+    event = F.col("event_id")
     line = (
-        F.when(F.col("template") == "signup", "Linux version 6.1.0")
+        F.when(F.col("template") == "signup", F.concat(F.lit("Linux version 6."), event % 5, F.lit(".0")))
         .when(F.col("template") == "error", "Kernel panic - not syncing: fatal")
         .when(F.col("template") == "click", "Call trace: f+0x1")
         .when(F.col("template") == "purchase", "---[ end trace 0 ]---")
-        .otherwise("U-Boot 2024.01")
+        .when(event % 3 == 0, F.concat(F.lit("U-Boot SPL 202"), event % 6, F.lit(".01")))
+        .otherwise(F.concat(F.lit("U-Boot 202"), event % 6, F.lit(".01")))
     )
-    return log.select(F.col("device").alias("session_id"), F.col("event_id").alias("line_no"), line.alias("text"))
+    return log.select(F.col("device").alias("session_id"), event.alias("line_no"), line.alias("text"))
 
 
 @query
