@@ -101,8 +101,8 @@ def _bits(text: Column, profile: Profile) -> Column:
     return (F.when(_any(key, some), known).otherwise(0) + restarts).cast("smallint")
 
 
-def judged(lines: DataFrame, dialects: Dialects, garbage: Column | None = None) -> DataFrame:
-    """session_id, line_no, garbage (0 or the kind of run), banner and claim (0 or a number from 1), m0, m1, ...: what each profile takes the line for."""
+def judged(lines: DataFrame, dialects: Dialects, garbage: Column | None = None, *more: str) -> DataFrame:
+    """session_id, line_no, further columns, garbage (0 or the kind of run), banner and claim (0 or a number from 1), m0, m1, ...: what each profile takes the line for."""
     text = F.col("text")
     bad = garbage if garbage is not None else F.when(1 - printable_ratio(strip_escapes(text)) >= 0.3, 1).otherwise(0)
     banner, k = F.lit(0), sum(len(p.banners) for p in dialects.profiles[: dialects.n_active] if p.name != "raw")
@@ -115,7 +115,7 @@ def judged(lines: DataFrame, dialects: Dialects, garbage: Column | None = None)
         claim = F.when(_any(text, p.all_of("overlay_match") or [b.pattern for b in p.banners]), number + 1).otherwise(claim)
     shown = lines.where("session_id is not null").withColumn("bad", bad).withColumn("text", strip_escapes(F.coalesce("text", F.lit(""))))
     return shown.select(
-        "session_id", F.col("line_no").cast("long").alias("line_no"), F.coalesce("bad", F.lit(0)).cast("smallint").alias("garbage"),
+        "session_id", F.col("line_no").cast("long").alias("line_no"), *more, F.coalesce("bad", F.lit(0)).cast("smallint").alias("garbage"),
         F.lit(0).cast("smallint").alias("banner") if dialects.pinned else banner.cast("smallint").alias("banner"), claim.cast("smallint").alias("claim"),
         *[_bits(text, p).alias(f"m{n}") for n, p in enumerate(dialects.profiles)],
     )
@@ -611,6 +611,20 @@ def _entries(rows: list[tuple], kinds: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, ["session_id", "segment", "entry", "last", "known"])
 
 
+def finish(sink: _Records, state: State, why: str, truncated: bool) -> None:
+    """Closes what is open after the last line, and lets go of held lines."""
+    for line in state.held:
+        k = int(np.searchsorted(sink.seg.line, line))
+        if k < sink.seg.n and sink.seg.line[k] == line:
+            sink.covered[k] = False
+    sink.release(state.held, state.active)
+    if state.mode == "open":
+        sink.closed(state, why, truncated)
+    elif state.mode == "garbage":
+        sink.closed(state, "run_ended")
+    state.mode, state.held = "closed", []
+
+
 def _each(dialects: Dialects, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Scalar, _Records, pa.DataType]]:
     """Each segment, folded from the state that it is entered in; at the session's end what is open is closed."""
     for batch in batches:
@@ -619,15 +633,7 @@ def _each(dialects: Dialects, batches: Iterator[pa.RecordBatch]) -> Iterator[tup
             seg = Segment.unpacked(dialects, batch.column("data")[row].as_py())
             sink = _folded(seg, state, boot, opened)
             if batch.column("last")[row].as_py():
-                for line in state.held:
-                    k = int(np.searchsorted(seg.line, line))
-                    if k < seg.n and seg.line[k] == line:
-                        sink.covered[k] = False
-                sink.release(state.held, state.active)
-                if state.mode == "open":
-                    sink.closed(state, "stream_end", True)
-                elif state.mode == "garbage":
-                    sink.closed(state, "run_ended")
+                finish(sink, state, "stream_end", True)
             yield batch.column("session_id")[row], sink, batch.schema.field("session_id").type
 
 
