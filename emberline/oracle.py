@@ -408,6 +408,9 @@ ORACLE_SQL = {
         union all
         select session_id, line_no, line_no, 1, 'line', profile, stage, epoch, null, 'single', false, 0, false
         from told t where not exists (select 1 from crashes c where c.session_id = t.session_id and t.k between first_k and last_k)""",
+    "indexed_regex": f"with {_LINES} select device, session_id, line_no from lines where regexp_matches(text, '(with|that) [a-z]+ (was|for) ')",
+    "indexed_phrase": f"with {_LINES} select device, session_id, line_no from lines where contains(lower(text), 'of the')",
+    "indexed_words": f"with {_LINES} select device, session_id, line_no from lines where regexp_matches(lower(text), '(^|[^\\p{{L}}\\p{{N}}])of[^\\p{{L}}\\p{{N}}]+the($|[^\\p{{L}}\\p{{N}}])')",
     "garbage_runs": f"""with {_CONSOLE}, bad as (select session_id, line_no, line_no - row_number() over (partition by session_id order by line_no) as run from console where line_no % 10 < 3)
         select session_id, min(line_no) as from_line, max(line_no) as to_line from bad group by session_id, run""",
     "device_target_rollup": """select r_name, n_name, year(o_orderdate)::int as year, round(sum(l_extendedprice * (1 - l_discount)), 2) as revenue, count(*) as n

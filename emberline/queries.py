@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from emberline import views
 from emberline.functions import decode, text
 from emberline.operators import compare, epochs, framing, mining, reports, search, templates, values
+from emberline.operators.index import Index
+from emberline.session import Scratch
 from emberline.sources.profiles import PROFILES
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -545,6 +547,29 @@ def retention_cut(spark, sf):
     return reports.retention(views.log(spark, sf), 300)
 
 
+def stored_index(spark: SparkSession, sf: str) -> Index:
+    """An index of all lines, grown by a batch of even sessions and one of odd ones."""
+    index, lines = Index(spark, Scratch(spark, "index").folder), views.lines(spark, sf)
+    for odd in (0, 1):
+        index.append(lines.where(F.col("session_id") % 2 == odd), str(odd))
+    return index
+
+
+@query
+def indexed_regex(spark, sf):
+    return stored_index(spark, sf).regex("(with|that) [a-z]+ (was|for) ").select("device", "session_id", F.col("line_no").cast("int").alias("line_no"))
+
+
+@query
+def indexed_phrase(spark, sf):
+    return stored_index(spark, sf).phrase("of the").select("device", "session_id", F.col("line_no").cast("int").alias("line_no"))
+
+
+@query
+def indexed_words(spark, sf):
+    return stored_index(spark, sf).words("of the").withColumn("line_no", F.col("line_no").cast("int"))
+
+
 # Mining and framing
 
 
