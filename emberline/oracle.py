@@ -320,7 +320,12 @@ ORACLE_SQL = {
         met as (select a.id as a, b.id as b, len(list_intersect(a.words, b.words)) as shared, len(a.words) + len(b.words) - len(list_intersect(a.words, b.words)) as total from filled a, filled b where a.id < b.id and list_has_any(a.words, b.words))
         select a as report_a, b as report_b, shared::bigint as shared, round(shared::double / total, 4) as jaccard from met where shared >= 2 and shared::double / total >= 0.45""",
     "distinct_reporters": "select event_type as template, count(distinct user_id) as reporters from events group by 1",
-    "bisect_next_step": "select * from (values (0, 'test', 0), (1, 'test', 9), (2, 'test', 4), (3, 'test', 2), (4, 'test', 3), (5, 'found', 6), (6, 'inconclusive', null)) v(case_id, step, candidate)",
+    "bisect_next_step": f"""with {_LOG}, judged as (select device as case_id, (event_id % 10)::int as i, case template when 'error' then 'bad' when 'purchase' then 'skip' else 'good' end as v from log where event_id % 4 = 0),
+        known as (select d.case_id, coalesce(max(i) filter (where v = 'good'), -1) as good, coalesce(min(i) filter (where v = 'bad'), 10) as bad, coalesce(bool_or(i = 0), false) as low, coalesce(bool_or(i = 9), false) as high
+            from (select distinct device as case_id from log) d left join judged using (case_id) group by 1),
+        open as (select case_id, min_by(k, (abs(k - trunc((good + bad) / 2.0)), k)) as k from known, range(0, 10) r(k) where k > good and k < bad and not exists (select 1 from judged t where t.case_id = known.case_id and i = k) group by 1)
+        select known.case_id, case when not low or not high then 'test' when bad = 10 then 'inconclusive' when good >= bad then 'found' when k is not null then 'test' when bad - good > 1 then 'inconclusive' else 'found' end as step,
+            (case when not low then 0 when not high then 9 when bad = 10 then null when good >= bad then bad when k is not null then k when bad - good > 1 then null else bad end)::int as candidate from known left join open using (case_id)""",
     "bisect_orders": """with tested as (select distinct o_custkey as case_id, (o_orderkey % 12)::int as i from orders),
         judged as (select *, case when (case_id + i) % 5 = 0 then 'skip' when i < case_id % 14 then 'good' else 'bad' end as v from tested),
         known as (select c_custkey as case_id, coalesce(max(i) filter (where v = 'good'), -1) as good, coalesce(min(i) filter (where v = 'bad'), 12) as bad, coalesce(bool_or(i = 0), false) as low, coalesce(bool_or(i = 11), false) as high

@@ -462,10 +462,11 @@ def distinct_reporters(spark, sf):
 
 @query
 def bisect_next_step(spark, sf):
-    cases = [[], [(0, "good")], [(0, "good"), (9, "bad")], [(0, "good"), (9, "bad"), (4, "bad")], [(0, "good"), (9, "bad"), (4, "skip")], [(k, "good" if k < 6 else "bad") for k in range(10)], [(0, "good"), (9, "good")]]
-    results = [(k, index, verdict) for k, case in enumerate(cases) for index, verdict in case]
-    asked = spark.createDataFrame([(k, 10) for k in range(len(cases))], "case_id int, n int")
-    return reports.bisect_steps(asked, spark.createDataFrame(results, "case_id int, index int, verdict string"))
+    """A case a device: its records test one of 10 candidates each; errors are bad, purchases can't be judged."""
+    log = views.log(spark, sf)
+    verdict = F.when(F.col("template") == "error", "bad").when(F.col("template") == "purchase", "skip").otherwise("good")
+    results = log.where("event_id % 4 = 0").select(F.col("device").alias("case_id"), (F.col("event_id") % 10).cast("int").alias("index"), verdict.alias("verdict"))
+    return reports.bisect_steps(log.select(F.col("device").alias("case_id"), F.lit(10).alias("n")).distinct(), results.distinct())
 
 
 @query
