@@ -391,6 +391,7 @@ ORACLE_SQL = {
     "retention_cut": f"with {_RETENTION} select device, min_by(event_id, (at, event_id)) filter (where kept) as cut_event, coalesce(sum(bytes) filter (where not kept), 0)::bigint as dropped_bytes, coalesce(sum(bytes) filter (where kept), 0)::bigint as kept_bytes from judged group by 1",
     "retention_kept": f"with {_RETENTION} select device, count(*) as kept from judged where kept group by 1",
     "drain_counts_conserve": f"with {_LINES}, {_TOKENS.format('lines')} select device, count(*) as lines from tokens_of where len(tokens) > 0 group by 1",
+    "mined_batches": f"with {_LINES}, {_TOKENS.format('lines')} select device, count(*) as lines from tokens_of where len(tokens) > 0 group by 1",
     "frame_tiles": f"with {_CONSOLE} select session_id, count(*) as in_records from console group by 1",
     "stage_machine": f"with recursive {_BOOTS} select session_id, line_no, stage, rank, epoch, resets from boots where changes or resets",
     "frame_records": f"""with recursive {_BOOTS}, told as (

@@ -11,6 +11,7 @@ from emberline import views
 from emberline.functions import decode, text
 from emberline.operators import compare, epochs, framing, mining, reports, search, templates, values
 from emberline.operators.index import Index
+from emberline.operators.mining_store import MinedStore
 from emberline.session import Scratch
 from emberline.sources.profiles import PROFILES
 
@@ -586,6 +587,16 @@ def drain_counts_conserve(spark, sf):
     return found.groupBy("device").agg(F.sum("count").alias("lines"))
 
 
+@query
+def mined_batches(spark, sf):
+    """Lines of each device in the templates that three batches have left one after the other."""
+    store = MinedStore(spark, Scratch(spark, "mined").folder)
+    for batch in range(3):
+        own = views.lines(spark, sf).where(F.col("session_id") % 3 == batch).select("device", "session_id", "line_no", "text")
+        store.append(own, ["session_id", "line_no"], batch)
+    return store.templates().groupBy("device").agg(F.sum("count").alias("lines"))
+
+
 @query
 def drain_fragmentation(spark, sf):
     _, found = mining.mine(views.lines(spark, sf).select("device", "session_id", "line_no", "text"), ["session_id", "line_no"])
