@@ -34,11 +34,18 @@ def search_lines(lines: DataFrame, condition: Column, *, after: tuple[int, int]
 
 
 def highlights(text: Column, pattern: str) -> Column:
-    """Start and end (characters) of each match, in order."""
-    pieces = F.split(text, pattern, -1)
-    found = F.regexp_extract_all(text, F.lit(f"({pattern})"), 1)
-    before = lambda i: F.aggregate(F.slice(pieces, 1, i + 1), F.lit(0), lambda a, x: a + F.length(x)) + F.aggregate(F.slice(found, 1, i), F.lit(0), lambda a, x: a + F.length(x))
-    return F.transform(found, lambda m, i: F.struct(before(i).alias("start"), (before(i) + F.length(m)).alias("end")))
+    """Start and end (bytes of UTF-8) of each match, in order."""
+    gaps = F.transform(F.split(text, pattern, -1), lambda x: F.octet_length(x))
+    found = F.transform(F.regexp_extract_all(text, F.lit(f"({pattern})"), 1), lambda x: F.octet_length(x))
+    steps = F.filter(F.zip_with(gaps, found, lambda gap, own: F.struct(gap.alias("gap"), own.alias("own"))), lambda s: s["own"].isNotNull())
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
+
+    def step(state: Column, s: Column) -> Column:
+        begin = state["at"] + s["gap"]
+        span = F.struct(begin.alias("start"), (begin + s["own"]).alias("end"))
+        return F.struct((begin + s["own"]).alias("at"), F.concat(state["spans"], F.array(span)).alias("spans"))
+
+    return F.aggregate(steps, start, step, lambda s: s["spans"])
 
 
 def search_records(records: DataFrame, condition: Column) -> DataFrame:

@@ -259,7 +259,7 @@ ORACLE_SQL = {
         select device, session_id, line_no from lagged where hit and not coalesce(last, false)""",
     "search_cross_device": f"""with {_LINES} select turn::int as turn, device, session_id, line_no from (select device, session_id, line_no, row_number() over (partition by device order by session_id, line_no) as turn from lines where contains(lower(text), 'and')) order by turn, device limit 40""",
     "search_highlights": f"""with {_LINES}, parts as (select session_id, line_no, string_split(text, 'the') as p from lines), spans as (select session_id, line_no, p, unnest(range(len(p) - 1)) as k from parts)
-        select session_id, line_no, k::int as k, (list_sum(list_transform(p[1:k + 1], lambda x: length(x))) + 3 * k)::int as start, (list_sum(list_transform(p[1:k + 1], lambda x: length(x))) + 3 * k + 3)::int as "end" from spans""",
+        select session_id, line_no, k::int as k, (list_sum(list_transform(p[1:k + 1], lambda x: strlen(x))) + 3 * k)::int as start, (list_sum(list_transform(p[1:k + 1], lambda x: strlen(x))) + 3 * k + 3)::int as "end" from spans""",
     "boots_sessionized": f"with {_EPOCHS} select * exclude (fingerprint) from epochs",
     "boot_bytes": f"with {_EPOCHS} select device, sum(bytes)::bigint as bytes, count(*) as epochs from epochs group by 1",
     "boot_fingerprint": f"with {_EPOCHS} select device, seq, fingerprint from epochs",
