@@ -81,7 +81,7 @@ def batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
 
 
 def release_heap(spark: SparkSession) -> None:
-    """Has executors collect their garbage, so that heap which earlier joins and sorts have grown goes back to the machine.
+    """Has executors and the driver collect their garbage, so that heap which earlier joins and sorts have grown goes back to the machine.
 
     Python workers stand beside the heap under one limit of memory; a job calls this before a step that is mostly theirs. It costs a second, and does
     nothing to results; an executor that no task reaches keeps its heap.
@@ -89,6 +89,7 @@ def release_heap(spark: SparkSession) -> None:
     tasks = 2 * spark.sparkContext.defaultParallelism
     collected = spark.range(0, tasks, 1, tasks).selectExpr("java_method('java.lang.System', 'gc') as done")
     collected.write.format("noop").mode("overwrite").save()
+    spark._jvm.System.gc()
 
 
 def share_package(spark: SparkSession) -> None:
