@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberline.llm import tokens
-from emberline.llm.textkit import slices, tidy
+from emberline.llm.textkit import release, slices, tidy
 from emberline.session import Scratch, release_heap
 
 CAPACITY = 4096
@@ -232,6 +232,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, end_id: int, capacity: int
     """Every piece with its sequence_id and offset."""
     scratch = Scratch(docs.sparkSession, "pieces")
     release_heap(docs.sparkSession)  # tokenizers and their caches are outside of it
+    release()
     pieces = token_pieces(docs, vocabulary, end_id, capacity, with_ids).withColumn("id", F.monotonically_increasing_id())
     pieces = scratch.write(pieces, "pieces")
     places = best_fit(pieces.select("id", F.col("length").alias("size")), capacity)

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberline.llm.textkit import slices, tidy
+from emberline.llm.textkit import release, slices, tidy
 from emberline.session import Scratch
 
 if TYPE_CHECKING:  # workers don't need it
@@ -199,7 +199,10 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_SAMPLE) -> Chain:
         return Chain()
     # The same order whatever the partitions.
     order = sorted(range(len(rows)), key=lambda k: (tuple(rows["terms"][k]), tuple(rows["form"][k]), *rows.loc[k, ["fold", "toxic", "low_quality"]]))
-    return train(rows.iloc[order].reset_index(drop=True), ordered)
+    chain = train(rows.iloc[order].reset_index(drop=True), ordered)
+    del rows
+    release()  # the driver goes on to other work
+    return chain
 
 
 def score_documents(docs: DataFrame, chain: Chain) -> DataFrame:
