@@ -3,9 +3,9 @@
 1. Texts are cut into blocks of ``BLOCK`` words; two neighbouring blocks are a passage. In how many blocks a
    word (hashed to ``FEATURES`` features) stands is counted over all documents and gives the weights (TF-IDF).
    Every feature weighs something, also one that stands in every block.
-2. A distributed randomised singular value decomposition of passages gives a latent space of ``RANK`` dimensions. The passages
-   are a bounded sample of the corpus (``SAMPLE`` of them are expected, chosen by a hash of their words from all
-   documents, each text once) and those of the benchmark, which together count as much as the sample. The benchmark is taken in sets
+2. A distributed randomised singular value decomposition of all passages of all documents, in two readings of them (the first one counts
+   for step 1 too), gives the corpus's leading directions; copies count as often as they stand. A set of the benchmark's passages, which together count as much as the corpus,
+   is added to them, and the leading ``RANK`` directions of both are its latent space. The benchmark is taken in sets
    of at most ``SET`` passages, a space each, so that a large one is not squeezed into one space.
 3. Every passage of every document is projected, and its cosine with the items' passages in the latent space makes candidates.
 4. Runs of ``SHORTEST`` words that a document shares with an item are looked up by hash too, so what is there word
@@ -28,23 +28,25 @@ ids may have any type; texts of any length are read whole; other columns are ign
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.llm.textkit import Words, mix64, ragged, release, slices, text_bytes, tidy
-from emberline.session import Scratch, small
+from emberline.llm.textkit import Words, ragged, release, slices, text_bytes, tidy
+from emberline.session import BATCH_ROWS, Scratch, batch_rows, small
 
 BLOCK = 24
 FEATURES = 1 << 15
-#: Dimensions of a latent space, benchmark passages that share one, corpus passages it is fitted on (expected), and spaces that are searched in one pass.
-RANK, SET, SAMPLE, SPACES = 128, 256, 16_384, 4
-#: Extra dimensions and rounds of the randomised decomposition, and its tasks, each of which gives the driver a matrix (18 MB at most).
-MORE, ROUNDS, TASKS = 8, 2, 3
+#: Dimensions of a latent space, benchmark passages that share one, and spaces that are searched in one pass.
+RANK, SET, SPACES = 128, 256, 4
+#: Extra dimensions of the randomised decomposition, and features whose sums travel as one row.
+MORE, ROWS = 8, 1024
 #: Items that the driver takes at a time (expected), and bytes of their texts.
 ITEMS, ITEM_BYTES = 4096, 16 << 20
 #: Least cosine of a candidate; parts of an item's words that have to be there in order: without its answer, with most of it, with the whole of it.
@@ -53,8 +55,8 @@ COSINE, MOST, MUCH, SOME = 0.55, 0.5, 0.4, 0.25
 #: Parts of an answer that are most of it and the whole of it, words that a whole one has at least, and the cosine that either asks for.
 ANSWER, WHOLE, ANSWER_WORDS, CLOSE = 0.7, 0.9, 5, 0.65
 SHORTEST = 8
-#: Blocks that are projected at a time.
-CHUNK = 1024
+#: Blocks that are projected at a time, and words of a feature that are added row by row; a feature's further ones are summed at once.
+CHUNK, LAYERS = 512, 32
 
 _SEPARATOR = np.zeros(256, dtype=bool)
 _SEPARATOR[:128] = [not chr(c).isalnum() for c in range(128)]
@@ -92,51 +94,55 @@ def _follows(first: np.ndarray, blocks: int) -> np.ndarray:
 
 @dataclass
 class Corpus:
-    """Weights of the features, and the sample: its passages' features (int32)."""
+    """Weights of the features, and the leading directions of all passages' vectors, each as long as its singular value."""
 
+    docs: DataFrame
     weights: np.ndarray
-    sample: DataFrame
-
-
-def read_corpus(docs: DataFrame, scratch: Scratch, size: int = SAMPLE) -> Corpus:
-    """Counts the blocks that hold each feature, and draws passages by a hash of their first block's words."""
-    bytes_ = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    chance = min(1.0, size * BLOCK * 7 / max(1, bytes_))  # a word takes about seven bytes
-    bound = np.uint64(min(2**64 - 1, int(chance * 2**64)))
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(feature, blocks, null), (-1, all blocks, null) and (-2, hash, features) of a drawn passage."""
-        total, blocks = np.zeros(FEATURES, dtype=np.int64), 0
-        for batch in batches:
-            for part in slices(batch):
-                words = _words(part.column("text"))
-                start, first = _blocks(words)
-                if not len(start):
-                    continue
-                feature, ends = _features(words.hashes), np.r_[start[1:], len(words.hashes)]
-                pairs = np.unique(np.repeat(np.arange(len(start)), ends - start) * FEATURES + feature)
-                total += np.bincount(pairs % FEATURES, minlength=FEATURES)
-                blocks += len(start)
-                with np.errstate(over="ignore"):
-                    content = mix64(np.add.reduceat(mix64(words.hashes, 5), start), 6)
-                drawn = np.flatnonzero(content <= bound)
-                stop = np.where(_follows(first, len(start)), np.r_[ends[1:], 0], ends)
-                if len(drawn):
-                    passages = [feature[start[b] : stop[b]].tobytes() for b in drawn]
-                    columns = [pa.array(np.full(len(drawn), -2, dtype=np.int32)), pa.array(content[drawn].view(np.int64)), pa.array(passages, pa.binary())]
-                    yield pa.RecordBatch.from_arrays(columns, ["feature", "n", "passage"])
-        at = np.flatnonzero(total)
-        features = np.concatenate([at, [-1]]).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(features), pa.array(np.r_[total[at], blocks]), pa.nulls(len(features), pa.binary())], ["feature", "n", "passage"])
-
-    found = scratch.write(docs.select("text").mapInArrow(tidy(read), "feature int, n long, passage binary"), "corpus")
-    counted = found.where("feature >= -1").groupBy("feature").agg(F.sum("n").alias("n")).toArrow()
-    n = np.zeros(FEATURES + 1, dtype=np.int64)
-    n[counted["feature"].to_numpy().astype(np.int64)] = counted["n"].to_numpy().astype(np.int64)
+    #: Features x directions: of passages as rows of a matrix A, ``leading @ leading.T`` is close to A.T @ A.
+    leading: np.ndarray
+    #: Passages of all documents.
+    size: int
+
+    @property
+    def sample(self) -> DataFrame:
+        """The passages themselves (features, int32), each text once; all of them, and not drawn from."""
+
+        def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for feature, start, follows in _read(batches):
+                ends = np.r_[start[1:], len(feature)]
+                stop = np.where(follows, np.r_[ends[1:], 0], ends)
+                passages = [feature[lo:hi].tobytes() for lo, hi in zip(start, stop, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(passages, pa.binary())], ["passage"])
+
+        return self.docs.select("text").mapInArrow(tidy(read), "passage binary").distinct()
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of slices of texts: features of the words, first words of blocks, and whether the next block is of the same document."""
+    for batch in batches:
+        for part in slices(batch):
+            words = _words(part.column("text"))
+            start, first = _blocks(words)
+            if len(start):
+                yield _features(words.hashes), start, _follows(first, len(start))
+
+
+def _runs_of(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different ones of sorted keys, and how often each comes."""
+    if not len(keys):
+        return keys, keys
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    return keys[first], np.diff(np.r_[first, len(keys)])
+
+
+def read_corpus(docs: DataFrame, scratch: Scratch) -> Corpus:
+    """Counts the blocks that hold each feature, and decomposes the passages."""
+    directions = np.random.default_rng(11).standard_normal((FEATURES, RANK + MORE), dtype=np.float32)
+    directions, n, blocks = _passage_sums(docs, None, directions)
     # Log 2 at least: copies may put an item's words into any share of the blocks.
-    weights = np.log1p((n[FEATURES] + 1) / (n[:FEATURES] + 1)).astype(np.float32)
-    sample = found.where("feature = -2").groupBy("n").agg(F.min("passage").alias("passage")).select("passage")
-    return Corpus(weights, scratch.write(sample.repartition(TASKS), "sample"))
+    weights = np.log1p((blocks + 1) / (n + 1)).astype(np.float32)
+    directions *= weights[:, None]
+    return Corpus(docs, weights, leading_directions(docs, weights, directions), blocks)
 
 
 @dataclass
@@ -146,6 +152,9 @@ class Item:
     answer: np.ndarray
     #: Hashes of its runs of ``SHORTEST`` words, or of the whole if it is shorter.
     runs: np.ndarray
+    #: Places of the words, and of the answer's.
+    at: dict[int, int]
+    answer_at: dict[int, int]
 
 
 @dataclass
@@ -168,12 +177,21 @@ class Group:
     #: Of each size of runs: their hashes, sorted, and their items.
     runs: dict[int, tuple[np.ndarray, np.ndarray]]
 
+    def __post_init__(self) -> None:
+        own = [item.words for item in self.items]
+        #: Words of each item, all different ones, and of items and their words (item number x words + word) how often it has them.
+        self.sizes = np.array([len(w) for w in own])
+        self.known, word = np.unique(np.concatenate(own), return_inverse=True)
+        self.pairs, self.times = np.unique(np.repeat(np.arange(len(own)), self.sizes) * len(self.known) + word, return_counts=True)
+
 
 def _item(key: int, text: str) -> Item | None:
     sentences = [s for s in _SENTENCE.split(text) if s.strip()]
     words = _words(pa.array([text]))
     answer = _hashes(sentences[-1]) if len(sentences) > 1 else np.empty(0, dtype=np.uint64)
-    return Item(key, words.hashes, answer, words.windows(min(len(words.hashes), SHORTEST), _RUN)) if len(words.hashes) else None
+    if not len(words.hashes):
+        return None
+    return Item(key, words.hashes, answer, words.windows(min(len(words.hashes), SHORTEST), _RUN), places(words.hashes), places(answer))
 
 
 def _passages(words: np.ndarray) -> list[np.ndarray]:
@@ -185,76 +203,135 @@ def _passages(words: np.ndarray) -> list[np.ndarray]:
     return [words[lo : lo + 2 * BLOCK] for lo in range(0, len(words) - BLOCK, BLOCK)]
 
 
-def _vectors(passages: list[bytes], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """TF-IDF vectors of unit length: features and values one after the other, and where each passage starts."""
-    features = [np.unique(np.frombuffer(p, dtype=np.int32), return_counts=True) for p in passages]
-    values = [n * weights[at] for at, n in features]
-    starts = np.cumsum([0, *(len(at) for at, _ in features)])[:-1]
-    return np.concatenate([at for at, _ in features]), np.concatenate([v / np.linalg.norm(v) for v in values]), starts
+def _squared_norms(feature: np.ndarray, block: np.ndarray, follows: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Of the TF-IDF vectors of the passages that start at each block, from the words' features and blocks."""
+    keys = block * FEATURES + feature
+    second = np.r_[False, follows[:-1]][block]  # words of the second block of a passage too
+    keys = np.concatenate([keys, keys[second] - FEATURES])
+    keys.sort()
+    keys, n = _runs_of(keys)
+    return np.bincount(keys // FEATURES, (n * weights[keys % FEATURES].astype(np.float64)) ** 2, minlength=len(follows))
+
+
+def _add_rows(total: np.ndarray, feature: np.ndarray, row: np.ndarray, rows: np.ndarray) -> None:
+    """total[feature[k]] += rows[row[k]] for every k."""
+    order = np.argsort(feature.astype(np.uint16), kind="stable")
+    known, n = _runs_of(feature[order])
+    first = np.cumsum(n) - n
+    often = np.argsort(-n, kind="stable")
+    known, n, first, own = known[often], n[often], first[often], row[order]
+    added = rows[own[first]]
+    spare = np.empty_like(added)
+    for k in range(1, min(LAYERS, int(n[0]))):
+        m = int(np.searchsorted(-n, -k, "left"))
+        added[:m] += np.take(rows, own[first[:m] + k], axis=0, out=spare[:m], mode="clip")
+    for j in range(int(np.searchsorted(-n, -LAYERS, "left"))):
+        added[j] += rows[own[first[j] + LAYERS : first[j] + n[j]]].sum(axis=0)
+    total[known] += added
+
+
+def _passage_sums(docs: DataFrame, weights: np.ndarray | None, directions: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """The sum over all passages of their features' counts times the product of their vector and the directions, by its squared length.
+
+    Before weights are known, all of them are one, a passage's words stand for its squared length, and the blocks that hold each feature are counted too, and all blocks.
+    Tasks sum their passages' parts, Spark adds those of the tasks, and the driver gets the sums (features x directions, whatever the corpus).
+    """
+    width = directions.shape[1]
+    weighted = directions if weights is None else weights[:, None] * directions
+    schema = "first int, sums binary, counts binary, blocks long"
 
+    def rows(total: np.ndarray, counts: np.ndarray, blocks: int, at: Iterator[int]) -> Iterator[pa.RecordBatch]:
+        for k, lo in enumerate(at):
+            own = slice(k * ROWS, (k + 1) * ROWS)
+            columns = [pa.array([lo], pa.int32()), *(pa.array([x[own].tobytes()], pa.binary()) for x in (total, counts)), pa.array([blocks], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["first", "sums", "counts", "blocks"])
 
-def latent_basis(passages: DataFrame, weights: np.ndarray, rank: int) -> np.ndarray:
-    """Randomised SVD of the TF-IDF matrix of passages (features as int32 bytes, and a weight): its leading right singular vectors.
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, counts, blocks = np.zeros((FEATURES, width), dtype=np.float32), np.zeros(FEATURES, dtype=np.int64), 0
+        for feature, start, follows in _read(batches):
+            length = np.diff(np.r_[start, len(feature)])
+            block = np.repeat(np.arange(len(start)), length)
+            if weights is None:
+                keys = block * FEATURES + feature
+                keys.sort()
+                counts += np.bincount(_runs_of(keys)[0] % FEATURES, minlength=FEATURES)
+                blocks += len(start)
+                squared = (length + np.where(follows, np.r_[length[1:], 0], 0)).astype(np.float32)
+            else:
+                squared = _squared_norms(feature, block, follows, weights).astype(np.float32)
+            y = project(weighted, feature, start)
+            y[:-1][follows[:-1]] += y[1:][follows[:-1]]
+            y /= np.maximum(1e-30, squared)[:, None]
+            both = y.copy()  # a block's words are in its own passage and in that of the block before it
+            both[1:][follows[:-1]] += y[:-1][follows[:-1]]
+            _add_rows(total, feature, block, both)
+        yield from rows(total, counts, blocks, range(0, FEATURES, ROWS))
+
+    def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, counts, blocks = np.zeros(ROWS * width), np.zeros(ROWS, dtype=np.int64), 0
+        for batch in batches:
+            for sums, n, b in zip(batch.column("sums"), batch.column("counts"), batch.column("blocks").to_pylist(), strict=True):
+                total += np.frombuffer(sums.as_buffer(), dtype=np.float32)
+                counts += np.frombuffer(n.as_buffer(), dtype=np.int64)
+                blocks += b
+        yield from rows(total.astype(np.float32).reshape(ROWS, width), counts, blocks, [key[0].as_py()])
 
-    Each round multiplies the features' directions by the matrix and its transpose. Tasks sum their passages' parts, and the
-    driver adds those of the tasks (features x dimensions each, whatever the corpus) and makes the sum orthonormal.
-    """
-    width = rank + MORE
-    directions = np.linalg.qr(np.random.default_rng(11).standard_normal((FEATURES, width)))[0].astype(np.float32)
+    spark = docs.sparkSession
+    with batch_rows(spark, BATCH_ROWS):
+        parts = docs.select("text").coalesce(spark.sparkContext.defaultParallelism).mapInArrow(tidy(multiply), schema)
+        added = parts.groupBy("first").applyInArrow(add, schema).toArrow()
+    out, counts, blocks = np.zeros((FEATURES, width), dtype=np.float32), np.zeros(FEATURES, dtype=np.int64), 0
+    for batch in added.to_batches():
+        for first, sums, n, blocks in zip(batch.column("first").to_pylist(), batch.column("sums"), batch.column("counts"), batch.column("blocks").to_pylist(), strict=True):
+            out[first : first + ROWS] = np.frombuffer(sums.as_buffer(), dtype=np.float32).reshape(ROWS, width)
+            counts[first : first + ROWS] = np.frombuffer(n.as_buffer(), dtype=np.int64)
+    return out, counts, blocks
 
-    def projected(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        at, value, starts = _vectors(batch.column("passage").to_pylist(), weights)
-        sizes = np.diff(np.r_[starts, len(at)])
-        value = value * np.repeat(batch.column("weight").to_numpy(), sizes)
-        y = np.add.reduceat(directions[at] * value[:, None].astype(np.float32), starts)
-        return at, value, np.repeat(np.arange(len(starts)), sizes), y
 
-    def rows(total: np.ndarray) -> pa.RecordBatch:
-        known = np.flatnonzero(total.any(axis=1))
-        columns = [pa.array(known.astype(np.int32)), *(pa.array(total[known, k].astype(np.float32)) for k in range(width))]
-        return pa.RecordBatch.from_arrays(columns, ["row", *names])
+def times_passages(docs: DataFrame, weights: np.ndarray, directions: np.ndarray) -> np.ndarray:
+    """A.T @ A @ directions, where A's rows are the TF-IDF vectors of unit length of all passages."""
+    return weights[:, None] * _passage_sums(docs, weights, directions)[0]
 
-    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((FEATURES, width), dtype=np.float32)
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                at, value, passage, y = projected(batch.slice(lo, 256))
-                order = np.argsort(at, kind="stable")
-                first = np.flatnonzero(np.r_[True, np.diff(at[order]) > 0])
-                total[at[order][first]] += np.add.reduceat(y[passage[order]] * value[order, None].astype(np.float32), first)
-        yield rows(total)
-
-    def gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((width, width))
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                y = projected(batch.slice(lo, 256))[-1]
-                total += y.T @ y
-        yield rows(total)
-
-    names = [f"c{k}" for k in range(width)]
-    schema = ", ".join(["row int", *(f"{c} float" for c in names)])
-
-    def summed(task: Callable, size: int) -> np.ndarray:
-        cells = passages.coalesce(TASKS).mapInArrow(tidy(task), schema).toArrow()
-        out = np.zeros((size, width))
-        for batch in cells.to_batches():  # within a batch each row comes once
-            out[batch.column("row").to_numpy()] += np.column_stack([batch.column(c).to_numpy() for c in names])
-        return out
-
-    for _ in range(ROUNDS):
-        directions = np.linalg.qr(summed(multiply, FEATURES))[0].astype(np.float32)
-    values, turned = np.linalg.eigh(summed(gram, width))
-    keep = np.argsort(values)[::-1][: min(rank, int((values > 1e-6 * max(values.max(), 1e-30)).sum()))]
-    return (directions @ turned[:, keep]).astype(np.float32)
-
-
-def build_space(spark: SparkSession, cut: list[tuple[int, np.ndarray]], corpus: Corpus, sampled: int, rank: int = RANK) -> Space:
-    """The space of some passages (numbers of their items, and features) and the sample."""
-    weight = max(1.0, float(np.sqrt(sampled / len(cut))))
-    own = spark.createDataFrame([(bytearray(p.tobytes()), weight) for _, p in cut], "passage binary, weight double").coalesce(1)
-    basis = latent_basis(corpus.sample.select("passage", F.lit(1.0).alias("weight")).unionByName(own), corpus.weights, rank)
-    basis = corpus.weights[:, None] * basis
+
+def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a.T @ b in double precision, some rows at a time."""
+    return sum(a[lo : lo + ROWS].T.astype(np.float64) @ b[lo : lo + ROWS].astype(np.float64) for lo in range(0, len(a), ROWS))
+
+
+def _roots(symmetric: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Eigenvalues over that part of the largest, largest first, and their vectors."""
+    values, turned = np.linalg.eigh((symmetric + symmetric.T) / 2)
+    keep = np.argsort(values)[::-1][: int((values > max(1e-30, least * values.max(initial=0.0))).sum())]
+    return values[keep], turned[:, keep]
+
+
+def leading_directions(docs: DataFrame, weights: np.ndarray, directions: np.ndarray) -> np.ndarray:
+    """Randomised decomposition of all passages, from directions that a product with their counts has turned to their leading ones.
+
+    The product with the weighted passages also says how directions are stretched (Nystroem's method), so no further reading is needed.
+    """
+    for _ in range(2):  # the second time for what single precision leaves
+        values, turned = _roots(_products(directions, directions), 1e-10)
+        directions = directions @ (turned / np.sqrt(values)).astype(np.float32)
+    if not directions.shape[1]:
+        return directions
+    stretched = times_passages(docs, weights, directions)
+    values, turned = _roots(_products(directions, stretched), 1e-5)
+    return stretched @ (turned / np.sqrt(values)).astype(np.float32)
+
+
+def build_space(spark: SparkSession, cut: list[tuple[int, np.ndarray]], corpus: Corpus, passages: int, rank: int = RANK) -> Space:
+    """The space of some passages (numbers of their items, and features) and the corpus, of that many passages."""
+    used = np.unique(np.concatenate([p for _, p in cut]))
+    own = np.array([np.bincount(np.searchsorted(used, p), minlength=len(used)) for _, p in cut]) * corpus.weights[used]
+    own *= max(1.0, float(np.sqrt(passages / len(cut)))) / np.linalg.norm(own, axis=1, keepdims=True)
+    # The singular values and left vectors of both, one under the other, by the products of their rows.
+    corner = corpus.leading[used].T.astype(np.float64) @ own.T
+    values, turned = _roots(np.block([[_products(corpus.leading, corpus.leading), corner], [corner.T, own @ own.T]]), 1e-9)
+    turned = turned[:, :rank] / np.sqrt(values[:rank])
+    basis = corpus.leading @ turned[: corpus.leading.shape[1]].astype(np.float32)
+    basis[used] += (own.T @ turned[corpus.leading.shape[1] :]).astype(np.float32)
+    basis *= corpus.weights[:, None]
     latent = np.array([basis[p].sum(axis=0) for _, p in cut])
     return Space(basis, latent / np.maximum(1e-12, np.linalg.norm(latent, axis=1, keepdims=True)), np.array([k for k, _ in cut]))
 
@@ -271,11 +348,9 @@ def _runs(items: list[Item]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
 
 def _groups(spark: SparkSession, items: Iterator[Item], corpus: Corpus) -> Iterator[Group]:
     """Items in groups of at most ``SPACES`` spaces of ``SET`` passages; one of more is a group of its own."""
-    sampled = corpus.sample.count()
-
     def built(held: list[Item]) -> Group:
         cut = [(k, _features(p)) for k, item in enumerate(held) for p in _passages(item.words)]
-        return Group(held, [build_space(spark, cut[lo : lo + SET], corpus, sampled) for lo in range(0, len(cut), SET)], _runs(held))
+        return Group(held, [build_space(spark, cut[lo : lo + SET], corpus, corpus.size) for lo in range(0, len(cut), SET)], _runs(held))
 
     held: list[Item] = []
     n = 0
@@ -290,34 +365,49 @@ def _groups(spark: SparkSession, items: Iterator[Item], corpus: Corpus) -> Itera
         yield built(held)
 
 
-def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
-    """Length of the longest common subsequence, a bit for each of a's words."""
-    if not len(a) or not len(b):
-        return 0
+def places(a: np.ndarray) -> dict[int, int]:
+    """Of each word, where it stands, a bit for each of a's words."""
     at: dict[int, int] = {}
     for k, x in enumerate(a.tolist()):
         at[x] = at.get(x, 0) | 1 << k
-    full = (1 << len(a)) - 1
-    row = full
-    for y in b.tolist():
-        u = row & at.get(y, 0)
-        row = ((row + u) | (row - u)) & full
-    return len(a) - row.bit_count()
+    return at
 
 
-def project(space: Space, feature: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Latent coordinates of blocks."""
-    latent = np.empty((len(start), space.basis.shape[1]), dtype=np.float32)
-    for lo in range(0, len(start), CHUNK):  # a bounded number of rows of the basis at a time
-        own = start[lo : lo + CHUNK]
-        end = start[lo + CHUNK] if lo + CHUNK < len(start) else len(feature)
-        latent[lo : lo + CHUNK] = np.add.reduceat(space.basis[feature[own[0] : end]], own - own[0], axis=0)
-    return latent
+def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
+    """Length of the longest common subsequence."""
+    at = places(a)
+    return _longest(len(a), [m for m in map(at.get, b.tolist()) if m])
+
+
+def _longest(n: int, met: list[int]) -> int:
+    """The same from the places, among n words, of the other text's words that have any."""
+    row = full = (1 << n) - 1
+    for m in met:
+        u = row & m
+        row = ((row + u) | (row - u)) & full
+    return n - row.bit_count()
+
+
+def project(basis: np.ndarray, feature: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Sums of the words' rows of a basis over blocks."""
+    out = np.empty((len(start), basis.shape[1]), dtype=np.float32)
+    length = np.diff(np.r_[start, len(feature)])
+    whole, short = np.flatnonzero(length == BLOCK), np.flatnonzero(length < BLOCK)
+    spare = np.empty((CHUNK, basis.shape[1]), dtype=np.float32)
+    for lo in range(0, len(whole), CHUNK):  # a word of each block at a time
+        own = whole[lo : lo + CHUNK]
+        total = basis[feature[start[own]]]
+        for k in range(1, BLOCK):
+            total += np.take(basis, feature[start[own] + k], axis=0, out=spare[: len(own)], mode="clip")
+        out[own] = total
+    for b in short.tolist():
+        out[b] = basis[feature[start[b] : start[b] + length[b]]].sum(axis=0)
+    return out
 
 
 def _near(space: Space, feature: np.ndarray, start: np.ndarray, follows: np.ndarray) -> Iterator[tuple[int, int, float]]:
     """(block, passage, cosine) of the passages that start at a block and are near one of the space."""
-    latent = project(space, feature, start)
+    latent = project(space.basis, feature, start)
     latent[:-1][follows[:-1]] += latent[1:][follows[:-1]]
     latent /= np.maximum(1e-12, np.linalg.norm(latent, axis=1, keepdims=True))
     for lo in range(0, len(latent), 4096):
@@ -347,6 +437,39 @@ def _shared_runs(group: Group, words: Words) -> Iterator[tuple[int, int, int]]:
             yield int(row[hit[k]]), int(number[k]), int(at[hit[k]])
 
 
+def _words_of_items(group: Group, words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the words some item has, and their numbers among the items' words."""
+    mask = np.uint64((1 << 20) - 1)
+    some = np.zeros(1 << 20, dtype=bool)
+    some[(group.known & mask).astype(np.int64)] = True
+    at = np.flatnonzero(some[(words.hashes & mask).astype(np.int64)])
+    number = np.minimum(np.searchsorted(group.known, words.hashes[at]), len(group.known) - 1)
+    same = group.known[number] == words.hashes[at]
+    return at[same], number[same]
+
+
+def _able(group: Group, hits: tuple[np.ndarray, np.ndarray], words: Words, row: np.ndarray, number: np.ndarray, at: np.ndarray, cosine: np.ndarray) -> np.ndarray:
+    """Whether enough of the item's words, in any order, are around a candidate; always true of long items, whose candidates depend on earlier ones."""
+    size = group.sizes[number]
+    lo = np.searchsorted(hits[0], np.maximum(words.first[row], at - size))
+    hi = np.searchsorted(hits[0], np.minimum(words.first[row + 1], at + 2 * BLOCK + size))
+    out = size > 3 * BLOCK
+    least = np.where(cosine >= CLOSE, SOME, MOST) * size
+    short = np.flatnonzero(~out)
+    for k in range(0, len(short), 4 * CHUNK):
+        own = short[k : k + 4 * CHUNK]
+        n = hi[own] - lo[own]
+        keys = np.repeat(np.arange(len(own)) * len(group.known), n) + hits[1][np.repeat(lo[own], n) + ragged(n)]
+        keys.sort()
+        keys = _runs_of(keys)[0]
+        candidate, word = keys // len(group.known), keys % len(group.known)
+        pair = number[own][candidate] * len(group.known) + word
+        found = np.minimum(np.searchsorted(group.pairs, pair), len(group.pairs) - 1)
+        times = np.where(group.pairs[found] == pair, group.times[found], 0)
+        out[own] = np.bincount(candidate, times, minlength=len(own)) >= least[own]
+    return out
+
+
 def _run_cosine(group: Group, number: int, feature: np.ndarray) -> float | None:
     """The best latent cosine of a passage with an item's passages."""
     found = [float((space.passages[space.owner == number] @ (x := space.basis[feature].sum(axis=0)) / max(1e-12, np.linalg.norm(x))).max()) for space in group.spaces if (space.owner == number).any()]
@@ -371,11 +494,16 @@ def _found_in(part: pa.RecordBatch, group: Group) -> list[tuple[int, int, float
         judged[row, number] = at
         begin = max(int(words.first[row]), at - len(item.words))
         end = min(int(words.first[row + 1]), at + 2 * BLOCK + len(item.words))
-        region = words.hashes[begin:end]
-        held = common_subsequence(item.words, region) / len(item.words)
+        region = words.hashes[begin:end].tolist()
+        met = [m for m in map(item.at.get, region) if m]
+        # No more of the item can be there in order than is there at all; without a near cosine that has to be most of it.
+        least = (SOME if (cosine or 0.0) >= CLOSE else MOST) * len(item.words)
+        if reduce(or_, met, 0).bit_count() < least:
+            return
+        held = _longest(len(item.words), met) / len(item.words)
         if held < SOME:
             return
-        answered = common_subsequence(item.answer, region) / len(item.answer) if len(item.answer) else 0.0
+        answered = _longest(len(item.answer), [m for m in map(item.answer_at.get, region) if m]) / len(item.answer) if len(item.answer) else 0.0
         if len(item.words) < SHORTEST:
             sure = held == 1.0
         elif len(item.words) - len(item.answer) < SHORTEST:
@@ -387,9 +515,15 @@ def _found_in(part: pa.RecordBatch, group: Group) -> list[tuple[int, int, float
             seen[row, number] = (held, cosine, answered)
 
     follows = _follows(first, len(start))
+    hits = _words_of_items(group, words)
     for space in group.spaces:
-        for block, p, cosine in _near(space, feature, start, follows):
-            judge(int(np.searchsorted(first, block, "right") - 1), int(space.owner[p]), int(start[block]), cosine)
+        if not (near := list(_near(space, feature, start, follows))):
+            continue
+        block, p, cosine = (np.array(x) for x in zip(*near, strict=True))
+        row, number = np.searchsorted(first, block, "right") - 1, space.owner[p]
+        able = _able(group, hits, words, row, number, start[block], cosine)
+        for r, n, at, c in zip(*(x[able].tolist() for x in (row, number, start[block], cosine)), strict=True):
+            judge(r, n, at, c)
     judged.clear()
     for row, number, at in _shared_runs(group, words):
         if seen.get((row, number), (0.0,))[0] < 1.0:

@@ -16,6 +16,8 @@ import pyarrow as pa
 
 #: Text bytes that are hashed at a time (a longer document makes a slice of its own).
 SLICE_BYTES = 1 << 20
+#: Of these, bytes whose sums are held at a time (a longer word makes a part of its own).
+HASHED_BYTES = 1 << 16
 
 _SEPARATOR = np.zeros(256, dtype=bool)
 _SEPARATOR[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -33,7 +35,7 @@ def mix64(x: np.ndarray, seed: int = 0) -> np.ndarray:
         return z ^ (z >> np.uint64(31))
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=8)
 def _powers(base: int, n: int) -> np.ndarray:
     out = np.full(n, np.uint64(base), dtype=np.uint64)
     out[0] = 1
@@ -48,6 +50,7 @@ def powers(base: int, n: int) -> np.ndarray:
 
 _BYTE_CODE = mix64(np.arange(1, 257, dtype=np.uint64), 17)
 _WORD_BASE = 0xD6E8FEB86659FD93
+_WORD_INVERSE = pow(_WORD_BASE, -1, 2**64)
 _WINDOW_BASE = 0xA0761D6478BD642F
 _WINDOW_INVERSE = pow(_WINDOW_BASE, -1, 2**64)
 
@@ -57,15 +60,14 @@ def _word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     out = np.empty(len(starts), dtype=np.uint64)
     lo = 0
     while lo < len(starts):
-        hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + SLICE_BYTES, "right")))
-        s, e = starts[lo:hi], ends[lo:hi]
-        lengths = e - s
-        firsts = np.cumsum(lengths) - lengths
-        within = np.arange(int(lengths.sum()), dtype=np.int64) - np.repeat(firsts, lengths)
-        at = within + np.repeat(s, lengths)
+        hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + HASHED_BYTES, "right")))
+        base, n = starts[lo], int(ends[hi - 1] - starts[lo])
+        s, e = starts[lo:hi] - base, ends[lo:hi] - base
         with np.errstate(over="ignore"):
-            parts = _BYTE_CODE[data[at]] * powers(_WORD_BASE, int(lengths.max()))[within]
-            out[lo:hi] = np.add.reduceat(parts, firsts) + lengths.astype(np.uint64)
+            # Sums up to each byte: a word's part of them is moved back to its own first byte.
+            total = np.zeros(n + 1, dtype=np.uint64)
+            np.cumsum(_BYTE_CODE[data[base : base + n]] * powers(_WORD_BASE, n), out=total[1:])
+            out[lo:hi] = (total[e] - total[s]) * powers(_WORD_INVERSE, n)[s] + (e - s).astype(np.uint64)
         lo = hi
     return mix64(out, 3)
 

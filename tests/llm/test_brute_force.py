@@ -248,6 +248,41 @@ def test_space_and_cosines_against_a_full_decomposition(spark):
     assert np.abs(latent @ space.passages.T - plain).mean() > 0.05
 
 
+def test_the_decomposition_is_of_all_passages(spark):
+    n = 40_000  # more than any sample of it would hold
+    texts = [" ".join([*(f"group{k % 50}word{j}" for j in range(decontaminate.BLOCK - 1)), f"own{k}"]) for k in range(n)]
+    corpus = decontaminate.read_corpus(spark.createDataFrame([(t,) for t in texts], "text string"), Scratch(spark, "test"))
+    assert corpus.size == n and corpus.sample.count() > 0.95 * n  # of hashed words a few are alike
+    directions = np.zeros((decontaminate.FEATURES, 50))
+    met = np.zeros(50)
+    for g in range(50):
+        at, times = np.unique(decontaminate._features(decontaminate._hashes(texts[g]))[:-1], return_counts=True)
+        directions[at, g] = times * corpus.weights[at]
+        directions[:, g] /= np.linalg.norm(directions[:, g])
+    for k, t in enumerate(texts):
+        at, times = np.unique(decontaminate._features(decontaminate._hashes(t)), return_counts=True)
+        vector = times * corpus.weights[at]
+        met[k % 50] += (vector @ directions[at, k % 50] / np.linalg.norm(vector)) ** 2
+    assert np.allclose(((corpus.leading.T @ directions) ** 2).sum(axis=0), met, rtol=0.02)
+
+
+def test_products_with_all_passages_by_hand(spark):
+    rng = random.Random(6)
+    texts = [" ".join(f"w{min(int(rng.expovariate(0.05)), 400)}" for _ in range(rng.choice([0, 3, 24, 25, 48, 200]))) for _ in range(300)] + [None, ""]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    weights = np.random.default_rng(1).uniform(0.7, 9, decontaminate.FEATURES).astype(np.float32)
+    directions = np.random.default_rng(2).standard_normal((decontaminate.FEATURES, 5)).astype(np.float32)
+    wanted = np.zeros((decontaminate.FEATURES, 5))
+    for t in texts:
+        feature = decontaminate._features(decontaminate._hashes(t or ""))
+        for lo in range(0, len(feature), decontaminate.BLOCK):
+            at, times = np.unique(feature[lo : lo + 2 * decontaminate.BLOCK], return_counts=True)
+            vector = times * weights[at] / np.linalg.norm(times * weights[at])
+            wanted[at] += np.outer(vector, vector @ directions[at])
+    found = decontaminate.times_passages(docs, weights, directions)
+    assert np.allclose(found, wanted, rtol=1e-3, atol=1e-3 * np.abs(wanted).max())
+
+
 def test_candidates_against_all_cosines(spark):
     items, docs, _ = planted(random.Random(4), 12, 40)
     weights, _, _, own = by_hand(spark, docs, items)
