@@ -50,9 +50,9 @@ def token_pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int =
         for batch in batches:
             for part in slices(batch, size=tokens.TEXT_BYTES):
                 rows = []
-                packed = encoder.encode([t or "" for t in part.column("text").to_pylist()])
-                for doc_id, ids in zip(part.column("doc_id").to_pylist(), packed, strict=True):
-                    ids += end
+                flat, bounds = encoder.encode_column(part.column("text"))
+                for doc_id, first, last in zip(part.column("doc_id").to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                    ids = flat[first:last].tobytes() + end
                     for k, lo in enumerate(range(0, len(ids), 4 * capacity)):
                         own = ids[lo : lo + 4 * capacity]
                         rows.append((doc_id, k, lo // 4, len(own) // 4, zlib.crc32(own), own))

@@ -37,7 +37,7 @@ from emberline.session import BATCH_ROWS, Scratch, batch_rows
 
 #: Text bytes that go to one record file.
 FILE_BYTES = 16 << 20
-#: Bytes of a worker's word caches: a byte-level tokenizer has units with and without a space before them.
+#: Bytes of a worker's cache: a byte-level tokenizer has units with and without a space before them.
 CACHE_BYTES = 100 << 20
 
 
@@ -76,11 +76,12 @@ def write_records(docs: DataFrame, folder: str, vocabulary: str, end_id: int, fi
     ordered = docs.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = tokens.encoder(vocabulary, CACHE_BYTES), np.uint32(end_id).tobytes()
+        encoder, end = tokens.encoder(vocabulary, CACHE_BYTES), np.uint32(end_id)
         for batch in batches:
             for part in slices(batch, size=tokens.TEXT_BYTES):
-                packed = encoder.encode([t or "" for t in part.column("text").to_pylist()])
-                framed = [frame(d, tokens.ids(p + end)) for d, p in zip(part.column("doc_id").to_pylist(), packed, strict=True)]
+                flat, bounds = encoder.encode_column(part.column("text"))
+                spans = zip(part.column("doc_id").to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)
+                framed = [frame(d, np.append(flat[lo:hi], end)) for d, lo, hi in spans]
                 yield pa.RecordBatch.from_arrays([pa.array(framed, pa.binary())], ["record"])
 
     framed = ordered.mapInArrow(tidy(encode, tokens.forget), "record binary")

@@ -55,7 +55,7 @@ _WINDOW_BASE = 0xA0761D6478BD642F
 _WINDOW_INVERSE = pow(_WINDOW_BASE, -1, 2**64)
 
 
-def _word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each word data[start:end], the same wherever the word stands."""
     out = np.empty(len(starts), dtype=np.uint64)
     lo = 0
@@ -127,7 +127,7 @@ class Words:
         self.starts = np.flatnonzero(start)
         self.ends = np.flatnonzero(stop) + 1
         self.first = np.searchsorted(self.starts, offsets)  # of each document, and the end
-        self.hashes = _word_hashes(data, self.starts, self.ends)
+        self.hashes = span_hashes(data, self.starts, self.ends)
 
     def counts(self) -> np.ndarray:
         return np.diff(self.first)

@@ -1,36 +1,45 @@
 """Tokenizing inside Spark tasks with the tokenizers library.
 
 Byte-level and word BPE tokenizers treat the units of a text apart: a word with
-the one space before it, or a word alone. So a worker encodes each distinct unit
-once, and joins a text's ids from the units'. Texts where units can't be told
-apart that way are encoded whole. Either way the ids are the library's own.
+the one space before it, or a word alone. So a worker encodes a unit once for as
+long as its cache holds it, and gathers texts' ids from the units'. Units are found
+and looked up, by 64-bit hashes of their bytes, in numpy on Arrow columns. White space
+that units can't be told apart by stays inside one, and texts with special
+tokens are encoded whole. Either way the ids are the library's own.
 """
 
 from __future__ import annotations
 
 import json
 import os
-import re
 import unicodedata
 from array import array
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 
-from emberline.llm.textkit import on_release
+from emberline.llm.textkit import on_release, ragged, span_hashes, text_bytes
 
-#: Bytes, with Python's own, of a worker's newer and of its older cache, if the caller names none; units in use move to the newer one.
+#: Bytes of a worker's cache, if the caller names none: half for a table of units by hash, half for their ids.
 CACHE_BYTES = 40 << 20
-#: Bytes that an entry takes besides its text and ids.
-_ENTRY_BYTES = 200
+#: Bytes that a unit takes in the table.
+_ENTRY_BYTES = 16
 #: Units that are encoded as one text, where their ids can be told apart again.
 JOINED_UNITS = 1_000
 #: Text bytes to encode at a time: units that come again in them are looked up once.
 TEXT_BYTES = 2 << 20
 _PUNCTUATION = frozenset(".,;:!?|")
-_ADJACENT = re.compile(r"\s\s")
-_SAFE = re.compile(r"(?<=\S)(?= \S)")
+_WHITE = np.zeros(256, dtype=bool)
+_WHITE[[*range(0x09, 0x0E), *range(0x1C, 0x21)]] = True
+#: White space beyond ASCII: of UTF-8 bytes before the last one, the last ones.
+_WIDE_WHITE = {
+    b"\xc2": [0x85, 0xA0],
+    b"\xe1\x9a": [0x80],
+    b"\xe2\x80": [*range(0x80, 0x8B), 0xA8, 0xA9, 0xAF],
+    b"\xe2\x81": [0x9F],
+    b"\xe3\x80": [0x80],
+}
 
 
 def vocabulary(name: str) -> str:
@@ -59,9 +68,10 @@ class Encoder:
             self.mode = "spaced"
         elif pre.get("type") == "Sequence" and (first := pre["pretokenizers"][0]).get("behavior") == "Removed" and first.get("invert") and r"\s" in str(first["pattern"]):
             self.mode = "dropped"
-        self.newer: dict[str, dict[str, bytes]] = {"": {}, " ": {}}
-        self.older: dict[str, dict[str, bytes]] = {"": {}, " ": {}}
-        self.held = {"": 0, " ": 0}  # bytes of the newer caches
+        slots = 1 << max(4, (cache_bytes // 2 // _ENTRY_BYTES).bit_length() - 1)
+        #: Of each slot: a unit's hash (0: none), and where its ids start in ``held`` and how many they are. A newer unit takes an older one's slot.
+        self.keys, self.start, self.n = np.zeros(slots, dtype=np.uint64), np.zeros(slots, dtype=np.int32), np.zeros(slots, dtype=np.int32)
+        self.held, self.used = np.empty(cache_bytes // 8, dtype=np.uint32), 0
         self.marks = dict(zip(_PUNCTUATION, self.whole(list(_PUNCTUATION)), strict=True))
         newline = self.whole(["\n"])[0]
         self.newline = int(ids(newline)[0]) if len(newline) == 4 else -1
@@ -99,74 +109,129 @@ class Encoder:
                 out += self.whole([prefix + w for w in part])
         return out
 
-    def _add(self, units: list[str], packed: list[bytes], prefix: str) -> None:
-        self.newer[prefix].update(zip(units, packed, strict=True))
-        self.held[prefix] += _ENTRY_BYTES * len(units) + sum(map(len, units)) + sum(map(len, packed))
-
-    def _learn(self, units: set[str], prefix: str = "") -> dict[str, bytes]:
-        """A cache that holds all these units."""
-        if self.held[prefix] > self.cache_bytes:
-            self.newer[prefix], self.older[prefix], self.held[prefix] = {}, self.newer[prefix], 0
-        newer, older = self.newer[prefix], self.older[prefix]
-        missing = units.difference(newer)
-        again = [u for u in missing if u in older]
-        self._add(again, [older[u] for u in again], prefix)
-        missing.difference_update(again)
-        others: list[str] = []
-        words = filter(str.isalpha, missing)
-        bases = set(words if self.mode == "spaced" else filter(self._one_piece, words))
-        ended = []
-        for u in missing.difference(bases):
-            if u and u[-1] in _PUNCTUATION and self._one_piece(u[:-1]):
-                ended.append(u)
-                bases.add(u[:-1])
+    def _learn(self, units: list[str], bases: list[bytes | None]) -> list[bytes]:
+        """The ids of units, some of which are known without their last character."""
+        out: list[bytes | None] = [None] * len(units)
+        fresh: dict[str, dict[str, int]] = {"": {}, " ": {}}  # by prefix, words of letters alone, numbered
+        ended: dict[str, list[list]] = {"": [[], [], []], " ": [[], [], []]}  # places of units, their words' numbers and what ends them
+        others = []
+        spaced = self.mode == "spaced"
+        for k, (u, base) in enumerate(zip(units, bases, strict=True)):
+            prefix = " " if spaced and u[0] == " " else ""
+            word, end = u[1:] if prefix else u, b""
+            if word and word[-1] in _PUNCTUATION:
+                word, end = word[:-1], self.marks[word[-1]]
+            if not (word.isalpha() and (word.isascii() or self._one_piece(word))):
+                others.append(k)
+            elif end and base is not None:
+                out[k] = base + end
             else:
-                others.append(u)
-        fresh = [u for u in bases if u not in newer]
-        self._add(fresh, self._words(fresh, prefix), prefix)
-        self._add(ended, [newer[u[:-1]] + self.marks[u[-1]] for u in ended], prefix)
+                words = fresh[prefix]
+                for column, x in zip(ended[prefix], (k, words.setdefault(word, len(words)), end), strict=True):
+                    column.append(x)
+        for prefix, words in fresh.items():
+            packed = self._words(list(words), prefix)
+            for k, n, end in zip(*ended[prefix], strict=True):
+                out[k] = packed[n] + end
         for lo in range(0, len(others), 20_000):
             part = others[lo : lo + 20_000]
-            self._add(part, self.whole([prefix + u for u in part]), prefix)
-        return newer
+            for k, packed in zip(part, self.whole([units[k] for k in part]), strict=True):
+                out[k] = packed
+        return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        special = [self.mode == "whole" or any(s in t for s in self.specials) for t in texts]
+    def _units(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where units start and end."""
         if self.mode == "dropped":
-            words = [[] if s else t.replace("\n", " ").split(" ") for t, s in zip(texts, special, strict=True)]
-            get = self._learn(set(chain.from_iterable(words))).__getitem__
-            return [self.whole([t])[0] if s else b"".join(map(get, w)) for t, s, w in zip(texts, special, words, strict=True)]
-        plan: list[list | None] = []  # of each text: its lines as words, or units that keep their spaces
-        spaced: set[str] = set()
-        plain: set[str] = {"\n"}
-        for t, s in zip(texts, special, strict=True):
-            if s:
-                plan.append(None)
-            elif _ADJACENT.search(t):
-                plan.append(units := _SAFE.split(t))
-                plain.update(units)
-            else:
-                plan.append(lines := [(words.pop(0), words) for words in [line.split(" ") for line in t.split("\n")]])
-                for first, words in lines:
-                    plain.add(first)
-                    spaced.update(words)
-        get, get_plain = self._learn(spaced, " ").__getitem__, self._learn(plain).__getitem__
-        newline = get_plain("\n")
-        out = []
-        for t, units in zip(texts, plan, strict=True):
-            if units is None:
-                out.append(self.whole([t])[0])
-            elif units and isinstance(units[0], str):
-                out.append(b"".join(map(get_plain, units)))
-            else:
-                parts: list[bytes] = []
-                for first, words in units:
-                    if parts:
-                        parts.append(newline)
-                    parts.append(get_plain(first))
-                    parts += map(get, words)
-                out.append(b"".join(parts))
-        return out
+            inside = (data != 0x20) & (data != 0x0A)
+            start, stop = inside.copy(), inside.copy()
+            start[1:] &= ~inside[:-1]
+            inner = offsets[1:-1]
+            inner = inner[(inner < len(data)) & (inner > 0)]
+            start[inner] = inside[inner]
+            stop[:-1] &= ~inside[1:] | start[1:]
+            return np.flatnonzero(start), np.flatnonzero(stop) + 1
+        white = _WHITE[data]
+        for head, lasts in _WIDE_WHITE.items():
+            at = np.flatnonzero(data[: len(data) - len(head)] == head[0])
+            for k in range(1, len(head)):
+                at = at[data[at + k] == head[k]]
+            at = at[np.isin(data[at + len(head)], lasts)]
+            for k in range(len(head) + 1):
+                white[at + k] = True
+        # One space, or one line's end, between two characters of a text that are none.
+        alone = np.zeros(len(data), dtype=bool)
+        alone[1:-1] = (data[1:-1] == 0x20) | (data[1:-1] == 0x0A)
+        alone[1:-1] &= ~white[:-2] & ~white[2:]
+        own = np.flatnonzero(np.diff(offsets))
+        alone[offsets[own]] = alone[offsets[own + 1] - 1] = False
+        start = alone.copy()
+        start[1:] |= alone[:-1] & (data[:-1] == 0x0A)
+        start[offsets[own]] = True
+        starts = np.flatnonzero(start)
+        return starts, np.r_[starts[1:], len(data)]
+
+    def _with_specials(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Texts that hold a special token, written out."""
+        raw, found = data.tobytes(), []
+        for special in map(str.encode, self.specials):
+            at = raw.find(special)
+            while at >= 0:
+                row = int(np.searchsorted(offsets, at, "right")) - 1
+                if at + len(special) <= offsets[row + 1]:
+                    found.append(row)
+                at = raw.find(special, at + 1)
+        return np.unique(np.array(found, dtype=np.int64))
+
+    def encode_column(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a column's texts (null: none), and where each text's start, and the end."""
+        data, offsets = text_bytes(column)
+        rows = np.arange(len(column)) if self.mode == "whole" else self._with_specials(data, offsets)
+        if self.mode == "whole" or not len(data):
+            flat, bounds = np.empty(0, dtype=np.uint32), np.zeros(len(column) + 1, dtype=np.int64)
+        else:
+            flat, bounds = self._gathered(data, offsets)
+        if not len(rows):
+            return flat, bounds
+        parts = [flat[lo:hi] for lo, hi in zip(bounds[:-1], bounds[1:], strict=True)]
+        for row, packed in zip(rows.tolist(), self.whole([data[offsets[r] : offsets[r + 1]].tobytes().decode() for r in rows]), strict=True):
+            parts[row] = ids(packed)
+        return np.concatenate(parts) if parts else flat, np.cumsum([0, *map(len, parts)])
+
+    def _gathered(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        starts, ends = self._units(data, offsets)
+        if self.used > len(self.held) // 4 * 3:
+            self.keys[:] = 0
+            self.held, self.used = np.empty(self.cache_bytes // 8, dtype=np.uint32), 0
+        mask = np.uint64(len(self.keys) - 1)
+        slots = lambda keys: (keys & mask).astype(np.int64)
+        keys = np.maximum(span_hashes(data, starts, ends), np.uint64(1))
+        own = slots(keys)
+        start, n = self.start[own], self.n[own]
+        missing = np.flatnonzero(self.keys[own] != keys)
+        if len(missing):
+            new, first, back = np.unique(keys[missing], return_index=True, return_inverse=True)
+            at = missing[first]
+            lo, hi = starts[at], ends[at]
+            shorter = span_hashes(data, starts[missing], np.maximum(starts[missing] + 1, ends[missing] - 1))[first]
+            base = slots(shorter)
+            known = (self.keys[base] == shorter) & (hi - lo > 1)
+            bases = [self.held[s : s + m].tobytes() if k else None for k, s, m in zip(known.tolist(), self.start[base].tolist(), self.n[base].tolist(), strict=True)]
+            packed = self._learn([data[a:b].tobytes().decode() for a, b in zip(lo.tolist(), hi.tolist(), strict=True)], bases)
+            fresh, sizes = ids(b"".join(packed)), np.array([len(p) // 4 for p in packed], dtype=np.int32)
+            if self.used + len(fresh) > len(self.held):
+                self.held = np.concatenate([self.held[: self.used], np.empty(len(fresh), dtype=np.uint32)])
+            self.held[self.used : self.used + len(fresh)] = fresh
+            begin = (self.used + np.cumsum(sizes) - sizes).astype(np.int32)
+            self.used += len(fresh)
+            start[missing], n[missing] = begin[back], sizes[back]
+            own = slots(new)
+            self.keys[own], self.start[own], self.n[own] = new, begin, sizes
+        flat = self.held[np.repeat(start, n) + ragged(n)]
+        return flat, np.r_[0, np.cumsum(n)][np.searchsorted(starts, offsets)]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        flat, bounds = self.encode_column(pa.array(texts, pa.string()))
+        return [flat[lo:hi].tobytes() for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
 
 @lru_cache(maxsize=1)

@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -24,6 +25,20 @@ def test_ids_are_the_library_s(name):
             assert tokens.ids(packed).tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_columns_are_encoded_alike_by_a_cache_of_any_size(name):
+    rng = random.Random(5)
+    words = [f"{rng.choice('abcdefgh')}{k}x" for k in range(40)] + ["plain", "plain,", "déjà", "l'été", ",", "\u2003", "\u0085"]
+    texts = [None, "", " ", "\n", "<|endoftext|>", *(rng.choice([" ", "\n", "  ", " \n"]).join(rng.choice(words) for _ in range(60)) for _ in range(40))]
+    library = Tokenizer.from_file(tokens.vocabulary(name))
+    wanted = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    for size in (1 << 9, 1 << 20):  # units take each other's slots and ids are given up, or all stay
+        own = tokens.Encoder(tokens.vocabulary(name), size)
+        for lo in (0, 3, 0):  # a slice of a column too
+            flat, bounds = own.encode_column(pa.array(texts)[lo:])
+            assert [flat[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == wanted[lo:]
+
+
 def documents(spark):
     rng = random.Random(6)
     rows = [(k, " ".join(rng.choice(["alpha", "beta", "Gamma.", "déjà", "x"]) for _ in range(rng.choice([0, 1, 5, 40, 400]))), "clash") for k in range(-60, 60)]
