@@ -10,26 +10,30 @@ from emberline.llm.packing import pack_documents
 from emberline.llm.substring_dedup import remove_repeats
 from emberline.llm.tokens import vocabulary
 from emberline.llm.toxicity import without_toxic
-from emberline.session import Scratch
+from emberline.session import Scratch, release_driver
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that a chain fitted on the labels doesn't judge toxic."""
+    release_driver(spark)
     return without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of similar ones."""
+    release_driver(spark)
     return one_of_each(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without windows of words that occur elsewhere among them."""
+    release_driver(spark)
     return remove_repeats(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that hold no benchmark item."""
+    release_driver(spark)
     return without_items(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
