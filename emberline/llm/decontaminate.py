@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberline.llm.textkit import Words, ragged, release, slices, text_bytes, tidy
-from emberline.session import BATCH_ROWS, Scratch, batch_rows, small
+from emberline.session import BATCH_ROWS, Scratch, batch_rows, release_driver, small
 
 BLOCK = 24
 FEATURES = 1 << 15
@@ -137,8 +137,8 @@ def _runs_of(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def read_corpus(docs: DataFrame, scratch: Scratch) -> Corpus:
     """Counts the blocks that hold each feature, and decomposes the passages."""
-    directions = np.random.default_rng(11).standard_normal((FEATURES, RANK + MORE), dtype=np.float32)
-    directions, n, blocks = _passage_sums(docs, None, directions)
+    directions, n, blocks = _passage_sums(docs, None)
+    release_driver(docs.sparkSession)  # the sums that the first reading has shuffled take as much disk as the second one's
     # Log 2 at least: copies may put an item's words into any share of the blocks.
     weights = np.log1p((blocks + 1) / (n + 1)).astype(np.float32)
     directions *= weights[:, None]
@@ -230,14 +230,20 @@ def _add_rows(total: np.ndarray, feature: np.ndarray, row: np.ndarray, rows: np.
     total[known] += added
 
 
-def _passage_sums(docs: DataFrame, weights: np.ndarray | None, directions: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+def _drawn() -> np.ndarray:
+    """The random directions that the decomposition begins with, the same ones each time."""
+    return np.random.default_rng(11).standard_normal((FEATURES, RANK + MORE), dtype=np.float32)
+
+
+def _passage_sums(docs: DataFrame, weights: np.ndarray | None, directions: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, int]:
     """The sum over all passages of their features' counts times the product of their vector and the directions, by its squared length.
 
     Before weights are known, all of them are one, a passage's words stand for its squared length, and the blocks that hold each feature are counted too, and all blocks.
+    Without directions (and weights), tasks draw the first ones themselves: to send them costs their size in disk on each executor.
     Tasks sum their passages' parts, Spark adds those of the tasks, and the driver gets the sums (features x directions, whatever the corpus).
     """
-    width = directions.shape[1]
-    weighted = directions if weights is None else weights[:, None] * directions
+    width = RANK + MORE if directions is None else directions.shape[1]
+    sent = directions if weights is None else weights[:, None] * directions
     schema = "first int, sums binary, counts binary, blocks long"
 
     def rows(total: np.ndarray, counts: np.ndarray, blocks: int, at: Iterator[int]) -> Iterator[pa.RecordBatch]:
@@ -248,6 +254,7 @@ def _passage_sums(docs: DataFrame, weights: np.ndarray | None, directions: np.nd
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, counts, blocks = np.zeros((FEATURES, width), dtype=np.float32), np.zeros(FEATURES, dtype=np.int64), 0
+        weighted = _drawn() if sent is None else sent
         for feature, start, follows in _read(batches):
             length = np.diff(np.r_[start, len(feature)])
             block = np.repeat(np.arange(len(start)), length)
