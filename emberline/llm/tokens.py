@@ -49,6 +49,27 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@lru_cache(maxsize=2)
+def _letters(normalised: bool) -> np.ndarray:
+    """Whether a character up to U+FFFF is a letter; if normalised, also after NFC and lower-casing, beside any others (Hangul's parts compose)."""
+    out = np.array([chr(c).isalpha() for c in range(1 << 16)])
+    if normalised:
+        for c in np.flatnonzero(out).tolist():
+            out[c] = unicodedata.normalize("NFC", chr(c)).lower().isalpha()
+        out[0x1100:0x1200] = False
+    return out
+
+
+def _letter_bytes(raw: np.ndarray, normalised: bool) -> np.ndarray:
+    """Of UTF-8 text, which bytes are letters'."""
+    table = _letters(normalised)
+    if not len(raw) or raw.max() < 0x80:
+        return table[raw]
+    points = np.frombuffer(raw.tobytes().decode().encode("utf-32-le"), dtype="<u4")
+    known = table[np.minimum(points, 0xFFFF)] & (points <= 0xFFFF)
+    return known[np.cumsum((raw & 0xC0) != 0x80) - 1]
+
+
 class Encoder:
     """Texts to token ids, as unsigned 32-bit little-endian bytes."""
 
@@ -72,7 +93,11 @@ class Encoder:
         #: Of each slot: a unit's hash (0: none), and where its ids start in ``held`` and how many they are. A newer unit takes an older one's slot.
         self.keys, self.start, self.n = np.zeros(slots, dtype=np.uint64), np.zeros(slots, dtype=np.int32), np.zeros(slots, dtype=np.int32)
         self.held, self.used = np.empty(cache_bytes // 8, dtype=np.uint32), 0
-        self.marks = dict(zip(_PUNCTUATION, self.whole(list(_PUNCTUATION)), strict=True))
+        #: Of each byte that may end a word, its id; else -1
+        self.marks = np.full(256, -1, dtype=np.int64)
+        for mark, packed in zip(_PUNCTUATION, self.whole(list(_PUNCTUATION)), strict=True):
+            if len(packed) == 4:
+                self.marks[ord(mark)] = ids(packed)[0]
         newline = self.whole(["\n"])[0]
         self.newline = int(ids(newline)[0]) if len(newline) == 4 else -1
         tokens = self.tokenizer.get_vocab()
@@ -85,59 +110,91 @@ class Encoder:
     def whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _one_piece(self, word: str) -> bool:
-        """Whether a word is letters alone, also after normalisation."""
-        return word.isalpha() and (word.isascii() or self.mode == "spaced" or unicodedata.normalize("NFC", word).lower().isalpha())
-
-    def _words(self, words: list[str], prefix: str) -> list[bytes]:
-        """The ids of words of letters alone, each after the prefix; many are encoded as one text and told apart by edges."""
-        parts = [words[lo : lo + JOINED_UNITS] for lo in range(0, len(words), JOINED_UNITS)]
+    def _words(self, raw: np.ndarray, lo: np.ndarray, hi: np.ndarray, prefix: str) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of words of letters alone, each after the prefix, and how many are each word's; many are encoded as one text and told apart by edges."""
         between = "\n" if self.mode == "spaced" and not prefix else " "
-        out: list[bytes] = []
-        for part, packed in zip(parts, self.whole([prefix + between.join(p) for p in parts]), strict=True):
+        length = hi - lo + 1
+        joined = raw[np.minimum(np.repeat(lo, length) + ragged(length), len(raw) - 1)]
+        stop = np.cumsum(length)
+        joined[stop - 1] = ord(between)
+        first = np.r_[0, stop]
+        bounds = [*range(0, len(lo), JOINED_UNITS), len(lo)]
+        texts = [prefix + joined[first[a] : first[b] - 1].tobytes().decode() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        flat, sizes = [], []
+        for a, b, text, packed in zip(bounds[:-1], bounds[1:], texts, self.whole(texts), strict=True):
             own = ids(packed)
             if between == "\n":  # the mark's own id stands between words
-                edges = np.flatnonzero(own == self.newline) * 4
-                starts, stops = [0, *(edges + 4).tolist()], [*edges.tolist(), len(packed)]
-            else:
-                edges = np.flatnonzero(self.edge[own]) * 4
-                bounds = [*edges.tolist(), len(packed)] if self.mode == "spaced" else [0, *(edges + 4).tolist()]
-                starts, stops = bounds[:-1], bounds[1:]
-            if len(starts) == len(part) and starts[0] == 0 and stops[-1] == len(packed):
-                out += [packed[lo:hi] for lo, hi in zip(starts, stops, strict=True)]
-            else:  # a word that isn't one piece after normalisation
-                out += self.whole([prefix + w for w in part])
-        return out
-
-    def _learn(self, units: list[str], bases: list[bytes | None]) -> list[bytes]:
-        """The ids of units, some of which are known without their last character."""
-        out: list[bytes | None] = [None] * len(units)
-        fresh: dict[str, dict[str, int]] = {"": {}, " ": {}}  # by prefix, words of letters alone, numbered
-        ended: dict[str, list[list]] = {"": [[], [], []], " ": [[], [], []]}  # places of units, their words' numbers and what ends them
-        others = []
-        spaced = self.mode == "spaced"
-        for k, (u, base) in enumerate(zip(units, bases, strict=True)):
-            prefix = " " if spaced and u[0] == " " else ""
-            word, end = u[1:] if prefix else u, b""
-            if word and word[-1] in _PUNCTUATION:
-                word, end = word[:-1], self.marks[word[-1]]
-            if not (word.isalpha() and (word.isascii() or self._one_piece(word))):
-                others.append(k)
-            elif end and base is not None:
-                out[k] = base + end
+                edges = np.flatnonzero(own == self.newline)
+                counts, own = np.diff(np.r_[-1, edges, len(own)]) - 1, np.delete(own, edges)
+            elif self.mode == "spaced":
+                counts = np.diff(np.r_[np.flatnonzero(self.edge[own]), len(own)])
             else:
-                words = fresh[prefix]
-                for column, x in zip(ended[prefix], (k, words.setdefault(word, len(words)), end), strict=True):
-                    column.append(x)
-        for prefix, words in fresh.items():
-            packed = self._words(list(words), prefix)
-            for k, n, end in zip(*ended[prefix], strict=True):
-                out[k] = packed[n] + end
-        for lo in range(0, len(others), 20_000):
-            part = others[lo : lo + 20_000]
-            for k, packed in zip(part, self.whole([units[k] for k in part]), strict=True):
-                out[k] = packed
-        return out
+                counts = np.diff(np.r_[-1, np.flatnonzero(self.edge[own])])
+            if len(counts) != b - a or counts.sum() != len(own):  # a word that isn't one piece after normalisation
+                apart = self.whole([prefix + w for w in text[len(prefix) :].split(between)])
+                counts, own = np.array([len(x) // 4 for x in apart]), ids(b"".join(apart))
+            flat.append(own)
+            sizes.append(counts)
+        return np.concatenate(flat), np.concatenate(sizes)
+
+    def _hold(self, flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Puts ids of units into ``held``; where each one's start."""
+        if self.used + len(flat) > len(self.held):
+            self.held = np.concatenate([self.held[: self.used], np.empty(len(flat), dtype=np.uint32)])
+        self.held[self.used : self.used + len(flat)] = flat
+        begin = (self.used + np.cumsum(sizes) - sizes).astype(np.int32)
+        self.used += len(flat)
+        return begin
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return (keys & np.uint64(len(self.keys) - 1)).astype(np.int64)
+
+    def _enter(self, keys: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> None:
+        own = self._slots(keys)
+        self.keys[own], self.start[own], self.n[own] = keys, begin, sizes
+
+    def _learn(self, keys: np.ndarray, data: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Encodes units of these hashes, bytes and places; where their ids start, and how many they are.
+
+        A word of letters alone is encoded once, also if it comes with different marks at its end, whose ids follow the word's.
+        """
+        length = hi - lo
+        raw = data[np.repeat(lo, length) + ragged(length)]
+        hi = np.cumsum(length)
+        lo = hi - length
+        begin, sizes = np.zeros(len(keys), dtype=np.int32), np.zeros(len(keys), dtype=np.int32)
+        spaced = (raw[lo] == 0x20) & (self.mode == "spaced")
+        mark = self.marks[raw[hi - 1]]
+        mark[hi - 1 <= lo + spaced] = -1
+        stop = hi - (mark >= 0)
+        letters = np.r_[0, np.cumsum(_letter_bytes(raw, self.mode == "dropped"))]
+        plain = (letters[stop] - letters[lo + spaced] == stop - lo - spaced) & (stop > lo + spaced)
+        others = np.flatnonzero(~plain)
+        for at in range(0, len(others), 20_000):
+            part = others[at : at + 20_000]
+            packed = self.whole([raw[a:b].tobytes().decode() for a, b in zip(lo[part].tolist(), hi[part].tolist(), strict=True)])
+            sizes[part] = [len(p) // 4 for p in packed]
+            begin[part] = self._hold(ids(b"".join(packed)), sizes[part])
+        # Words without their marks: those that are known are looked up.
+        own = np.flatnonzero(plain)
+        words, first, back = np.unique(np.maximum(span_hashes(raw, lo[own], stop[own]), np.uint64(1)), return_index=True, return_inverse=True)
+        at = self._slots(words)
+        start, n = self.start[at], self.n[at]
+        fresh = self.keys[at] != words
+        for after in (False, True):
+            new = np.flatnonzero(fresh & (spaced[own[first]] == after))
+            if len(new):
+                k = own[first[new]]
+                flat, n[new] = self._words(raw, lo[k] + after, stop[k], " " if after else "")
+                start[new] = self._hold(flat, n[new])
+        self._enter(words[fresh], start[fresh], n[fresh])
+        begin[own], sizes[own] = start[back], n[back]
+        ended = np.flatnonzero(plain & (mark >= 0))
+        n = sizes[ended] + 1
+        flat = self.held[np.minimum(np.repeat(begin[ended], n) + ragged(n), len(self.held) - 1)]
+        flat[np.cumsum(n) - 1] = mark[ended]
+        begin[ended], sizes[ended] = self._hold(flat, n), n
+        return begin, sizes
 
     def _units(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where units start and end."""
@@ -202,30 +259,16 @@ class Encoder:
         if self.used > len(self.held) // 4 * 3:
             self.keys[:] = 0
             self.held, self.used = np.empty(self.cache_bytes // 8, dtype=np.uint32), 0
-        mask = np.uint64(len(self.keys) - 1)
-        slots = lambda keys: (keys & mask).astype(np.int64)
         keys = np.maximum(span_hashes(data, starts, ends), np.uint64(1))
-        own = slots(keys)
+        own = self._slots(keys)
         start, n = self.start[own], self.n[own]
         missing = np.flatnonzero(self.keys[own] != keys)
         if len(missing):
             new, first, back = np.unique(keys[missing], return_index=True, return_inverse=True)
             at = missing[first]
-            lo, hi = starts[at], ends[at]
-            shorter = span_hashes(data, starts[missing], np.maximum(starts[missing] + 1, ends[missing] - 1))[first]
-            base = slots(shorter)
-            known = (self.keys[base] == shorter) & (hi - lo > 1)
-            bases = [self.held[s : s + m].tobytes() if k else None for k, s, m in zip(known.tolist(), self.start[base].tolist(), self.n[base].tolist(), strict=True)]
-            packed = self._learn([data[a:b].tobytes().decode() for a, b in zip(lo.tolist(), hi.tolist(), strict=True)], bases)
-            fresh, sizes = ids(b"".join(packed)), np.array([len(p) // 4 for p in packed], dtype=np.int32)
-            if self.used + len(fresh) > len(self.held):
-                self.held = np.concatenate([self.held[: self.used], np.empty(len(fresh), dtype=np.uint32)])
-            self.held[self.used : self.used + len(fresh)] = fresh
-            begin = (self.used + np.cumsum(sizes) - sizes).astype(np.int32)
-            self.used += len(fresh)
+            begin, sizes = self._learn(new, data, starts[at], ends[at])
             start[missing], n[missing] = begin[back], sizes[back]
-            own = slots(new)
-            self.keys[own], self.start[own], self.n[own] = new, begin, sizes
+            self._enter(new, begin, sizes)
         flat = self.held[np.repeat(start, n) + ragged(n)]
         return flat, np.r_[0, np.cumsum(n)][np.searchsorted(starts, offsets)]
 
