@@ -11,7 +11,9 @@ no piece is left:
    large enough, which stays in use as long as it has room.
 4. What is left of each range is matched across ranges by rank: pieces of a
    lower range take the last unmatched gap above them, as many as surely fit.
-   Only counts, one row a range, are needed on the driver for that.
+   Only counts, one row a range, are needed on the driver for that. After some rounds
+   a gap takes pieces of several ranges, as long as they surely fit: else small
+   ranges place few pieces a round, and rounds go on and on.
 5. Gaps are updated.
 
 Defined results: a null text is empty, so it is one piece with the end id alone; a
@@ -22,6 +24,7 @@ order in which pieces were stored; an empty table gives no rows; other columns a
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,6 +42,8 @@ CAPACITY = 4096
 RANGE_ROWS = 50_000
 #: Matches across ranges that are broadcast (some five megabytes); more of them are shuffled.
 SMALL_MATCHES = 100_000
+#: Rounds in which a gap takes pieces of one range only: what room they leave for sure is less than what the next round knows, and packs looser.
+PATIENT = 4
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -118,27 +123,36 @@ def _sweep(capacity: int):
     return run
 
 
-def _across(ranges: list[tuple[int, int, int, int, int]]) -> list[tuple[int, int, int, int, int, int]]:
+def _across(ranges: list[tuple[int, int, int, int, int]], again: bool = False) -> list[tuple[int, int, int, int, int, int]]:
     """Matches of what ranges have left over, from (range, pieces, largest piece, gaps, smallest gap), largest first.
 
-    Pieces take gaps of earlier ranges from the last one up, and each gap as many as
+    Pieces take the smallest gaps of earlier ranges, from the last one up, and each gap as many as
     surely fit; a range's left pieces all come before its left gaps, or they would have been matched.
+    ``again``: what room a gap then has for sure is free for later ranges.
     Gives (range, first and last piece rank, pieces a gap, gap range, gap rank of the first).
     """
-    stack: list[list[int]] = []  # range, number of gaps that are free, smallest of them
+    free: list[tuple[int, int, int, int]] = []  # smallest room, range (negative: the last one first), rank of the last gap, gaps
     out = []
     for range_, pieces, largest, gaps, smallest in ranges:
         at = 0
-        while at < pieces and stack:
-            each = max(1, stack[-1][2] // largest)
-            n = min(pieces - at, stack[-1][1] * each)
-            out.append((range_, at, at + n - 1, each, stack[-1][0], stack[-1][1] - 1))
+        while at < pieces and (k := bisect_left(free, (largest,))) < len(free):
+            room, minus, last, n_gaps = free.pop(k)
+            each = room // largest
+            n = min(pieces - at, n_gaps * each)
+            out.append((range_, at, at + n - 1, each, -minus, last))
             at += n
-            stack[-1][1] -= -(-n // each)
-            if not stack[-1][1]:
-                stack.pop()
+            full, more = divmod(n, each)
+            if again:
+                for count, left in ((full, room - each * largest), (int(more > 0), room - more * largest)):
+                    if count and left:
+                        insort(free, (left, minus, last, count))
+                    last -= count
+            else:
+                last -= full + (more > 0)
+            if unused := n_gaps - full - (more > 0):
+                insort(free, (room, minus, last, unused))
         if gaps:
-            stack.append([range_, gaps, smallest])
+            insort(free, (smallest, -range_, gaps - 1, gaps))
     return out
 
 
@@ -197,7 +211,7 @@ def best_fit(pieces: DataFrame, capacity: int = CAPACITY, range_rows: int = RANG
         left = swept.where(item | gap).groupBy("range").agg(
             F.count_if(item), F.max(F.when(item, F.col("size"))), F.count_if(gap), F.min(F.when(gap, F.col("size")))
         )
-        segments = _across(sorted(tuple(r) for r in left.collect()))
+        segments = _across(sorted(tuple(r) for r in left.collect()), again=turn >= PATIENT)
         by_range: dict[int, list[tuple]] = {}
         for range_, *own in segments:
             by_range.setdefault(range_, []).append(tuple(own))
