@@ -55,8 +55,8 @@ COSINE, MOST, MUCH, SOME = 0.55, 0.5, 0.4, 0.25
 #: Parts of an answer that are most of it and the whole of it, words that a whole one has at least, and the cosine that either asks for.
 ANSWER, WHOLE, ANSWER_WORDS, CLOSE = 0.7, 0.9, 5, 0.65
 SHORTEST = 8
-#: Blocks that are projected at a time, and words of a feature that are added row by row; a feature's further ones are summed at once.
-CHUNK, LAYERS = 512, 32
+#: Blocks that are projected at a time; words from which a feature's rows are summed at once, and features, or rows of one, that are taken at a time.
+CHUNK, LAYERS, TAKEN = 512, 32, 2048
 
 _SEPARATOR = np.zeros(256, dtype=bool)
 _SEPARATOR[:128] = [not chr(c).isalnum() for c in range(128)]
@@ -203,16 +203,38 @@ def _passages(words: np.ndarray) -> list[np.ndarray]:
     return [words[lo : lo + 2 * BLOCK] for lo in range(0, len(words) - BLOCK, BLOCK)]
 
 
+def _keys(feature: np.ndarray, block: np.ndarray, blocks: int) -> np.ndarray:
+    """A number for each word's block and feature, in 32 bits if they suffice: these are sorted in half the time."""
+    kind = np.uint32 if blocks * FEATURES <= 1 << 32 else np.int64
+    return block.astype(kind) * kind(FEATURES) + feature.astype(kind)
+
+
 def _squared_norms(feature: np.ndarray, block: np.ndarray, follows: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """Of the TF-IDF vectors of the passages that start at each block, from the words' features and blocks."""
-    keys = block * FEATURES + feature
+    keys = _keys(feature, block, len(follows))
     second = np.r_[False, follows[:-1]][block]  # words of the second block of a passage too
-    keys = np.concatenate([keys, keys[second] - FEATURES])
+    keys = np.concatenate([keys, keys[second] - keys.dtype.type(FEATURES)])
     keys.sort()
     keys, n = _runs_of(keys)
     return np.bincount(keys // FEATURES, (n * weights[keys % FEATURES].astype(np.float64)) ** 2, minlength=len(follows))
 
 
+def _with_next(rows: np.ndarray, follows: np.ndarray) -> np.ndarray:
+    """Each block's row and that of the next block of its document."""
+    out = np.empty_like(rows)
+    np.add(rows[:-1], rows[1:], out=out[:-1])
+    out[~follows] = rows[~follows]
+    return out
+
+
+def _with_last(rows: np.ndarray, follows: np.ndarray, out: np.ndarray) -> np.ndarray:
+    """Each block's row and that of the block before it in its document."""
+    np.add(rows[1:], rows[:-1], out=out[1:])
+    begins = np.r_[True, ~follows[:-1]]
+    out[begins] = rows[begins]
+    return out
+
+
 def _add_rows(total: np.ndarray, feature: np.ndarray, row: np.ndarray, rows: np.ndarray) -> None:
     """total[feature[k]] += rows[row[k]] for every k."""
     order = np.argsort(feature.astype(np.uint16), kind="stable")
@@ -220,14 +242,19 @@ def _add_rows(total: np.ndarray, feature: np.ndarray, row: np.ndarray, rows: np.
     first = np.cumsum(n) - n
     often = np.argsort(-n, kind="stable")
     known, n, first, own = known[often], n[often], first[often], row[order]
-    added = rows[own[first]]
-    spare = np.empty_like(added)
-    for k in range(1, min(LAYERS, int(n[0]))):
-        m = int(np.searchsorted(-n, -k, "left"))
-        added[:m] += np.take(rows, own[first[:m] + k], axis=0, out=spare[:m], mode="clip")
-    for j in range(int(np.searchsorted(-n, -LAYERS, "left"))):
-        added[j] += rows[own[first[j] + LAYERS : first[j] + n[j]]].sum(axis=0)
-    total[known] += added
+    many = int(np.searchsorted(-n, -LAYERS, "left"))
+    added, spare = np.empty((2, TAKEN, rows.shape[1]), dtype=np.float32)
+    for j in range(many):
+        for lo in range(first[j], first[j] + n[j], TAKEN):
+            at = own[lo : min(lo + TAKEN, first[j] + n[j])]
+            total[known[j]] += np.take(rows, at, axis=0, out=spare[: len(at)], mode="clip").sum(axis=0)
+    for lo in range(many, len(n), TAKEN):  # sums of some features stay in the processor's cache until they are whole
+        at, times = first[lo : lo + TAKEN], n[lo : lo + TAKEN]
+        np.take(rows, own[at], axis=0, out=added[: len(at)], mode="clip")
+        for k in range(1, int(times[0])):
+            m = int(np.searchsorted(-times, -k, "left"))
+            added[:m] += np.take(rows, own[at[:m] + k], axis=0, out=spare[:m], mode="clip")
+        total[known[lo : lo + TAKEN]] += added[: len(at)]
 
 
 def _drawn() -> np.ndarray:
@@ -259,7 +286,7 @@ def _passage_sums(docs: DataFrame, weights: np.ndarray | None, directions: np.nd
             length = np.diff(np.r_[start, len(feature)])
             block = np.repeat(np.arange(len(start)), length)
             if weights is None:
-                keys = block * FEATURES + feature
+                keys = _keys(feature, block, len(start))
                 keys.sort()
                 counts += np.bincount(_runs_of(keys)[0] % FEATURES, minlength=FEATURES)
                 blocks += len(start)
@@ -267,11 +294,10 @@ def _passage_sums(docs: DataFrame, weights: np.ndarray | None, directions: np.nd
             else:
                 squared = _squared_norms(feature, block, follows, weights).astype(np.float32)
             y = project(weighted, feature, start)
-            y[:-1][follows[:-1]] += y[1:][follows[:-1]]
-            y /= np.maximum(1e-30, squared)[:, None]
-            both = y.copy()  # a block's words are in its own passage and in that of the block before it
-            both[1:][follows[:-1]] += y[:-1][follows[:-1]]
-            _add_rows(total, feature, block, both)
+            passage = _with_next(y, follows)
+            passage /= np.maximum(1e-30, squared)[:, None]
+            # A block's words are in its own passage and in that of the block before it.
+            _add_rows(total, feature, block, _with_last(passage, follows, out=y))
         yield from rows(total, counts, blocks, range(0, FEATURES, ROWS))
 
     def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -414,13 +440,13 @@ def project(basis: np.ndarray, feature: np.ndarray, start: np.ndarray) -> np.nda
 
 def _near(space: Space, feature: np.ndarray, start: np.ndarray, follows: np.ndarray) -> Iterator[tuple[int, int, float]]:
     """(block, passage, cosine) of the passages that start at a block and are near one of the space."""
-    latent = project(space.basis, feature, start)
-    latent[:-1][follows[:-1]] += latent[1:][follows[:-1]]
+    latent = _with_next(project(space.basis, feature, start), follows)
     latent /= np.maximum(1e-12, np.linalg.norm(latent, axis=1, keepdims=True))
     for lo in range(0, len(latent), 4096):
-        cosine = latent[lo : lo + 4096] @ space.passages.T
-        for k, p in zip(*np.nonzero(cosine >= COSINE), strict=True):
-            yield lo + int(k), int(p), float(cosine[k, p])
+        cosine = (latent[lo : lo + 4096] @ space.passages.T).ravel()
+        at = np.flatnonzero(cosine >= COSINE)
+        k, p = np.divmod(at, len(space.passages))
+        yield from zip((lo + k).tolist(), p.tolist(), cosine[at].tolist(), strict=True)
 
 
 def _shared_runs(group: Group, words: Words) -> Iterator[tuple[int, int, int]]:
@@ -455,11 +481,15 @@ def _words_of_items(group: Group, words: Words) -> tuple[np.ndarray, np.ndarray]
     return at[same], number[same]
 
 
-def _able(group: Group, hits: tuple[np.ndarray, np.ndarray], words: Words, row: np.ndarray, number: np.ndarray, at: np.ndarray, cosine: np.ndarray) -> np.ndarray:
+def _around(group: Group, hits: tuple[np.ndarray, np.ndarray], words: Words, row: np.ndarray, number: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the words that some item has are around candidates: their first ones and ends."""
+    size = group.sizes[number]
+    return np.searchsorted(hits[0], np.maximum(words.first[row], at - size)), np.searchsorted(hits[0], np.minimum(words.first[row + 1], at + 2 * BLOCK + size))
+
+
+def _able(group: Group, hits: tuple[np.ndarray, np.ndarray], number: np.ndarray, lo: np.ndarray, hi: np.ndarray, cosine: np.ndarray) -> np.ndarray:
     """Whether enough of the item's words, in any order, are around a candidate; always true of long items, whose candidates depend on earlier ones."""
     size = group.sizes[number]
-    lo = np.searchsorted(hits[0], np.maximum(words.first[row], at - size))
-    hi = np.searchsorted(hits[0], np.minimum(words.first[row + 1], at + 2 * BLOCK + size))
     out = size > 3 * BLOCK
     least = np.where(cosine >= CLOSE, SOME, MOST) * size
     short = np.flatnonzero(~out)
@@ -493,15 +523,14 @@ def _found_in(part: pa.RecordBatch, group: Group) -> list[tuple[int, int, float
     seen: dict[tuple[int, int], tuple[float, float, float]] = {}
     judged: dict[tuple[int, int], int] = {}
 
-    def judge(row: int, number: int, at: int, cosine: float | None) -> None:
+    def judge(row: int, number: int, at: int, cosine: float | None, lo: int, hi: int) -> None:
         item = group.items[number]
         # What was looked at for a passage of a long item close by holds this one too.
         if len(item.words) > 3 * BLOCK and at - judged.get((row, number), -len(item.words)) < len(item.words) // 4:
             return
         judged[row, number] = at
-        begin = max(int(words.first[row]), at - len(item.words))
-        end = min(int(words.first[row + 1]), at + 2 * BLOCK + len(item.words))
-        region = words.hashes[begin:end].tolist()
+        # The words around it, without those that no item has: they add nothing to it, nor to its answer, whose words are its own.
+        region = known[lo:hi].tolist()
         met = [m for m in map(item.at.get, region) if m]
         # No more of the item can be there in order than is there at all; without a near cosine that has to be most of it.
         least = (SOME if (cosine or 0.0) >= CLOSE else MOST) * len(item.words)
@@ -523,19 +552,21 @@ def _found_in(part: pa.RecordBatch, group: Group) -> list[tuple[int, int, float
 
     follows = _follows(first, len(start))
     hits = _words_of_items(group, words)
+    known = words.hashes[hits[0]]
     for space in group.spaces:
         if not (near := list(_near(space, feature, start, follows))):
             continue
         block, p, cosine = (np.array(x) for x in zip(*near, strict=True))
         row, number = np.searchsorted(first, block, "right") - 1, space.owner[p]
-        able = _able(group, hits, words, row, number, start[block], cosine)
-        for r, n, at, c in zip(*(x[able].tolist() for x in (row, number, start[block], cosine)), strict=True):
-            judge(r, n, at, c)
+        lo, hi = _around(group, hits, words, row, number, start[block])
+        able = _able(group, hits, number, lo, hi, cosine)
+        for candidate in zip(*(x[able].tolist() for x in (row, number, start[block], cosine, lo, hi)), strict=True):
+            judge(*candidate)
     judged.clear()
     for row, number, at in _shared_runs(group, words):
         if seen.get((row, number), (0.0,))[0] < 1.0:
             end = min(at + 2 * BLOCK, int(words.first[row + 1]))
-            judge(row, number, at, _run_cosine(group, number, feature[at:end]))
+            judge(row, number, at, _run_cosine(group, number, feature[at:end]), *_around(group, hits, words, row, number, at))
     return [(row, group.items[number].key, cosine, held, answered) for (row, number), (held, cosine, answered) in seen.items()]
 
 

@@ -109,14 +109,19 @@ def tidy(task: Task, keep: Callable[[], None] | None = None) -> Task:
     return run
 
 
+def _mapped(data: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """table[data] for a table of 256 values of a byte."""
+    return np.frombuffer(data.tobytes().translate(table.tobytes()), dtype=table.dtype)
+
+
 class Words:
     """The words of some documents: hashes, byte spans, and the first word of each document."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, *, lower: bool = False, separators: np.ndarray = _SEPARATOR):
         self.raw = data
         if lower:
-            data = _LOWER[data]
-        inside = ~separators[data]
+            data = _mapped(data, _LOWER)
+        inside = _mapped(data, ~separators)
         start = inside.copy()
         start[1:] &= ~inside[:-1]
         inner = offsets[1:-1]
