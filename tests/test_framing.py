@@ -194,3 +194,21 @@ def test_garbage(spark):
 def test_nothing(spark):
     assert framing.frame(frame(spark, LINUX).limit(0), PROFILES).count() == 0
     assert framing.stages(frame(spark, LINUX).limit(0), PROFILES).count() == 0
+
+
+def test_texts_are_judged_once_with_the_same_result(spark, monkeypatch, tmp_path):
+    lines = frame(spark, [*LINUX, None, "", "U-Boot SPL 2024.01", *LINUX, "\x01\x02\x03", "system restart", *LINUX])
+    dialects, scratch = framing.Dialects.of(PROFILES), framing.Scratch(spark, "judged")
+    once = framing.judged_once(lines, dialects, scratch)
+    assert "rlike" not in once._jdf.queryExecution().optimizedPlan().toString().lower()
+    rows = lambda df: sorted(map(tuple, df.select(*sorted(df.columns)).collect()))
+    assert rows(once) == rows(framing.judged(lines, dialects))
+    monkeypatch.setattr(framing, "TEXTS", 0)
+    assert rows(framing.judged_once(lines, dialects, scratch)) == rows(once)
+
+
+def test_patterns_without_words_are_tried_on_all_lines(spark):
+    assert framing._words(r"(?iu)\bkelvin\b") == [] == framing._words(r"^\s+\S") == framing._words(r"[a-z&&[^b]]x")
+    assert framing._words(r"\bOops: |Kernel panic - not") == ["oops", "kernel"] or set(framing._words(r"\bOops: |Kernel panic - not")) <= {"oops", "kernel", "panic"}
+    texts = spark.createDataFrame([("Kernel PANIC",), ("  x",), ("none",)], "text string").withColumn("low", F.lower("text"))
+    assert [r[0] for r in texts.select(framing._any(F.col("text"), [r"(?i)kernel panic", r"^\s+\S"], F.col("low"))).collect()] == [True, True, False]
