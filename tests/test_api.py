@@ -67,3 +67,23 @@ def test_benign_templates_are_hidden_unless_asked_for(store):
 
 def test_near_reports(store):
     assert [(r["a"], r["b"], r["shared"]) for r in store.list_reports().collect()] == [("a", "b", 2)]
+
+
+def test_near_reports_as_every_pair_compared_and_no_pairs_are_sent(spark):
+    import random
+
+    from emberline.operators import reports
+
+    rng = random.Random(3)
+    sets = {f"r{k}": sorted({f"w{int(rng.paretovariate(0.7))}" for _ in range(rng.randint(0, 14))}) for k in range(120)}
+    sets["r7"], sets["r8"] = sets["r6"], sets["r6"][1:]
+    found = reports.near_reports(spark.createDataFrame(list(sets.items()), "id string, words array<string>"), 2, 0.45)
+    wanted = set()
+    for a in sets:
+        for b in sets:
+            shared = len(set(sets[a]) & set(sets[b]))
+            if a < b and shared >= 2 and shared / len(set(sets[a]) | set(sets[b])) >= 0.45:
+                wanted.add((a, b, shared))
+    got = [(r["a"], r["b"], r["shared"]) for r in found.collect()]
+    assert wanted and sorted(got) == sorted(wanted)
+    assert "Aggregate" not in found._jdf.queryExecution().executedPlan().toString()
