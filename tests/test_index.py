@@ -85,3 +85,15 @@ def test_nothing(spark, index):
     other = Index(spark, index.folder + "-empty")
     other.append(frame(spark, ["", "!?"]), "0")
     assert other.regex("error").count() == 0 and other.regex(".").count() == 1
+
+
+def test_words_are_sent_once(spark):
+    from pyspark.sql import functions as F
+
+    from emberline.operators.index import postings_of
+
+    kept = spark.createDataFrame([("d", 1, 0, "The cat, the dog", 3), ("d", 1, 1, "cat", 3), ("d", 2, 0, None, 5)], "device string, session_id long, line_no long, text string, part int")
+    postings = postings_of(kept)
+    assert postings._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("Exchange") == 1
+    found = postings.select("token", "session_id", "line_no", F.concat_ws(",", F.col("places").cast("array<string>"))).collect()
+    assert sorted(map(tuple, found)) == [("cat", 1, 0, "1"), ("cat", 1, 1, "0"), ("dog", 1, 0, "3"), ("the", 1, 0, "0,2")]
